@@ -15,7 +15,7 @@ from .common import cut
 LOT = 1_000_000
 
 
-def _contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A star (node, smallest node) for each component of the links a-b."""
     nodes, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
     label = np.arange(len(nodes))
@@ -40,7 +40,7 @@ def _contract_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     held = 0
 
     def flush() -> pa.RecordBatch:
-        a, b = _contract(np.concatenate([x[0] for x in lot]), np.concatenate([x[1] for x in lot]))
+        a, b = contract(np.concatenate([x[0] for x in lot]), np.concatenate([x[1] for x in lot]))
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     for batch in batches:

@@ -6,13 +6,14 @@ into blocks by hash. Three products follow each other, each over fewer entries:
 
 1. Of each row only the entries with the smallest hashes go in, as many as `reach` says. The column
    blocks give each entry's column count; entries alone in their column stay behind.
-2. Each row sorts its entries by column count, rarest first (entries alone in their column are rarest).
-   A similar pair shares at least `least_shared` of the first entries of both rows (size-derived bounds),
-   so rows with too many entries of their own are left out, and only the first entries go on.
-3. Column blocks accumulate overlap counts of pairs; pairs under the bound are discarded, the
-   others are compared on their whole texts. First every row of a column is paired with the column's
-   pivot only. Rows that are then in one component need no more comparison; rows of one column that are
-   still in different components are all paired. So a group of copies costs its size, not its square.
+2. Each row sorts its entries by column count, rarest first (entries alone in their column are rarest). A similar
+   pair shares some of the first entries of both rows: of the smaller row those up to `reach - least_bound(smaller)`, of the
+   larger one some more (size-derived bounds). Rows with too many entries of their own are left out; only first entries go on.
+3. Rows that meet are compared on their whole texts. First each row goes to one group, that of the pivot it shares most
+   entries with, and every group (in blocks of bounded size) is a small product of its own that yields a forest
+   of its links. A group of several blocks is dealt twice, so that its parts meet; its rows outside its largest component then meet
+   all its blocks. Then column blocks accumulate overlap counts of the pairs that are still in different components and
+   groups; pairs under the bound are discarded, the others compared. So a group of copies costs blocks, not its square.
 
 Equal rows (exact copies) are one row of the matrix, under the smallest doc_id.
 """
@@ -27,13 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, n_parts
-from .graph import components
+from .graph import components, contract
 from .kernels import U64, chunks, mix, pack, shingle_sets, unpack, word_hashes
 
 #: Rows up to this size go into the first product whole, larger ones by half.
 WHOLE = 256
 #: Bits of a column's hash in the products. A clash adds a candidate or a count, it never loses one.
 SHIFT = U64(16)
+#: Rows, and entries of rows, in a block of a group.
+BLOCK_ROWS, BLOCK_ENTRIES = 1024, 400_000
 
 
 def _needed(n: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -46,21 +49,25 @@ def reach(n: np.ndarray) -> np.ndarray:
     return np.where(n <= WHOLE, n, (n + 1) // 2)
 
 
-def _first_bound(n: np.ndarray, num: int, den: int) -> np.ndarray:
-    return reach(n) - (n - _needed(n, num, den))
+def _least(n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Least overlap of similar rows of n and m within the first product: what is beyond either reach may be missing."""
+    both = -(-(n + m) * num // (num + den))
+    return both - np.maximum(n - reach(n), m - reach(m))
 
 
-def least_bound(n: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Least overlap, within the first product, with any row of a size that can be similar."""
-    low, high = _needed(n, num, den), n * den // num
-    out = np.minimum(_first_bound(n, num, den), _first_bound(low, num, den))
-    beyond = (n <= WHOLE) & (high > WHOLE)
-    return np.where(beyond, np.minimum(out, _first_bound(np.full_like(n, WHOLE + 1), num, den)), out)
+def least_bound(n: np.ndarray, num: int, den: int, smaller: bool) -> np.ndarray:
+    """Least overlap, within the first product, of a row of n with any similar row that isn't smaller (or isn't larger).
+
+    As a function of the other size it is monotone up to WHOLE and beyond it, but for rounding: one is taken off.
+    """
+    low, high = (n, n * den // num) if smaller else (_needed(n, num, den), n)
+    ends = [low, high, np.clip(WHOLE, low, high), np.clip(WHOLE + 1, low, high)]
+    return np.maximum(np.minimum.reduce([_least(n, m, num, den) for m in ends]) - 1, 0)
 
 
 def least_shared(n: np.ndarray, num: int, den: int) -> np.ndarray:
     """Entries that a similar pair shares at least among those of the second product."""
-    return np.maximum(1, least_bound(n, num, den) // 4)
+    return np.maximum(1, least_bound(n, num, den, False) // 8)
 
 
 def _signature(sets: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,10 +171,13 @@ def _rarest(num: int, den: int):
         start = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (n[1:] != n[:-1])])
         count = np.diff(np.r_[start, len(ids)])
         size = n[start]
-        alone = reach(size) - count
-        take = np.clip(reach(size) - least_bound(size, num, den) + least_shared(size, num, den) - alone, 0, count)
-        keep = np.arange(len(ids)) - np.repeat(start, count) < np.repeat(take, count)
-        yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(ids[keep]), pa.array(n[keep].astype(np.int32))], names=["h", "doc", "n"])
+        room = least_shared(size, num, den) - (reach(size) - count)  # entries alone in their column come first
+        large = np.clip(reach(size) - least_bound(size, num, den, False) + room, 0, count)
+        small = np.clip(reach(size) - least_bound(size, num, den, True) + room, 0, count)
+        rank = np.arange(len(ids)) - np.repeat(start, count)
+        keep = rank < np.repeat(large, count)
+        first = (rank < np.repeat(small, count))[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(ids[keep]), pa.array(n[keep].astype(np.int32)), pa.array(first)], names=["h", "doc", "n", "first"])
 
     return run
 
@@ -203,49 +213,104 @@ def _pair_rows(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) ->
     return pa.RecordBatch.from_arrays([pa.array(a[start]), pa.array(b[start]), pa.array(na[start].astype(np.int32)), pa.array(nb[start].astype(np.int32)), pa.array(count.astype(np.int64))], names=["a", "b", "na", "nb", "shared"])
 
 
-def _pivots(num: int, den: int):
-    """Each row of a column with the column's pivot: its smallest row, and a new one whenever sizes are too far apart."""
+def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row of a column with the column's pivot (its smallest id), itself included; rows come sorted by column and id."""
+    last, pivot = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h, doc = batch.column("h").to_numpy(), batch.column("doc").to_numpy()
+        new = np.r_[h[0] != last if last is not None else True, h[1:] != h[:-1]]
+        group = np.cumsum(new)
+        heads = np.r_[pivot, doc[new]]
+        of = heads[group]
+        last, pivot = h[-1], of[-1]
+        order = np.lexsort((of, doc))
+        d, v = doc[order], of[order]
+        start = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (v[1:] != v[:-1])])
+        yield pa.RecordBatch.from_arrays([pa.array(d[start]), pa.array(v[start]), pa.array(np.diff(np.r_[start, len(d)]))], names=["doc", "pivot", "shared"])
+
+
+def _products(k: int, num: int, den: int):
+    """Links within each block of a group, as a forest; rows come sorted by group and block."""
+
+    def links(ids: np.ndarray, sets: np.ndarray, offs: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Similar pairs of the rows that are asked for with any rows."""
+        n = np.diff(offs)
+        row = np.repeat(np.arange(len(ids)), n)
+        _, column, count = np.unique(sets, return_inverse=True, return_counts=True)
+        keep = count[column] > 1
+        row, column = row[keep], column[keep]
+        _, column = np.unique(column, return_inverse=True)
+        rows = np.flatnonzero(np.bincount(row, minlength=len(ids)))
+        begins = np.searchsorted(row, rows)
+        a, b = [], []
+        width = int(np.clip(8_000_000 // max(1, len(row)), 1, 64))
+        asked = rows[asked[rows]]
+        for s in range(0, len(asked), width):
+            part = asked[s : s + width]
+            table = np.zeros((int(column.max()) + 1, len(part)), np.int32)
+            place = np.full(len(ids), -1)
+            place[part] = np.arange(len(part))
+            mine = place[row] >= 0
+            table[column[mine], place[row[mine]]] = 1
+            both = np.add.reduceat(table[column], begins, axis=0)  # overlaps of all rows with these
+            union = n[rows][:, None] + n[part][None, :] - both
+            i, j = np.nonzero((both * den >= union * num) & (ids[rows][:, None] != ids[part][None, :]))
+            a.append(ids[rows[i]])
+            b.append(ids[part[j]])
+        return (np.concatenate(a), np.concatenate(b)) if a else (ids[:0], ids[:0])
+
+    def settle(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        ids = np.concatenate([x[0] for x in held])
+        asked = np.concatenate([x[3] for x in held])
+        if len(ids) < 2 or not asked.any():
+            return
+        sets = np.concatenate([x[1] for x in held])
+        a, b = links(ids, sets, np.r_[0, np.cumsum(np.concatenate([x[2] for x in held]))], asked)
+        a, b = contract(a, b)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _runs(batches, "h"):
-            h, doc, n = (t.column(c).to_numpy() for c in ("h", "doc", "n"))
-            n = n.astype(np.int64)
-            start = np.r_[True, h[1:] != h[:-1]]
-            first = np.flatnonzero(start)
-            group = np.cumsum(start) - 1
-            pivot = first[group]
-            while True:  # rows too large for their pivot get the first such row of the column as theirs
-                far = n * num > n[pivot] * den
-                if not far.any():
-                    break
-                at = np.flatnonzero(far)
-                key = group[at] * (len(h) + 1) + pivot[at]
-                new = np.r_[True, key[1:] != key[:-1]]
-                pivot[at] = at[new][np.cumsum(new) - 1]
-            pair = doc != doc[pivot]
-            yield _pair_rows(doc[pair], doc[pivot][pair], n[pair], n[pivot][pair])
+        held, at = [], None
+        for whole in batches:
+            for batch in chunks(whole, "text", 1 << 20):
+                sets, offs = shingle_sets(*word_hashes(batch.column("text")), k)
+                ids, pivot, block = (batch.column(c).to_numpy() for c in ("doc_id", "pivot", "block"))
+                asked = batch.column("asked").to_numpy(zero_copy_only=False)
+                start = np.flatnonzero(np.r_[True, (pivot[1:] != pivot[:-1]) | (block[1:] != block[:-1])])
+                for s, e in zip(start, np.r_[start[1:], len(ids)], strict=True):
+                    if at != (pivot[s], block[s]):
+                        if held:
+                            yield from settle(held)
+                        held, at = [], (pivot[s], block[s])
+                    held.append((ids[s:e], sets[offs[s] : offs[e]], np.diff(offs[s : e + 1]), asked[s:e]))
+        if held:
+            yield from settle(held)
 
     return run
 
 
 def _crossing(num: int, den: int):
-    """All pairs of a column's rows in different components whose sizes allow it."""
+    """All pairs of a column's rows that are in different components and groups and have sizes that allow it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, "h"):
-            h, doc, n, comp = (t.column(c).to_numpy() for c in ("h", "doc", "n", "component"))
+            h, doc, n, comp, pivot = (t.column(c).to_numpy() for c in ("h", "doc", "n", "component", "pivot"))
+            role = t.column("first").to_numpy()
             n = n.astype(np.int64)
             first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
             ends = np.r_[first[1:], len(h)]
             out: list[tuple] = []
             held = 0
             for s, e in zip(first, ends, strict=True):
-                if e - s < 2 or (comp[s:e] == comp[s]).all():
+                if e - s < 2 or (comp[s:e] == comp[s]).all() or (pivot[s:e] == pivot[s]).all():
                     continue
-                for i in range(s, e - 1):
+                for i in s + np.flatnonzero(role[s : e - 1]):  # rows come by size: i is the smaller one
                     top = s + int(np.searchsorted(n[s:e], n[i] * den // num, "right"))
-                    j = np.arange(i + 1, top)
-                    j = j[comp[j] != comp[i]]
+                    j = slice(i + 1, top)
+                    j = i + 1 + np.flatnonzero((comp[j] != comp[i]) & (pivot[j] != pivot[i]))
                     if len(j):
                         out.append((np.full(len(j), doc[i]), doc[j], np.full(len(j), n[i]), n[j]))
                         held += len(j)
@@ -309,26 +374,45 @@ def jaccard_components(docs: DataFrame, k: int = 5, similarity: tuple[int, int]
     classes = cut(sizes.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")).filter("rep is not null"))
     entries = rows.mapInArrow(_entries(k, 4 * p), "block long, blob binary").repartition(p, "block")
     shared = entries.mapInArrow(_counts(4 * p), "block long, blob binary").repartition(p, "block")
-    columns = cut(shared.mapInArrow(_rarest(num, den), "h long, doc long, n int").join(classes.select(F.col("rep").alias("doc")), "doc", "left_semi"))
+    columns = cut(shared.mapInArrow(_rarest(num, den), "h long, doc long, n int, first boolean").join(classes.select(F.col("rep").alias("doc")), "doc", "left_semi"))
     # only texts of rows that some column joins with another are fetched, once
     joined = columns.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
-    columns = cut(columns.join(joined, "h", "left_semi").select("h", "doc", "n"))
+    columns = cut(columns.join(joined, "h", "left_semi").select("h", "doc", "n", "first"))
     texts = cut(rows.join(columns.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"))
 
-    def similar(pairs: DataFrame) -> DataFrame:
-        left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-        right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-        return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_compare(k, num, den), "a long, b long").distinct())
-
-    sorted_columns = columns.repartition(p, "h").sortWithinPartitions("h", "n", "doc")
-    first = cut(_bounded(sorted_columns.mapInArrow(_pivots(num, den), "a long, b long, na int, nb int, shared long"), num, den))
-    links = similar(first)
-    found = components(links)
-    marked = columns.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("h", "doc", "n", F.coalesce("component", "doc").alias("component"))
-    mixed = marked.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("h")
-    marked = marked.join(mixed, "h", "left_semi").select("h", "doc", "n", "component").repartition(p, "h").sortWithinPartitions("h", "n", "doc")
-    rest = _bounded(marked.mapInArrow(_crossing(num, den), "a long, b long, na int, nb int, shared long"), num, den).join(first, ["a", "b"], "left_anti")
-    labels = components(links.unionAll(similar(rest)))
+    met = columns.repartition(p, "h").sortWithinPartitions("h", "doc").mapInArrow(_pivots, "doc long, pivot long, shared long")
+    met = met.groupBy("doc", "pivot").agg(F.sum("shared").alias("shared"))
+    best = met.groupBy("doc").agg(F.min_by("pivot", F.struct(-F.col("shared"), F.col("pivot"))).alias("pivot"))
+    sizes_of = columns.groupBy("doc").agg(F.max("n").alias("n"))
+    best = cut(best.join(sizes_of, "doc"))
+    many = best.groupBy("pivot").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_ENTRIES), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS)).cast("int").alias("blocks"))
+    members = best.select("doc", "pivot").unionAll(best.select(F.col("pivot").alias("doc"), "pivot").distinct()).distinct().join(many, "pivot")
+
+    def product(dealt: DataFrame) -> DataFrame:
+        with_text = dealt.join(texts, F.col("doc") == F.col("doc_id")).select("doc_id", "pivot", "block", "asked", "text")
+        return with_text.repartition(p, "pivot", "block").sortWithinPartitions("pivot", "block").mapInArrow(_products(k, num, den), "a long, b long")
+
+    def deal(some: DataFrame, seed: int) -> DataFrame:
+        return some.select("doc", "pivot", F.pmod(F.xxhash64(F.lit(seed), "doc"), F.col("blocks")).alias("block"))
+
+    large = members.filter("blocks > 1")
+    everyone = F.lit(True).alias("asked")
+    links = cut(product(deal(members, 1).select("*", everyone)).unionAll(product(deal(large, 2).select("*", everyone))))
+    found = cut(components(links)).withColumnRenamed("node", "doc")
+    labelled = large.join(found, "doc", "left").select("doc", "pivot", "blocks", F.coalesce("component", "doc").alias("component"))
+    most = labelled.groupBy("pivot", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("pivot").agg(F.max_by("component", F.struct("c", "component")).alias("most"))
+    outside = labelled.join(most, "pivot").filter("component <> most").select("doc", "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"), everyone)
+    links = cut(links.unionAll(product(deal(large, 1).select("*", F.lit(False).alias("asked")).unionAll(outside))))
+    found = components(links).withColumnRenamed("node", "doc")
+    labelled = best.join(found, "doc", "left").select("doc", "pivot", F.coalesce("component", "doc").alias("component"))
+    marked = columns.join(labelled, "doc")
+    mixed = marked.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("pivot").alias("lo1"), F.max("pivot").alias("hi1")).filter("lo < hi and lo1 < hi1").select("h")
+    marked = marked.join(mixed, "h", "left_semi").select("h", "doc", "n", "first", "component", "pivot").repartition(p, "h").sortWithinPartitions("h", "n", "doc")
+    rest = _bounded(marked.mapInArrow(_crossing(num, den), "a long, b long, na int, nb int, shared long"), num, den)
+    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
+    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    more = cut(rest.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_compare(k, num, den), "a long, b long").distinct())
+    labels = components(links.unionAll(more))
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
     out = sizes.join(named, ["s1", "s2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
