@@ -20,6 +20,8 @@ from .kernels import U64, ngram_hashes, pack, unpack, word_hashes
 
 #: Bits of an n-gram's hash. Two of m n-grams share a hash with a chance of m / 2 ** 48.
 BITS = 48
+#: Bytes of text in a bucket, and for which there is a block. A bucket or block is what a worker holds at once.
+BUCKET_BYTES = 2 << 20
 #: The backoff factor.
 ALPHA = 0.4
 
@@ -145,8 +147,9 @@ def lm_scores(docs: DataFrame, order: int = 3, alpha: float = ALPHA) -> DataFram
     ignored; an empty table gives no rows.
     """
     p = n_parts(docs.sparkSession)
-    buckets, blocks = 4 * p, 4 * p
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = blocks = max(1, -(-size // BUCKET_BYTES))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(buckets)))
     texts = rows.groupBy("bucket").agg(F.collect_list(F.struct("doc_id", "text")).alias("items"))
     asked = texts.mapInArrow(_ask(order, blocks), "block long, bucket long, blob binary").repartition(p, "block").sortWithinPartitions("block")
