@@ -14,16 +14,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import U64, chunks, span_hashes, text_bytes, word_spans
+from .kernels import LOWER, U64, chunks, span_hashes, text_bytes, word_spans
 
 #: Words whose ids a worker remembers; it starts anew beyond.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
+
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
+_STOP = np.zeros(256, bool)
+_STOP[list(b".,!?;:")] = True
 
 
 class WordEncoder:
-    """Token ids of texts, word by word, for tokenizers that never join what white space parts.
+    """Token ids of texts, word by word, for tokenizers that lower-case and never join what white space parts,
+    nor an ASCII letter and the punctuation after it.
 
-    Each different word is encoded once and remembered.
+    Each different word is encoded once and remembered. Stops at a word's end are words of their own, and A-Z are lower-cased
+    first; not where that could change ids: in texts with combining marks (composed before they are lower-cased) or with
+    what may be a special token.
     """
 
     def __init__(self, path: str) -> None:
@@ -37,9 +45,23 @@ class WordEncoder:
         self.known, self.at, self.len = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
+    @staticmethod
+    def _units(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        starts, ends, first = word_spans(buf, offs)
+        if not len(starts):
+            return starts, ends, first
+        last = np.maximum.accumulate(np.where(_STOP[buf], -1, np.arange(len(buf))))[ends - 1]
+        split = (last < ends - 1) & (last >= starts) & _LETTER[buf[last]]
+        s = np.concatenate([starts, last[split] + 1])
+        e = np.concatenate([np.where(split, last + 1, ends), ends[split]])
+        order = np.argsort(s, kind="stable")
+        return s[order], e[order], np.searchsorted(s[order], offs)
+
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents in a row, and their offsets (n + 1)."""
-        starts, ends, first = word_spans(buf, offs)
+        starts, ends, first = self._units(buf, offs)
+        if len(buf) and not ((buf == 0xCC) | (buf == 0xCD)).any() and not ((buf[:-1] == ord("<")) & (buf[1:] == ord("|"))).any():
+            buf = LOWER[buf]
         words, sample, inverse = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
         if len(self.known) > REMEMBERED:
             self._forget()
