@@ -35,6 +35,8 @@ from .kernels import U64, chunks, mix, pack, shingle_sets, unpack, word_hashes
 WHOLE = 256
 #: Bits of a column's hash in the products. A clash adds a candidate or a count, it never loses one.
 SHIFT = U64(16)
+#: Entries that a worker gathers before it sends them.
+HELD_ENTRIES = 1_000_000
 #: Rows, and entries of rows, in a block of a group.
 BLOCK_ROWS, BLOCK_ENTRIES = 1024, 400_000
 
@@ -91,11 +93,15 @@ def _sizes(k: int):
 
 
 def _entries(k: int, blocks: int):
-    """First product's entries, as a blob for each column block and batch; equal rows of a batch give theirs once."""
+    """First product's entries, as blobs for each column block; equal rows of a chunk give theirs once."""
+
+    def blobs(got: list[tuple]) -> pa.RecordBatch:
+        h, ids, n = (np.concatenate([g[i] for g in got]) for i in range(3))
+        return _blobs((mix(h) % U64(blocks)).astype(np.int64), h.view(np.int64), ids, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, held = [], 0
         for batch in batches:
-            got = []
             for part in chunks(batch):
                 ids = part.column("doc_id")
                 known = ids.is_valid().to_numpy(zero_copy_only=False)
@@ -113,11 +119,12 @@ def _entries(k: int, blocks: int):
                 doc = np.repeat(np.arange(len(n)), take)
                 at = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take) + offs[:-1][doc]
                 got.append((sets[at] >> SHIFT, ids[doc], n[doc].astype(np.int32)))
-            if not got:
-                continue
-            h, ids, n = (np.concatenate([g[i] for g in got]) for i in range(3))
-            block = (mix(h) % U64(blocks)).astype(np.int64)
-            yield _blobs(block, h.view(np.int64), ids, n)
+                held += len(at)
+                if held >= HELD_ENTRIES:
+                    yield blobs(got)
+                    got, held = [], 0
+        if held:
+            yield blobs(got)
 
     return run
 

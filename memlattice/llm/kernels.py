@@ -15,7 +15,7 @@ U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 2**64)
 #: Bytes of text that are worked on at once; one longer document is a chunk of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

@@ -52,7 +52,8 @@ def _trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return bucket[inside], np.r_[0, np.cumsum(lens)]
 
 
-_TABLE = (mix(np.arange(1 << 24, dtype=U64)) % U64(BUCKETS)).astype(np.uint16)
+#: Bucket of each trigram, made a part at a time to keep the worker small.
+_TABLE = np.concatenate([(mix(np.arange(k, k + (1 << 20), dtype=U64)) % U64(BUCKETS)).astype(np.uint16) for k in range(0, 1 << 24, 1 << 20)])
 
 
 def _repeats(column: pa.Array) -> np.ndarray:

@@ -12,7 +12,7 @@ sampled suffix stands for the run of windows that chose it, [lo, hi]. Digits fro
    the window itself. Equal groups are exactly the repeated windows, and all but the first of a group are removed.
    A first digit with many different runs is dealt by window instead, so that it doesn't meet in one task.
 
-Equal rows of one batch are folded before each shuffle, so a copied passage costs one row for each batch.
+Equal rows that a worker holds are folded before each shuffle, so a copied passage costs one row for each lot held.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from .kernels import BASE, BASE_INV, U64, chunks, mix, powers, text_bytes
 
 #: A first digit with more different runs than this is dealt by window.
 WIDE = 64
+#: Sampled suffixes that a worker gathers before it folds and sends them.
+HELD_ROWS = 1_000_000
 #: Row kinds: bytes to remove; a run of windows; a run whose windows go by first digit, by window; a window.
 REMOVE, RUN, SPLIT, SPREAD, WINDOW = 0, 1, 2, 3, 4
 #: Positions carry the rank of rows that share a doc_id above this bit.
@@ -131,11 +133,18 @@ def _fold_first(key: np.ndarray, k2: np.ndarray, doc: np.ndarray, pos: np.ndarra
 
 
 def _digits(depth: int, gram: int):
-    """First and second digit of the sampled suffixes; equal ones of a batch are folded here."""
+    """First and second digit of the sampled suffixes; equal ones among those held are folded here."""
+
+    def folded(got: list[tuple]) -> Iterator[pa.RecordBatch]:
+        k1, k2, ids, pos, span = (np.concatenate([g[i] for g in got]) for i in range(5))
+        first, rest = _fold_first(k1, k2, ids, pos)
+        yield _rows(RUN, k1[first], k2[first], ids[first], pos[first], span[first])
+        if len(rest):
+            yield _removed(ids[rest], pos[rest], span[rest] + depth)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, held = [], 0
         for batch in batches:
-            got = []
             for part in chunks(batch):
                 buf, offs = text_bytes(part.column("text"))
                 d, a, lo, hi = sample(buf, offs, depth, gram)
@@ -147,13 +156,12 @@ def _digits(depth: int, gram: int):
                 ids = part.column("_d").to_numpy()[d]
                 pos = (part.column("_r").to_numpy()[d].astype(np.int64) << RANK) + lo - offs[d]
                 got.append((k1, k2, ids, pos, hi - lo))
-            if not got:
-                continue
-            k1, k2, ids, pos, span = (np.concatenate([g[i] for g in got]) for i in range(5))
-            first, rest = _fold_first(k1, k2, ids, pos)
-            yield _rows(RUN, k1[first], k2[first], ids[first], pos[first], span[first])
-            if len(rest):
-                yield _removed(ids[rest], pos[rest], span[rest] + depth)
+                held += len(d)
+                if held >= HELD_ROWS:
+                    yield from folded(got)
+                    got, held = [], 0
+        if got:
+            yield from folded(got)
 
     return run
 
