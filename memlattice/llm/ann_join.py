@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_parts
+from .common import in_arrow, n_parts
 from .vectors import cosines, matrices, usable
 
 #: Vectors in a block of candidates and of queries.
@@ -88,8 +88,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """
     p = n_parts(vectors.sparkSession)
     names = ("ids", "data", "code", "scale", "error", "n")
-    blocks = usable(vectors).mapInArrow(_blocks(BLOCK, p), "k int, " + _BLOB).select("k", "dim", *(F.col(c).alias(c + "_c") for c in names))
-    asked = usable(queries).mapInArrow(_blocks(QUERIES, p), "k int, " + _BLOB).select(F.explode(F.sequence(F.lit(0), F.lit(p - 1))).alias("k"), "dim", *(F.col(c).alias(c + "_q") for c in names))
-    found = blocks.join(asked, ["k", "dim"]).mapInArrow(_tiles(k), "query_id long, vec_id long, score double")
+    blocks = usable(vectors).transform(in_arrow, _blocks(BLOCK, p), "k int, " + _BLOB).select("k", "dim", *(F.col(c).alias(c + "_c") for c in names))
+    asked = usable(queries).transform(in_arrow, _blocks(QUERIES, p), "k int, " + _BLOB).select(F.explode(F.sequence(F.lit(0), F.lit(p - 1))).alias("k"), "dim", *(F.col(c).alias(c + "_q") for c in names))
+    found = blocks.join(asked, ["k", "dim"]).transform(in_arrow, _tiles(k), "query_id long, vec_id long, score double")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

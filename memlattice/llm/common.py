@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,3 +52,24 @@ def keyed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         return rows.withColumn("_r", F.lit(0))
     by = Window.partitionBy("_d").orderBy(F.col("text").asc_nulls_first())
     return rows.withColumn("_r", F.row_number().over(by) - 1)
+
+
+#: Bytes of an Arrow batch on its way to Python, unless the session says otherwise; both sides hold some of them at once.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:  # noqa: ANN001
+    """mapInArrow in bounded batches; a worker gives its freed memory back at the end of each partition."""
+    if df.sparkSession.conf.get(BATCH_KEY, None) is None:
+        df.sparkSession.conf.set(BATCH_KEY, BATCH_BYTES)
+
+    def frugal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return df.mapInArrow(frugal, schema)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, in_arrow
 
 #: Links held by one local contraction; more are contracted in several lots.
 LOT = 1_000_000
@@ -60,7 +60,7 @@ def components(links: DataFrame) -> DataFrame:
     large-star and small-star, each a min per node (combined before the shuffle) and a join on the
     node, until the links no longer change. Links to itself and null ends are ignored; no rows give no rows.
     """
-    stars = cut(links.select("a", "b").filter("a is not null and b is not null and a <> b").mapInArrow(_contract_partition, "a long, b long"))
+    stars = cut(links.select("a", "b").filter("a is not null and b is not null and a <> b").transform(in_arrow, _contract_partition, "a long, b long"))
     before = None
     while True:
         both = stars.unionAll(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))

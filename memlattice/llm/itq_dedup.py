@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, n_parts
+from .common import cut, in_arrow, n_parts
 from .graph import components
 from .vectors import cosines, matrices, usable
 
@@ -162,7 +162,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, radius: int = 18) ->
         x = np.array([v for v in picked if len(v) == dim])
         x /= np.abs(x).max(axis=1, keepdims=True)
         models[dim] = learn(x / np.sqrt((x * x).sum(axis=1, keepdims=True)))
-    keys = cut(classes.select("rep", "v").mapInArrow(_keys(models), "key long, rep long, code long"))
+    keys = cut(classes.select("rep", "v").transform(in_arrow, _keys(models), "key long, rep long, code long"))
     large = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > LOT).select("key", F.ceil(F.col("c") / LOT).cast("int").alias("g"))
     if large.limit(1).count():
         dealt = keys.join(large, "key", "left").withColumn("side", F.pmod(F.xxhash64("rep"), F.coalesce("g", F.lit(1))).cast("int"))
@@ -170,10 +170,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, radius: int = 18) ->
         dealt = dealt.select("key", "side", "rep", "code", other.alias("o")).select("key", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "rep", "code")
     else:
         dealt = keys.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "rep", "code")
-    pairs = dealt.repartition(p, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_meet(radius), "a long, b long")
+    pairs = dealt.repartition(p, "key", "i", "j").sortWithinPartitions("key", "i", "j").transform(in_arrow, _meet(radius), "a long, b long")
     left = classes.select(F.col("rep").alias("a"), F.col("v").alias("va"), F.col("n").alias("na"))
     right = classes.select(F.col("rep").alias("b"), F.col("v").alias("vb"), F.col("n").alias("nb"))
-    links = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "va", "vb").mapInArrow(_rerank(least), "a long, b long, na long, nb long"))
+    links = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "va", "vb").transform(in_arrow, _rerank(least), "a long, b long, na long, nb long"))
     degree = links.select(F.col("a").alias("rep"), F.col("nb").alias("w")).unionAll(links.select(F.col("b").alias("rep"), F.col("na").alias("w")))
     degree = degree.groupBy("rep").agg(F.sum("w").alias("w"))
     labels = components(links).withColumnRenamed("node", "rep")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, n_parts
+from .common import cut, in_arrow, n_parts
 from .graph import components, contract
 from .kernels import U64, chunks, mix, pack, shingle_sets, unpack, word_hashes
 
@@ -340,7 +340,7 @@ def _bounded(pairs: DataFrame, num: int, den: int) -> DataFrame:
             keep = shared >= np.minimum(least_shared(na, num, den), least_shared(nb, num, den))
             yield batch.filter(pa.array(keep)).select(["a", "b"])
 
-    return total.mapInArrow(run, "a long, b long")
+    return total.transform(in_arrow, run, "a long, b long")
 
 
 def _compare(k: int, num: int, den: int):
@@ -377,17 +377,17 @@ def jaccard_components(docs: DataFrame, k: int = 5, similarity: tuple[int, int]
     num, den = similarity
     spark, p = docs.sparkSession, n_parts(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sizes = cut(rows.mapInArrow(_sizes(k), "doc_id long, n long, s1 long, s2 long"))
+    sizes = cut(rows.transform(in_arrow, _sizes(k), "doc_id long, n long, s1 long, s2 long"))
     classes = cut(sizes.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")).filter("rep is not null"))
-    entries = rows.mapInArrow(_entries(k, 4 * p), "block long, blob binary").repartition(p, "block")
-    shared = entries.mapInArrow(_counts(4 * p), "block long, blob binary").repartition(p, "block")
-    columns = cut(shared.mapInArrow(_rarest(num, den), "h long, doc long, n int, first boolean").join(classes.select(F.col("rep").alias("doc")), "doc", "left_semi"))
+    entries = rows.transform(in_arrow, _entries(k, 4 * p), "block long, blob binary").repartition(p, "block")
+    shared = entries.transform(in_arrow, _counts(4 * p), "block long, blob binary").repartition(p, "block")
+    columns = cut(shared.transform(in_arrow, _rarest(num, den), "h long, doc long, n int, first boolean").join(classes.select(F.col("rep").alias("doc")), "doc", "left_semi"))
     # only texts of rows that some column joins with another are fetched, once
     joined = columns.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
     columns = cut(columns.join(joined, "h", "left_semi").select("h", "doc", "n", "first"))
     texts = cut(rows.join(columns.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"))
 
-    met = columns.repartition(p, "h").sortWithinPartitions("h", "doc").mapInArrow(_pivots, "doc long, pivot long, shared long")
+    met = columns.repartition(p, "h").sortWithinPartitions("h", "doc").transform(in_arrow, _pivots, "doc long, pivot long, shared long")
     met = met.groupBy("doc", "pivot").agg(F.sum("shared").alias("shared"))
     best = met.groupBy("doc").agg(F.min_by("pivot", F.struct(-F.col("shared"), F.col("pivot"))).alias("pivot"))
     sizes_of = columns.groupBy("doc").agg(F.max("n").alias("n"))
@@ -397,7 +397,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, similarity: tuple[int, int]
 
     def product(dealt: DataFrame) -> DataFrame:
         with_text = dealt.join(texts, F.col("doc") == F.col("doc_id")).select("doc_id", "pivot", "block", "asked", "text")
-        return with_text.repartition(p, "pivot", "block").sortWithinPartitions("pivot", "block").mapInArrow(_products(k, num, den), "a long, b long")
+        return with_text.repartition(p, "pivot", "block").sortWithinPartitions("pivot", "block").transform(in_arrow, _products(k, num, den), "a long, b long")
 
     def deal(some: DataFrame, seed: int) -> DataFrame:
         return some.select("doc", "pivot", F.pmod(F.xxhash64(F.lit(seed), "doc"), F.col("blocks")).alias("block"))
@@ -415,10 +415,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, similarity: tuple[int, int]
     marked = columns.join(labelled, "doc")
     mixed = marked.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("pivot").alias("lo1"), F.max("pivot").alias("hi1")).filter("lo < hi and lo1 < hi1").select("h")
     marked = marked.join(mixed, "h", "left_semi").select("h", "doc", "n", "first", "component", "pivot").repartition(p, "h").sortWithinPartitions("h", "n", "doc")
-    rest = _bounded(marked.mapInArrow(_crossing(num, den), "a long, b long, na int, nb int, shared long"), num, den)
+    rest = _bounded(marked.transform(in_arrow, _crossing(num, den), "a long, b long, na int, nb int, shared long"), num, den)
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    more = cut(rest.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_compare(k, num, den), "a long, b long").distinct())
+    more = cut(rest.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").transform(in_arrow, _compare(k, num, den), "a long, b long").distinct())
     labels = components(links.unionAll(more))
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
     out = sizes.join(named, ["s1", "s2"], "left")

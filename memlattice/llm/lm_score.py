@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_parts
+from .common import in_arrow, n_parts
 from .kernels import U64, ngram_hashes, pack, unpack, word_hashes
 
 #: Bits of an n-gram's hash. Two of m n-grams share a hash with a chance of m / 2 ** 48.
@@ -152,7 +152,7 @@ def lm_scores(docs: DataFrame, order: int = 3, alpha: float = ALPHA) -> DataFram
     buckets = blocks = max(1, -(-size // BUCKET_BYTES))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(buckets)))
     texts = rows.groupBy("bucket").agg(F.collect_list(F.struct("doc_id", "text")).alias("items"))
-    asked = texts.mapInArrow(_ask(order, blocks), "block long, bucket long, blob binary").repartition(p, "block").sortWithinPartitions("block")
-    told = asked.mapInArrow(_answer, "bucket long, block long, blob binary").groupBy("bucket").agg(F.collect_list(F.struct("block", "blob")).alias("answers"))
+    asked = texts.transform(in_arrow, _ask(order, blocks), "block long, bucket long, blob binary").repartition(p, "block").sortWithinPartitions("block")
+    told = asked.transform(in_arrow, _answer, "bucket long, block long, blob binary").groupBy("bucket").agg(F.collect_list(F.struct("block", "blob")).alias("answers"))
     both = texts.join(told, "bucket", "left").select("items", "answers")
-    return both.mapInArrow(_score(order, alpha), "doc_id long, n_words long, log_score double, mean_log_score double")
+    return both.transform(in_arrow, _score(order, alpha), "doc_id long, n_words long, log_score double, mean_log_score double")

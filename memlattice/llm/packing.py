@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
 from .kernels import LOWER, U64, chunks, span_hashes, text_bytes, word_spans
 
 #: Words whose ids a worker remembers; it starts anew beyond.
@@ -126,5 +127,5 @@ def pack_pow2(docs: DataFrame, tokenizer: str, limit: int = 2048, end_id: int =
     if limit < 1 or limit & (limit - 1):
         raise ValueError("limit must be a power of two")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = rows.mapInArrow(_pieces(tokenizer, limit, end_id), "doc_id long, start long, length long, ids binary, doc_tokens long")
+    pieces = rows.transform(in_arrow, _pieces(tokenizer, limit, end_id), "doc_id long, start long, length long, ids binary, doc_tokens long")
     return pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import in_arrow
 from .kernels import U64, chunks, mix, text_bytes, word_hashes
 
 #: Rated rows that are learned from at most: the first by a hash of their ids. The only rows not taken whole.
@@ -144,7 +145,7 @@ def quality(docs: DataFrame, ratings: DataFrame, least: float = 0.5, tail: int =
                 x = _counts(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("grade"), pa.array([r.tobytes() for r in x], pa.binary())], names=["grade", "x"])
 
-    got = known.mapInArrow(featured, "grade int, x binary").toArrow() if rated else None
+    got = known.transform(in_arrow, featured, "grade int, x binary").toArrow() if rated else None
     model, grades = None, 1 + max((r["grade"] for r in rated), default=0)
     if got is not None and got.num_rows:
         y = got.column("grade").to_numpy().astype(np.int64)
@@ -159,5 +160,5 @@ def quality(docs: DataFrame, ratings: DataFrame, least: float = 0.5, tail: int =
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p.sum(axis=1)), pa.array(p[:, tail - 1])], names=[*part.schema.names, "expected_grade", "tail_probability"])
 
     schema = T.StructType([*rows.schema.fields, T.StructField("expected_grade", T.DoubleType()), T.StructField("tail_probability", T.DoubleType())])
-    out = rows.mapInArrow(scored, schema)
+    out = rows.transform(in_arrow, scored, schema)
     return out.withColumn("keep", F.col("tail_probability") >= least)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keyed, n_parts
+from .common import in_arrow, keyed, n_parts
 from .kernels import BASE, BASE_INV, U64, chunks, mix, powers, text_bytes
 
 #: A first digit with more different runs than this is dealt by window.
@@ -355,15 +355,15 @@ def remove_repeats(docs: DataFrame, depth: int = 100, gram: int = 32, as_text: b
     carried = [f"_c{i}" for i in range(len(carry))]
     # both joins take the same columns, so the texts are shuffled once and that exchange is used again
     texts = rows.select("_d", "_r", "text", "doc_id", *carried)
-    by_digit = texts.mapInArrow(_digits(depth, gram), SCHEMA).repartition(p, "key").sortWithinPartitions("key", "k2", "doc", "pos")
-    open_runs = by_digit.mapInArrow(_first_digits(depth), SCHEMA).select(F.col("doc").alias("_d"), F.shiftright("pos", RANK).cast("int").alias("_r"), "kind", "key", "pos", "span")
+    by_digit = texts.transform(in_arrow, _digits(depth, gram), SCHEMA).repartition(p, "key").sortWithinPartitions("key", "k2", "doc", "pos")
+    open_runs = by_digit.transform(in_arrow, _first_digits(depth), SCHEMA).select(F.col("doc").alias("_d"), F.shiftright("pos", RANK).cast("int").alias("_r"), "kind", "key", "pos", "span")
     items = open_runs.groupBy("_d", "_r").agg(F.collect_list(F.struct("kind", "key", "pos", "span")).alias("items"))
-    windows = texts.join(items, ["_d", "_r"]).mapInArrow(_windows(depth), SCHEMA)
+    windows = texts.join(items, ["_d", "_r"]).transform(in_arrow, _windows(depth), SCHEMA)
     by_window = windows.repartition(p, "key").sortWithinPartitions("key")
-    gone = by_window.mapInArrow(_last_digit(depth, 2_000_000), SCHEMA).select(F.col("doc").alias("_d"), F.shiftright("pos", RANK).cast("int").alias("_r"), "pos", "span")
+    gone = by_window.transform(in_arrow, _last_digit(depth, 2_000_000), SCHEMA).select(F.col("doc").alias("_d"), F.shiftright("pos", RANK).cast("int").alias("_r"), "pos", "span")
     items = gone.groupBy("_d", "_r").agg(F.collect_list(F.struct("pos", "span")).alias("items"))
     kept = T.StringType() if as_text else T.BinaryType()
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]))
     schema = T.StructType([*rows.select("doc_id", *carried).schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("kept", kept), T.StructField("spans", spans)])
-    out = texts.join(items, ["_d", "_r"], "left").mapInArrow(_apply(as_text, ["doc_id", *carried]), schema)
+    out = texts.join(items, ["_d", "_r"], "left").transform(in_arrow, _apply(as_text, ["doc_id", *carried]), schema)
     return out.withColumnsRenamed(dict(zip(carried, carry, strict=True)))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees, Isotonic
+from .common import in_arrow
 from .kernels import U64, chunks, span_hashes, text_bytes, word_spans
 
 #: Labelled rows that are learned from at most: the first by a hash of their ids. The only rows not taken whole.
@@ -131,7 +132,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     bounded = spark.createDataFrame([(i, y, f) for i, (y, f) in y_of.items()], "id long, toxic int, fold int")
     known = rows.join(F.broadcast(bounded), F.col("doc_id") == F.col("id"))  # at most `sample` rows of three numbers
     words, begins = _learned(known.filter("fold <> 4"), sum(learning.values()), len(learning))
-    table = known.select("toxic", "fold", "text").mapInArrow(_featured(words, begins), "toxic int, fold int, x array<double>").toPandas()
+    table = known.select("toxic", "fold", "text").transform(in_arrow, _featured(words, begins), "toxic int, fold int, x array<double>").toPandas()
     model = None
     if len(table):
         x, y, fold = np.stack(table["x"].to_numpy()), table["toxic"].to_numpy(float), table["fold"].to_numpy()
@@ -140,7 +141,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
             trees = BoostedTrees().fit(x[fit], y[fit])
             cal = cal if 0 < y[cal].sum() < cal.sum() else fit
             model = (trees, Isotonic().fit(trees.margin(x[cal]), y[cal]))
-    scored = rows.mapInArrow(_scored(words, begins, model), "doc_id long, score double")
+    scored = rows.transform(in_arrow, _scored(words, begins, model), "doc_id long, score double")
     out = scored.select("doc_id", F.coalesce(_fold("doc_id") == 0, F.lit(False)).alias("held_out"), "score")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
@@ -160,7 +161,7 @@ def _learned(known: DataFrame, toxic: int, both: int) -> tuple[frozenset[str], f
             keys = list(counts)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([counts[k][0] for k in keys], pa.int64()), pa.array([counts[k][1] for k in keys], pa.int64())], names=["w", "kind", "c0", "c1"])
 
-    total = known.select("text", "toxic").mapInArrow(run, "w string, kind int, c0 long, c1 long").groupBy("w", "kind").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    total = known.select("text", "toxic").transform(in_arrow, run, "w string, kind int, c0 long, c1 long").groupBy("w", "kind").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
     odds = (F.col("c1") / toxic) / ((F.col("c0") + 0.5) / (both - toxic))
     found = total.filter((F.col("c1") >= SUPPORT) & (odds >= ODDS)).orderBy(F.desc("c1"), "w", "kind").limit(LEARNED).collect()
     return frozenset(r["w"] for r in found if r["kind"] == 0), frozenset(r["w"] for r in found if r["kind"] == 1)
