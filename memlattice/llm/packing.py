@@ -18,7 +18,7 @@ from .common import in_arrow
 from .kernels import LOWER, U64, chunks, span_hashes, text_bytes, word_spans
 
 #: Words whose ids a worker remembers; it starts anew beyond.
-REMEMBERED = 1_000_000
+REMEMBERED = 2_000_000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
@@ -51,7 +51,7 @@ class WordEncoder:
         starts, ends, first = word_spans(buf, offs)
         if not len(starts):
             return starts, ends, first
-        last = np.maximum.accumulate(np.where(_STOP[buf], -1, np.arange(len(buf))))[ends - 1]
+        last = np.maximum.accumulate(np.where(_STOP[buf], np.int32(-1), np.arange(len(buf), dtype=np.int32)))[ends - 1]
         split = (last < ends - 1) & (last >= starts) & _LETTER[buf[last]]
         s = np.concatenate([starts, last[split] + 1])
         e = np.concatenate([np.where(split, last + 1, ends), ends[split]])
@@ -77,11 +77,10 @@ class WordEncoder:
             lens = np.fromiter(map(len, got), np.int64, len(got))
             where = len(self.ids) + np.cumsum(lens) - lens
             self.ids = np.concatenate([self.ids, np.fromiter((i for ids in got for i in ids), np.uint32, int(lens.sum()))])
-            known = np.concatenate([self.known, words[new]])
-            order = np.argsort(known)
-            self.known = known[order]
-            self.at, self.len = np.concatenate([self.at, where])[order], np.concatenate([self.len, lens])[order]
-            at = np.searchsorted(self.known, words)
+            place = at[new]  # both sides are sorted
+            self.known = np.insert(self.known, place, words[new])
+            self.at, self.len = np.insert(self.at, place, where), np.insert(self.len, place, lens)
+            at = at + np.cumsum(new) - new
         at = at[inverse] if len(words) else np.zeros(0, np.int64)
         lens = self.len[at]
         total = np.r_[0, np.cumsum(lens)]
