@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What marks an update.
-UPDATE_MARKERS = ("updated", "changed", "replaced", "no longer", "instead", "supersede", "deprecated", "corrected", "revised", "now uses", "switched", "moved to", "更新", "改为", "替换", "不再")
+UPDATE_MARKERS = ("更新", "变更", "改为", "改成", "调整", "升级", "目前", "现在", "之前", "原先", "最新", "supersed", "updated", "changed", "currently", "previously")
+#: A JSON key that has one of these holds a secret.
+SENSITIVE = ("api_key", "api-key", "apikey", "token", "secret", "password", "passwd", "credential", "auth", "authorization", "bearer", "access_key", "accesskey", "private_key", "privatekey", "ssl_key", "ssh_key", "admin_key", "adminkey")
 
 
 def tokens(c: Column) -> Column:
@@ -59,17 +61,16 @@ def chunk_text(c: Column, size: int = 3500, overlap: int = 200) -> Column:
 
 
 def relative_dates(c: Column, anchor: str) -> Column:
-    """Dates that words like yesterday, last week or next month mean on the day of the anchor, in order of this list."""
-    day, low = F.lit(anchor).cast("date"), F.lower(c)
+    """Dates that Chinese words for yesterday, last week or next month mean on the day of the anchor, in order of this list."""
+    day = F.lit(anchor).cast("date")
     week, month, year = F.trunc(day, "week"), F.trunc(day, "MM"), F.trunc(day, "YYYY")
-    said = {
-        "today": day, "yesterday": F.date_sub(day, 1), "tomorrow": F.date_add(day, 1), "last week": F.date_sub(week, 7), "this week": week,
-        "last month": F.add_months(month, -1).cast("date"), "this month": month, "next month": F.add_months(month, 1).cast("date"), "last year": F.add_months(year, -12).cast("date"), "this year": year,
-    }
-    for which, back in (("last week", 7), ("this week", 0)):
-        for n, name in enumerate(("mon", "tue", "wed", "thu", "fri", "sat", "sun")):
-            said[f"{which} {name}"] = F.date_add(F.date_sub(week, back), n)
-    return F.array_distinct(F.array_compact(F.array(*(F.when(F.contains(low, F.lit(k)), F.date_format(v, "yyyy-MM-dd")) for k, v in said.items()))))
+    said = [(("今天", "今日", "当日", "当天"), day), (("昨天", "昨日"), F.date_sub(day, 1)), (("明天", "明日"), F.date_add(day, 1)), (("前天",), F.date_sub(day, 2)), (("后天",), F.date_add(day, 2))]
+    said += [(("上周",), F.date_sub(week, 7)), (("本周", "这周"), week)]
+    for n, name in enumerate("一二三四五六日"):
+        said += [((f"上周{name}",), F.date_add(week, n - 7)), ((f"本周{name}", f"这周{name}"), F.date_add(week, n))]
+    said += [(("上月", "上个月"), F.add_months(month, -1)), (("本月", "这个月"), month), (("下月", "下个月"), F.add_months(month, 1)), (("今年",), year), (("去年",), F.add_months(year, -12))]
+    found = (F.when(c.rlike("|".join(words)), F.date_format(d.cast("date"), "yyyy-MM-dd")) for words, d in said)
+    return F.array_distinct(F.array_compact(F.array(*found)))
 
 
 def occurred(tags: Column) -> Column:
@@ -80,12 +81,18 @@ def occurred(tags: Column) -> Column:
 def signal_tags(tags: Column, content: Column) -> Column:
     """Tags with the signals of the content: old signal tags go, numbers (8), dates (4) and markers (4) are added."""
     rest = F.filter(tags, lambda t: ~t.startswith("signal:"))
-    new = [F.transform(F.slice(f(content), 1, n), lambda x, p=p: F.concat(F.lit(p), x)) for f, n, p in ((numbers, 8, "signal:num:"), (dates, 4, "signal:date:"), (update_markers, 4, "signal:update:"))]
-    return F.array_distinct(F.concat(rest, *new))
+    named = lambda values, n, name: F.transform(F.slice(values, 1, n), lambda x: F.concat(F.lit(f"signal:{name}:"), x))
+    return F.array_distinct(F.concat(rest, named(numbers(content), 8, "num"), named(dates(content), 4, "date"), named(update_markers(content), 4, "update")))
 
 
 def safe_filename(c: Column) -> Column:
-    return F.regexp_replace(c, r"[^A-Za-z0-9._-]", "_")
+    """The last part of a path with other characters than ASCII letters, digits, dot, dash and underscore replaced."""
+    return F.regexp_replace(F.regexp_extract(c, "([^/]*)/*$", 1), r"[^A-Za-z0-9._-]", "_")
+
+
+def ns_folder(c: Column) -> Column:
+    """A namespace as a folder's name: slashes become underscores, other characters go."""
+    return F.regexp_replace(F.regexp_replace(c, r"[/\\\\]", "_"), r"[^A-Za-z0-9._-]", "")
 
 
 def truncate(c: Column, n: int) -> Column:
@@ -94,51 +101,136 @@ def truncate(c: Column, n: int) -> Column:
 
 
 def mask_secrets(c: Column) -> Column:
-    """JSON values of sensitive keys keep four characters."""
-    return F.regexp_replace(c, r'("(?:token|password|secret|api_key|badge_token)"\s*:\s*")([^"]{0,4})[^"]*"', '$1$2****"')
+    """Strings under sensitive JSON keys keep four characters, if they have more, before four stars; text that isn't JSON is masked
+    after a sensitive word and one of = : ' up to a comma, blank or closing bracket."""
+    keys = "|".join(SENSITIVE)
+    key = rf'("[^"]*(?i:{keys})[^"]*"\s*:\s*")'
+    in_json = F.regexp_replace(c, key + r'((?:[^"\\]|\\.){4})(?:[^"\\]|\\.)+"', '$1$2****"')
+    in_json = F.regexp_replace(in_json, key + r'(?:[^"\\]|\\.){0,4}"', '$1****"')
+    word, part = rf"""((?i:{keys})(?:=|'|":|:))""", r"[^,}) \n\r]"
+    in_text = F.regexp_replace(c, rf"{word}({part}{{4}}){part}+", "$1$2****")
+    in_text = F.regexp_replace(in_text, rf"{word}(?:{part}{{1,4}}(?!{part})|(?=[,}}) \n\r]))", "$1****")
+    return F.when(F.try_parse_json(c).isNotNull(), in_json).otherwise(in_text)
 
 
 def iso_week(c: Column) -> Column:
     return F.concat(F.extract(F.lit("YEAROFWEEK"), c).cast("string"), F.lit("w"), F.lpad(F.weekofyear(c).cast("string"), 2, "0"))
 
 
-def detect_kind(name: Column) -> Column:
-    low = F.lower(name)
-    out = F.lit(None).cast("string")
-    for ext in ("xls", "xlsx", "docx", "pdf"):
-        out = F.when(low.endswith(f".{ext}"), ext).otherwise(out)
-    return out
+#: Kinds of files, by their ending, and their content types.
+KINDS = {
+    "pdf": "application/pdf",
+    "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+    "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+    "xls": "application/vnd.ms-excel",
+}
+
+
+def detect_kind(name: Column, content_type: Column | None = None) -> Column:
+    """pdf, docx, xlsx or xls by the name's ending or the content type, in this order; else null."""
+    tests = [F.when(F.lower(name).endswith(f".{kind}") | (F.coalesce(content_type == mime, F.lit(False)) if content_type is not None else F.lit(False)), kind) for kind, mime in KINDS.items()]
+    return F.coalesce(*tests)
 
 
 def local_name(iri: Column) -> Column:
-    return F.regexp_extract(F.regexp_replace(iri, "[<>]", ""), r"([^/#:]*)$", 1)
+    """What follows the last / or #; the whole if that is nothing."""
+    last = F.regexp_extract(iri, r"([^/#]*)$", 1)
+    return F.when(last == "", iri).otherwise(last)
+
+
+def normal_iri(iri: Column) -> Column:
+    """Without / and # at the end."""
+    return F.regexp_replace(iri, r"(?<=.)[/#]+$", "")
+
+
+#: Predicates that become relations.
+RELATION_OF = {
+    "references": "references",
+    "supersedes": "supersedes",
+    "createdBy": "created_by",
+    "created_by": "created_by",
+    "conflictsWith": "conflicts_with",
+    "conflicts_with": "conflicts_with",
+    "dependsOn": "depends_on",
+    "depends_on": "depends_on",
+    "partOf": "part_of",
+    "part_of": "part_of",
+    "belongsTo": "belongs_to",
+    "belongs_to": "belongs_to",
+}
+#: What a relation between memories may be called.
+MEMORY_RELATIONS = {"updates": "updates", "update": "updates", "extends": "extends", "extend": "extends", "derives": "derives", "derive": "derives", "same_entity": "same_entity", "chronological": "chronological", "semantic_related": "semantic_related"}
+
+
+def memory_relation(c: Column) -> Column:
+    """The relation a name stands for: updates if it is null, null if it is none of them."""
+    names = F.create_map(*(F.lit(x) for kv in MEMORY_RELATIONS.items() for x in kv))
+    return F.element_at(names, F.lower(F.trim(F.coalesce(c, F.lit("updates")))))
 
 
 def kind_of(category: Column, tags: Column) -> Column:
     """hard_rule before pref, style and insight; else the category."""
-    out = category
-    for tag in ("insight", "style", "pref", "hard_rule"):
-        out = F.when(F.array_contains(tags, tag), tag).otherwise(out)
-    return out
+    has = lambda *names: F.arrays_overlap(tags, F.array(*map(F.lit, names)))
+    return F.when(has("hard_rule"), "hard_rule").when(has("pref"), "pref").when(has("style"), "style").when(has("insight", "auto_insight"), "insight").otherwise(category)
 
 
 def channel_of(source: Column) -> Column:
-    out = F.lit("other")
+    """The first channel whose name is in the source, keyword also by like; else the source itself."""
+    out = source
     for key, name in (("category", "category"), ("importance", "importance"), ("temporal", "temporal"), ("semantic", "semantic"), ("like", "keyword"), ("keyword", "keyword")):
         out = F.when(F.contains(source, F.lit(key)), name).otherwise(out)
     return out
 
 
-def distill(c: Column, limit: int = 1200) -> Column:
-    """Texts over the limit become their first, last and three middle sentences of most frequent tokens, in order.
+#: Words of a question and the advice they call for.
+ADVICE = {
+    "COUNT_TOTAL_DEDUP": ("how many", "total", "count", "数量", "总数", "几个", "多少个", "累计"),
+    "RELATIVE_DATE_GROUNDING": ("ago", "before", "after", "last", "next", "yesterday", "tomorrow", "前", "后", "之前", "之后", "昨天", "明天", "上周", "本周", "这周", "上月", "上个月", "下个月", "下月", "去年", "今年", "本月", "今天", "今日", "当日", "当天", "近年", "相对"),
+    "AMOUNT_DIFFERENCE_CALIBRATION": ("how much", "difference", "cost", "spent", "amount", "差额", "花了多少", "差多少", "成本", "余额", "多少钱"),
+    "CURRENT_PREVIOUS_ARBITRATION": ("current", "latest", "previous", "initially", "before", "当前", "最新", "之前", "最初", "原先", "现在", "过去"),
+}
+
+
+def guardrails(question: Column) -> Column:
+    """The advice a question calls for, in this order."""
+    return F.array_compact(F.array(*(F.when(F.lower(question).rlike("|".join(words)), name) for name, words in ADVICE.items())))
+
+
+def evolved_context(c: Column) -> Column:
+    """What a promoted memory's context says: its first 120 characters."""
+    body = F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.concat(F.lit("[auto-promoted] "), F.when(F.coalesce(body, F.lit("")) == "", "(no content)").otherwise(truncate(body, 120)))
+
+
+def cjk_shingles(c: Column) -> Column:
+    """Distinct runs of two to four Chinese characters."""
+    runs = F.split(F.regexp_replace(c, "[^一-鿿]+", " "), " ")
+
+    def grams(n: int) -> Column:
+        cut = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substr(w, i, F.lit(n)))
+        return F.flatten(F.transform(F.filter(runs, lambda w: F.length(w) >= n), cut))
+
+    return F.array_distinct(F.concat(*map(grams, (2, 3, 4))))
+
+
+def keyword_query(content: Column, tags: Column) -> Column:
+    """The first eight tags that aren't blank, else the first 40 characters with single blanks."""
+    real = F.filter(F.transform(tags, F.trim), lambda t: t != "")
+    plain = F.substring(F.regexp_replace(F.regexp_replace(content, r"^\s+|\s+$", ""), r"\s+", " "), 1, 40)
+    return F.when(F.size(real) > 0, F.array_join(F.slice(real, 1, 8), " ")).otherwise(plain)
+
+
+def distill(c: Column, latin: int = 1200, chinese: int = 600) -> Column:
+    """Texts over the limit (1200 characters, 600 if mostly Chinese) become their first, last and three middle sentences of most frequent tokens, in order.
 
     A text of one sentence becomes its beginning. What is kept is joined and cut to the limit.
     """
     every, n = sentences(c), F.size(sentences(c))
+    limit = F.when(mostly_chinese(c), chinese).otherwise(latin)
     words = tokens(c)
     weight = lambda s: F.aggregate(tokens(s), F.lit(0), lambda a, t: a + F.size(F.filter(words, lambda w: w == t)))
     middle = F.transform(F.sequence(F.lit(2), F.greatest(n - 1, F.lit(2))), lambda i: F.struct((-weight(F.element_at(every, i))).alias("w"), i.alias("i")))
     best = F.transform(F.slice(F.array_sort(middle), 1, 3), lambda x: x["i"])
     keep = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(1)), F.when(n > 2, best).otherwise(F.array().cast("array<int>")), F.array(n))))
     joined = F.array_join(F.transform(keep, lambda i: F.element_at(every, i)), "")
-    return F.when(F.length(c) <= limit, c).when(n <= 1, F.substring(c, 1, limit)).otherwise(F.substring(joined, 1, limit))
+    return F.when(F.length(c) <= limit, c).when(n <= 1, F.substr(c, F.lit(1), limit)).otherwise(F.substr(joined, F.lit(1), limit))

@@ -5,41 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Neighbours a frontier node may add of each type; the order is also their priority.
-CAPS = {"updates": 6, "extends": 4, "derives": 8, "semantic_related": 2, "same_entity": 2}
+#: Neighbours a frontier node may add of each type, OTHER of any other, and the types it looks at first.
+CAPS, OTHER = {"semantic_related": 6, "same_entity": 4, "updates": 8, "chronological": 2}, 2
+FIRST = ("semantic_related", "updates", "same_entity")
 
 
 def expand(seeds: DataFrame, relations: DataFrame, hops: int = 2, fanout: int = 10, decay: float = 0.5) -> DataFrame:
-    """(query_id, node, hop, score) reached from seeds (query_id, node, score) within `hops` (3 at most).
+    """(query_id, node, hop, score, graph) reached from seeds (query_id, node, score) within `hops` (3 at most).
 
     Hop by hop: each frontier node looks at its first max(3 * fanout, 20) neighbours by type and weight; seen ones
     drop out; the first frontier node to claim a neighbour has it, and each adds only so many of a type. A claimed neighbour
-    counts as seen even if the cap leaves it out. A score is the source's times decay and max(|weight|, .1).
+    counts as seen even if the cap leaves it out. A score is the best seed's times
+    decay for each hop and max(weight, .1); graph is the product of the weights on the way. Weights of 0 or less don't count.
     """
     both = relations.select(F.col("source_id").alias("at"), F.col("target_id").alias("node"), "relation_type", "weight")
-    both = both.union(relations.select(F.col("target_id").alias("at"), F.col("source_id").alias("node"), "relation_type", "weight")).distinct()
-    priority, cap = F.lit(len(CAPS)), F.lit(0)
-    for i, (name, most) in enumerate(CAPS.items()):
-        priority, cap = F.when(F.col("relation_type") == name, i).otherwise(priority), F.when(F.col("relation_type") == name, most).otherwise(cap)
+    both = both.union(relations.select(F.col("target_id").alias("at"), F.col("source_id").alias("node"), "relation_type", "weight")).filter("weight > 0").distinct()
+    priority, cap = F.lit(len(FIRST)), F.lit(OTHER)
+    for name, most in CAPS.items():
+        cap = F.when(F.col("relation_type") == name, most).otherwise(cap)
+    for i, name in enumerate(FIRST):
+        priority = F.when(F.col("relation_type") == name, i).otherwise(priority)
     both = both.withColumn("priority", priority).withColumn("cap", cap)
     # which neighbours a node looks at doesn't depend on the query: cut before the join
-    look = Window.partitionBy("at").orderBy("priority", F.desc("weight"), "node")
+    look = Window.partitionBy("at").orderBy("priority", F.desc("weight"), "node", "relation_type")
     both = both.withColumn("pos", F.row_number().over(look)).filter(F.col("pos") <= max(3 * fanout, 20))
     first = Window.partitionBy("query_id").orderBy(F.desc("score"), "node")
-    frontier = seeds.select("query_id", "node", "score").withColumn("fpos", F.row_number().over(first))
+    frontier = seeds.select("query_id", "node", F.max("score").over(Window.partitionBy("query_id")).alias("best"), F.lit(1.0).alias("graph"), F.row_number().over(first).alias("fpos"))
     seen, found = frontier.select("query_id", "node"), None
     for hop in range(1, min(hops, 3) + 1):
-        f = frontier.select("query_id", F.col("node").alias("at"), F.col("score").alias("from_score"), "fpos")
+        f = frontier.select("query_id", F.col("node").alias("at"), "best", F.col("graph").alias("way"), "fpos")
         step = f.join(both, "at").join(seen, ["query_id", "node"], "left_anti")
         claim = Window.partitionBy("query_id", "node").orderBy("fpos", "pos")
         step = step.withColumn("c", F.row_number().over(claim)).filter("c = 1")
         fits = Window.partitionBy("query_id", "at", "relation_type").orderBy("pos")
         claimed = step.select("query_id", "node")
-        step = step.withColumn("t", F.row_number().over(fits)).filter("t <= cap").withColumn("score", F.col("from_score") * decay * F.greatest(F.abs("weight"), F.lit(0.1)))
-        nodes = step.select("query_id", "node", F.lit(hop).alias("hop"), "score", F.struct("fpos", "pos").alias("order"))
-        frontier = nodes.select("query_id", "node", "score", F.row_number().over(Window.partitionBy("query_id").orderBy("order")).alias("fpos"))
+        step = step.withColumn("t", F.row_number().over(fits)).filter("t <= cap").withColumn("score", F.col("best") * decay**hop * F.greatest("weight", F.lit(0.1)))
+        nodes = step.select("query_id", "node", F.lit(hop).alias("hop"), "score", (F.col("way") * F.col("weight")).alias("graph"), "best", F.struct("fpos", "pos").alias("order"))
+        frontier = nodes.select("query_id", "node", "best", "graph", F.row_number().over(Window.partitionBy("query_id").orderBy("order")).alias("fpos"))
         seen = seen.union(claimed)
-        found = nodes.drop("order") if found is None else found.union(nodes.drop("order"))
+        found = nodes.drop("order", "best") if found is None else found.union(nodes.drop("order", "best"))
     return found
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.temporal import closing_time
+from ..functions.temporal import closing_time, valid_at
 
 QUOTAS = {"write": 10_000, "search": 600, "profile": 10, "backup": 12}
 
@@ -79,3 +79,20 @@ def observe_cursor(memories: DataFrame, since: str, limit: int = 200) -> DataFra
     """The next unconsolidated observations after a cursor."""
     w = F.col("category") == "observation"
     return memories.filter((F.col("created_at") > since) & (w | F.col("category").isNull())).orderBy("created_at", "key").limit(limit)
+
+
+def profile(memories: DataFrame, now: str, as_of: str | None = None, static: int = 12, dynamic: int = 15) -> DataFrame:
+    """memories with part, kind and n: the first static and dynamic rows of each namespace, valid and, without as_of, not superseded.
+
+    Static are preferences with a tag for one and rows tagged profile_static, hard rules first; dynamic are decisions,
+    facts and patterns, by category or tag, that aren't insights. A row may be both.
+    """
+    live = memories.filter(valid_at(F.col("valid_from"), F.col("valid_to"), as_of or now))
+    live = live if as_of else live.filter("superseded_by is null")
+    has = lambda *names: F.coalesce(F.arrays_overlap("tags", F.array(*map(F.lit, names))), F.lit(False))
+    live = live.withColumn("kind", T.kind_of(F.col("category"), F.col("tags")))
+    a = live.filter(((F.col("category") == "preference") & has("hard_rule", "pref", "style")) | has("profile_static")).select("*", F.lit("static").alias("part"), has("hard_rule").alias("_top"))
+    b = live.filter((F.col("category").isin("decision", "fact", "pattern") | has("decision", "fact", "pattern")) & ~has("insight", "auto_insight")).select("*", F.lit("dynamic").alias("part"), F.lit(False).alias("_top"))
+    w = Window.partitionBy("namespace", "part").orderBy(F.desc("_top"), F.desc("importance"), F.desc("created_at"), "key")
+    out = a.unionByName(b).withColumn("n", F.row_number().over(w))
+    return out.filter(F.col("n") <= F.when(F.col("part") == "static", static).otherwise(dynamic)).drop("_top")

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Vectors of a tile, and the bytes of tiles sent to Python at a time.
+TILE = 1024
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20)
+
 
 def _fold(a: Column, b: Column, f) -> Column:  # noqa: ANN001
     return F.aggregate(F.zip_with(a, b, f), F.lit(0.0), lambda s, x: s + x)
@@ -58,19 +67,70 @@ def clean(vectors: DataFrame, dim: int | None = None, v: str = "v") -> DataFrame
     return out.filter(F.size(v) == dim) if dim else out
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int, parts: int = 8, same: list[str] | None = None) -> DataFrame:
+def _tiles(rows: DataFrame, same: list[str]) -> DataFrame:
+    """Rows (key long, v, same) packed, partition by partition, into (dim, keys, owners, m): unit vectors of one dimension, TILE at most."""
+    owner = F.concat_ws("\u0001", *(F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in same)) if same else F.lit("")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, owners = batch["key"].to_numpy(zero_copy_only=False), np.array(batch["owner"].to_pylist(), dtype=object)
+            lengths = pc.list_value_length(batch["v"]).to_numpy(zero_copy_only=False)
+            for dim in np.unique(lengths[lengths > 0]):
+                at = np.flatnonzero(lengths == dim)
+                m = pc.list_flatten(batch["v"].take(pa.array(at))).to_numpy(zero_copy_only=False).astype(float).reshape(-1, int(dim))
+                with np.errstate(all="ignore"):
+                    norm = np.sqrt((m * m).sum(axis=1))
+                    ok = np.isfinite(norm) & (norm > 0)
+                    m = m[ok] / norm[ok, None]
+                at = at[ok]
+                for i in range(0, len(at), TILE):
+                    of = at[i : i + TILE]
+                    yield pa.RecordBatch.from_pydict({"dim": [int(dim)], "keys": [keys[of].astype("<i8").tobytes()], "owners": [owners[of].tolist()], "m": [m[i : i + TILE].astype("<f8").tobytes()]}, schema=packed)
+
+    packed = pa.schema([("dim", pa.int32()), ("keys", pa.binary()), ("owners", pa.list_(pa.string())), ("m", pa.binary())])
+    rows = rows.filter(F.col("key").isNotNull() & F.col("v").isNotNull()).select(F.col("key").cast("long").alias("key"), F.col("v").cast("array<double>").alias("v"), owner.alias("owner"))
+    return rows.mapInArrow(run, "dim int, keys binary, owners array<string>, m binary")
+
+
+def knn(queries: DataFrame, vectors: DataFrame, k: int, parts: int | None = None, same: list[str] | None = None, earlier: bool = False) -> DataFrame:
     """(query_id, key, score) of the k vectors of largest cosine, ties (to six places) to the smaller key.
 
-    Vectors are dealt into parts and the queries go to every part, so neither side is broadcast and no task holds
-    all pairs; each part keeps its own k before the final top k. same: columns that must be equal on both sides.
+    Both sides are packed into tiles of bounded size, the vectors' dealt into parts (as many as shuffle partitions), the queries' sent to
+    every part; a tile keeps its own k for each query before the final top k, so no side is collected and no task holds all pairs.
+    same: columns that must be equal on both sides. earlier: only vectors of a smaller key than the query's.
     """
-    same = same or []
-    q = queries.select("query_id", *same, F.col("v").alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    x = clean(vectors).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
-    scored = clean(q, v="qv").join(x, ["part", *same]).filter(F.size("qv") == F.size("v")).select("query_id", "part", "key", cosine(F.col("qv"), F.col("v")).alias("score"))
-    order = [F.desc(F.round("score", 6)), F.col("key")]
-    local = scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))).filter(F.col("r") <= k)
-    return local.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("r") <= k).select("query_id", "key", "score")
+    conf = queries.sparkSession.conf
+    if conf.get(BATCH_KEY, None) is None:
+        conf.set(BATCH_KEY, BATCH_BYTES)
+    parts, same = parts or int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), same or []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                dim, qk, xk = batch["dim"][i].as_py(), *(np.frombuffer(batch[c][i].as_py(), "<i8") for c in ("q_keys", "x_keys"))
+                q, x = (np.frombuffer(batch[c][i].as_py(), "<f8").reshape(-1, dim) for c in ("q_m", "x_m"))
+                s = q @ x.T
+                fits = np.ones(s.shape, dtype=bool)
+                if same:
+                    fits &= np.array(batch["q_owners"][i].as_py(), object)[:, None] == np.array(batch["x_owners"][i].as_py(), object)
+                if earlier:
+                    fits &= xk < qk[:, None]
+                s[~fits] = -2
+                # what is over a k-th largest score less a margin for rounding may be among the k; the order below decides
+                floor = np.partition(s, len(xk) - k, axis=1)[:, len(xk) - k] - 2e-6 if k < len(xk) else np.full(len(qk), -1.5)
+                row, col = np.nonzero((s >= floor[:, None]) & fits)
+                order = np.lexsort((xk[col], -np.round(s[row, col], 6), row))
+                row, col = row[order], col[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                row, col = row[place < k], col[place < k]
+                yield pa.RecordBatch.from_pydict({"query_id": qk[row], "key": xk[col], "score": np.clip(s[row, col], -1, 1)})
+
+    asked, held = _tiles(queries.withColumn("key", F.col("query_id")), same), _tiles(vectors, same)
+    q = asked.select("dim", *(F.col(c).alias(f"q_{c}") for c in ("keys", "owners", "m")), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    x = held.select("dim", *(F.col(c).alias(f"x_{c}") for c in ("keys", "owners", "m")), F.pmod(F.xxhash64("keys"), F.lit(parts)).cast("int").alias("part"))
+    found = q.join(x, ["part", "dim"]).mapInArrow(run, "query_id long, key long, score double")
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), F.col("key"))
+    return found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).select("query_id", "key", "score")
 
 
 def knn_edges(vectors: DataFrame, k: int = 12, least: float = 0.6, cap: int = 8, same: list[str] | None = None) -> DataFrame:
@@ -108,12 +168,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.92, topk: int = 10, sam
 
     Later rows have larger keys. The k nearest are taken among all earlier rows, of any namespace.
     """
-    parts = 8
-    a = clean(vectors).select(F.col("key").alias("new"), F.col("v").alias("nv"), *(F.col(c).alias(f"n_{c}") for c in same or []), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    b = clean(vectors).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
-    pairs = a.join(b, "part").filter("key < new").withColumn("score", cosine(F.col("nv"), F.col("v")))
-    w = Window.partitionBy("new").orderBy(F.desc(F.round("score", 6)), "key")
-    near = pairs.withColumn("r", F.row_number().over(w)).filter((F.col("r") <= topk) & (F.round("score", 6) > least))
-    for c in same or []:
-        near = near.filter(F.col(f"n_{c}") == F.col(c))
-    return near.groupBy(F.col("key").alias("old")).agg(F.min("new").alias("new"))
+    near = knn(vectors.withColumnRenamed("key", "query_id"), vectors, topk, earlier=True).filter(F.round("score", 6) > least)
+    if same:
+        of = lambda key: vectors.select(F.col("key").alias(key), *same)
+        near = near.join(of("key"), "key").join(of("query_id"), ["query_id", *same], "left_semi")
+    return near.groupBy(F.col("key").alias("old")).agg(F.min("query_id").alias("new"))

@@ -48,20 +48,23 @@ def _rank(source: str, channel: str, n: int, by: str = "query_id") -> str:
 
 
 SIGNALS = f"""{MEM}, {QRY}, qns AS (SELECT *, 'src' || (query_id % 20)::VARCHAR AS namespace FROM qry), {BM25}, {KNN},
-semp AS (SELECT * FROM sem WHERE score > 0),
+bmn AS (SELECT query_id, key, score FROM bm JOIN mem USING (key) JOIN qns USING (query_id, namespace)),
+semp AS (SELECT query_id, key, score FROM sem JOIN mem USING (key) JOIN qns USING (query_id, namespace) WHERE score > 0),
 tmp AS (SELECT namespace, key, {TEMPORAL_SCORE} AS score FROM (SELECT *, row_number() OVER (PARTITION BY namespace ORDER BY created_at DESC, key) AS rn FROM mem) WHERE rn <= 30),
 imp AS (SELECT namespace, key, importance * decay / 5 AS score FROM mem WHERE tier IN ('hot', 'warm')),
-cat AS (SELECT query_id, key, 1.0::DOUBLE AS score FROM (SELECT DISTINCT query_id, c, regexp_matches(w, '[a-z]') FROM qry, (VALUES {TRIGGERS_SQL}) t(w, c) WHERE contains(text, w)) JOIN mem ON category = c WHERE tier IN ('hot', 'warm')),
-sig AS ({_rank("bm", "keyword", 50)} UNION ALL {_rank("semp", "semantic", 50)}
+cat AS (SELECT query_id, key, 1.0::DOUBLE AS score FROM (SELECT query_id, c, namespace FROM qns, (VALUES {TRIGGERS_SQL}) t(w, c) WHERE contains(text, w)) n JOIN mem m ON category = c AND m.namespace = n.namespace WHERE tier IN ('hot', 'warm')),
+sig AS ({_rank("bmn", "keyword", 50)} UNION ALL {_rank("semp", "semantic", 50)}
   UNION ALL SELECT query_id, channel, key, score, rank FROM qns JOIN ({_rank("tmp", "temporal", 30, "namespace")} UNION ALL {_rank("imp", "importance", 30, "namespace")}) USING (namespace)
   UNION ALL {_rank("cat", "category", 10)})"""
 FUSED = f"""{SIGNALS}, fused AS (
   SELECT query_id, key, sum(CASE channel WHEN 'category' THEN 0.5 ELSE 1.0 END / (61 + rank)) AS rrf,
     coalesce(max(score) FILTER (channel = 'semantic'), 0) AS sem, coalesce(max(score) FILTER (channel = 'keyword'), 0) AS kw FROM sig GROUP BY 1, 2)"""
-NUMS = lambda c: f"list_distinct(regexp_extract_all({c}, '([0-9]+(?:\\.[0-9]+)?)', 1)[1:8])"
+ONCE = lambda c: f"list_filter({c}, lambda x, i: list_position({c}, x) = i)"
+FOUND = lambda c: ONCE(f"list_filter(regexp_extract_all({c}, '([0-9]+(?:\\.[0-9]+)?)', 1), lambda x: length(x) <= 24)")
+SHARED = lambda q, c: f"len(list_intersect({FOUND(q)}, {FOUND(c)}[1:8]))"
 SCORED = f"""{FUSED}, kept AS (
   SELECT query_id, f.key, sem, kw, recall_count, last_recalled,
-    rrf + least(0.05, 0.01 * len(list_intersect({NUMS('q.text')}, {NUMS('m.content')}))) AS rrf
+    rrf + least(0.05, 0.01 * {SHARED('q.text', 'm.content')}) AS rrf
   FROM fused f JOIN mem m USING (key) JOIN qry q USING (query_id) WHERE superseded_by IS NULL AND {VALID}),
 scored AS (SELECT *, CASE WHEN max(rrf) OVER w > 0 THEN 0.3 * rrf / max(rrf) OVER w ELSE 0 END + CASE WHEN max(sem) OVER w > 0 THEN 0.2 * sem / max(sem) OVER w ELSE 0 END
     + CASE WHEN max(kw) OVER w > 0 THEN 0.5 * kw / max(kw) OVER w ELSE 0 END + 0.1 * recall_count / (recall_count + 10)
@@ -114,10 +117,10 @@ def evolve_backlog(s: SparkSession, d: str) -> DataFrame:
     return A.memories(s, d).filter("evolved_at is null").groupBy("namespace").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "namespace").limit(1)
 
 
-@query("SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0)")
+@query("SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)")
 def orphan_vectors(s: SparkSession, d: str) -> DataFrame:
-    memories = A.memories(s, d).filter("key % 3 <> 0")
-    return A.vectors(s, d).join(memories, "key", "left_anti").select(F.col("key").alias("vec_id"))
+    held = A.table(s, d, "labels").select(F.col("doc_id").alias("key"))
+    return A.vectors(s, d).join(held, "key", "left_anti").select(F.col("key").alias("vec_id"))
 
 
 @query(f"WITH {MEM} SELECT key, importance, decay FROM mem WHERE tier = 'hot' AND category = 'fact' AND importance >= 3 AND content LIKE '%the%' ORDER BY importance DESC, key LIMIT 50 OFFSET 10")
@@ -137,12 +140,12 @@ def importance_signal(s: SparkSession, d: str) -> DataFrame:
     return signals.ranked(signals.importance(A.memories(s, d)), "importance", 30, "namespace").select("namespace", "key", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-_CATEGORY_QUERIES = "qry AS (SELECT event_type AS query_id, 'which ' || event_type || ' decision or preferred pattern' AS text FROM (SELECT DISTINCT event_type FROM events))"
+_CATEGORY_QUERIES = "qry AS (SELECT event_type AS query_id, 'which ' || event_type || ' decision, 决定 or fact' AS text FROM (SELECT DISTINCT event_type FROM events))"
 
 
-@query(f"WITH {MEM}, {_CATEGORY_QUERIES} SELECT query_id, key, count(*) AS n FROM (SELECT DISTINCT query_id, c, regexp_matches(w, '[a-z]') FROM qry, (VALUES {TRIGGERS_SQL}) t(w, c) WHERE contains(text, w)) JOIN mem ON category = c WHERE tier IN ('hot', 'warm') GROUP BY 1, 2")
+@query(f"WITH {MEM}, {_CATEGORY_QUERIES} SELECT query_id, key, count(*) AS n FROM (SELECT query_id, c FROM qry, (VALUES {TRIGGERS_SQL}) t(w, c) WHERE contains(text, w)) JOIN mem ON category = c WHERE tier IN ('hot', 'warm') GROUP BY 1, 2")
 def category_signal(s: SparkSession, d: str) -> DataFrame:
-    q = A.table(s, d, "events").select(F.col("event_type").alias("query_id")).distinct().withColumn("text", F.concat(F.lit("which "), "query_id", F.lit(" decision or preferred pattern")))
+    q = A.table(s, d, "events").select(F.col("event_type").alias("query_id")).distinct().withColumn("text", F.concat(F.lit("which "), "query_id", F.lit(" decision, 决定 or fact")))
     return signals.category(q, A.memories(s, d)).groupBy("query_id", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -166,11 +169,11 @@ def knn_exact(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {QRY}, sem AS (SELECT query_id, vec_id AS key, max(list_cosine_similarity(v, e)) AS score FROM qry,
-  (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings UNION ALL SELECT vec_id, list_reverse(embedding)::DOUBLE[] FROM embeddings WHERE vec_id % 2 = 0) WHERE v IS NOT NULL GROUP BY 1, 2)
+  (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings UNION ALL SELECT vec_id, list_reverse(embedding)::DOUBLE[] FROM embeddings) WHERE v IS NOT NULL GROUP BY 1, 2)
 SELECT query_id, key, round(score, 6) AS score, rank FROM ({_rank('(SELECT * FROM sem WHERE score > 0)', 'semantic', 10)})""")
 def knn_dual_road(s: SparkSession, d: str) -> DataFrame:
     v = A.vectors(s, d)
-    asked = v.filter("key % 2 = 0").withColumn("v", F.reverse("v"))
+    asked = v.withColumn("v", F.reverse("v"))
     out = signals.ranked(signals.semantic(A.queries(s, d).filter("v is not null"), [v, asked], 10), "semantic", 10)
     return out.select("query_id", "key", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
@@ -239,7 +242,7 @@ def two_stage_rerank(s: SparkSession, d: str) -> DataFrame:
     q, m = _queries(s, d), A.memories(s, d)
     fused = fusion.rrf(all_signals(q, m, A.vectors(s, d), Params(NOW))).join(m, "key")
     kept = time_filter(fused, Params(NOW)).join(q.select("query_id", F.col("text").alias("q_text")), "query_id")
-    kept = kept.withColumn("rrf", F.col("rrf") + fusion.text_signal_boost(F.col("q_text"), F.col("content")))
+    kept = kept.withColumn("rrf", F.col("rrf") + fusion.text_signal_boost(F.col("q_text"), F.col("content"), NOW))
     return fusion.rerank(kept, NOW).select("query_id", "key", F.round("score", 6).alias("score"))
 
 
@@ -317,18 +320,19 @@ def chunk_documents(s: SparkSession, d: str) -> DataFrame:
     return parts.select("doc_id", F.col("part").cast("long").alias("part"), F.length("c").cast("long").alias("chars"), T.content_id(F.col("c")).alias("id"))
 
 
-@query(f"""SELECT event_id, strftime(DATE '2026-07-16' - 1, '%Y-%m-%d') || '|2026-07-06|2026-08-01|2026-07-08' AS said FROM events""")
+@query(f"""SELECT event_id, strftime(DATE '2026-07-16' - 1, '%Y-%m-%d') || '|2026-07-06|2026-07-08|2026-08-01' AS said FROM events""")
 def relative_dates(s: SparkSession, d: str) -> DataFrame:
-    text = F.concat(F.lit("seen Yesterday, then last week Wed and next month; event "), F.col("event_id").cast("string"))
+    text = F.concat(F.lit("昨天见面, 上周三再谈, 下个月定; event "), F.col("event_id").cast("string"))
     return A.table(s, d, "events").select("event_id", F.array_join(T.relative_dates(text, "2026-07-16"), "|").alias("said"))
 
 
-@query(f"""WITH {QRY} SELECT query_id, doc_id AS key, round(least(0.05, 0.01 * len(list_intersect({NUMS('q.t')}, {NUMS('d.text')})))::DOUBLE, 6) AS boost
-FROM (SELECT item_id AS query_id, text || ' 2 12 7' AS t FROM benchmark) q JOIN documents d ON d.doc_id % 40 = q.query_id % 40""")
+@query(f"""WITH {MEM}, {QRY}, {BM25} SELECT query_id, key, round(least(0.05, 0.01 * {SHARED("t", "content")})::DOUBLE, 6) AS boost
+FROM (SELECT item_id AS query_id, text || ' 2 12 7' AS t FROM benchmark) JOIN bm USING (query_id) JOIN mem USING (key)""")
 def text_signal_boost(s: SparkSession, d: str) -> DataFrame:
-    q = A.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat("text", F.lit(" 2 12 7")).alias("t"), (F.col("item_id") % 40).alias("m"))
-    docs = A.table(s, d, "documents").withColumn("m", F.col("doc_id") % 40)
-    return q.join(docs, "m").select("query_id", F.col("doc_id").alias("key"), F.round(fusion.text_signal_boost(F.col("t"), F.col("text")), 6).alias("boost"))
+    q = A.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat("text", F.lit(" 2 12 7")).alias("t"))
+    m = A.memories(s, d)
+    hits = signals.bm25(A.queries(s, d), m).join(m, "key").join(q, "query_id")
+    return hits.select("query_id", "key", F.round(fusion.text_signal_boost(F.col("t"), F.col("content"), NOW), 6).alias("boost"))
 
 
 @query("SELECT substr(sha256(text), 1, 16) AS id, count(*) - 1 AS recall_count, max(1 + doc_id % 5)::DOUBLE AS importance, min(doc_id) AS first_key FROM documents GROUP BY 1")
@@ -336,13 +340,14 @@ def exact_dedup_fold(s: SparkSession, d: str) -> DataFrame:
     return lifecycle.fold_exact(A.memories(s, d).withColumn("confidence", F.lit(0.5))).select("id", "recall_count", "importance", "first_key")
 
 
-@query("SELECT doc_id, least(length(text), 1200)::BIGINT AS most FROM documents WHERE length(text) <= 1200")
-def distill_short(s: SparkSession, d: str) -> DataFrame:
-    m = A.table(s, d, "documents").filter(F.length("text") <= 1200)
-    return m.select("doc_id", F.length(T.distill(F.col("text"))).cast("long").alias("most"))
+@query()
+def distill(s: SparkSession, d: str) -> DataFrame:
+    short = T.distill(F.col("text"))
+    return A.table(s, d, "documents").select("doc_id", T.content_id(short).alias("id"), F.length(short).cast("long").alias("chars"), (short != F.col("text")).alias("cut"))
 
 
-@query("SELECT source, count(*) AS n, sum(CASE WHEN regexp_matches(text, '[一-鿿]') THEN 1 ELSE 0 END)::BIGINT AS cjk, 0::BIGINT AS chinese FROM documents GROUP BY 1")
+@query(r"""SELECT source, count(*) AS n, sum(CASE WHEN regexp_matches(text, '[一-鿿]') THEN 1 ELSE 0 END)::BIGINT AS cjk,
+  sum(CASE WHEN length(regexp_replace(text, '\s', '', 'g')) > 0 AND 2 * length(regexp_replace(text, '[^一-鿿㐀-䶿]', '', 'g')) >= length(regexp_replace(text, '\s', '', 'g')) THEN 1 ELSE 0 END)::BIGINT AS chinese FROM documents GROUP BY 1""")
 def language_flags(s: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
     return A.table(s, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(T.has_cjk(t).cast("long")).alias("cjk"), F.sum(T.mostly_chinese(t).cast("long")).alias("chinese"))
@@ -363,31 +368,31 @@ def ns_access_join(s: SparkSession, d: str) -> DataFrame:
     return ns.withColumn("granted", granted).filter(ok).select("namespace", "granted", "n")
 
 
-_KIND = "CASE WHEN list_contains(tags, 'hard_rule') THEN 'hard_rule' WHEN list_contains(tags, 'pref') THEN 'pref' WHEN list_contains(tags, 'style') THEN 'style' WHEN list_contains(tags, 'insight') THEN 'insight' ELSE category END"
-_PROFILE = f"""SELECT *, CASE WHEN len(tags) > 0 AND {_KIND} IN ('hard_rule', 'pref', 'style') THEN 'static' WHEN category IN ('decision', 'fact', 'pattern') AND {_KIND} <> 'insight' THEN 'dynamic' END AS part, {_KIND} AS kind
-  FROM mem WHERE superseded_by IS NULL AND {VALID}"""
+_KIND = "CASE WHEN list_contains(tags, 'hard_rule') THEN 'hard_rule' WHEN list_contains(tags, 'pref') THEN 'pref' WHEN list_contains(tags, 'style') THEN 'style' WHEN list_has_any(tags, ['insight', 'auto_insight']) THEN 'insight' ELSE category END"
+_PARTS = {
+    "static": "((category = 'preference' AND list_has_any(tags, ['hard_rule', 'pref', 'style'])) OR list_contains(tags, 'profile_static'))",
+    "dynamic": "((category IN ('decision', 'fact', 'pattern') OR list_has_any(tags, ['decision', 'fact', 'pattern'])) AND NOT list_has_any(tags, ['insight', 'auto_insight']))",
+}
 
 
-@query(f"""WITH {MEM}, p AS ({_PROFILE}), r AS (SELECT *, row_number() OVER (PARTITION BY namespace, part ORDER BY (kind = 'hard_rule') DESC, importance DESC, created_at DESC, key) AS n FROM p WHERE part IS NOT NULL)
+@query(f"""WITH {MEM}, now AS (SELECT *, {_KIND} AS kind FROM mem WHERE superseded_by IS NULL AND {VALID}),
+p AS (SELECT *, 'static' AS part, list_contains(tags, 'hard_rule') AS top FROM now WHERE {_PARTS["static"]} UNION ALL SELECT *, 'dynamic', false FROM now WHERE {_PARTS["dynamic"]}),
+r AS (SELECT *, row_number() OVER (PARTITION BY namespace, part ORDER BY top DESC, importance DESC, created_at DESC, key) AS n FROM p)
 SELECT namespace, part, kind, key FROM r WHERE n <= CASE part WHEN 'static' THEN 12 ELSE 15 END""")
 def profile_static_dynamic(s: SparkSession, d: str) -> DataFrame:
-    m = A.memories(s, d).filter(F.col("superseded_by").isNull() & TM.valid_at(F.col("valid_from"), F.col("valid_to"), NOW)).withColumn("kind", T.kind_of(F.col("category"), F.col("tags")))
-    part = F.when(F.col("kind").isin("hard_rule", "pref", "style"), "static").when(F.col("category").isin("decision", "fact", "pattern") & (F.col("kind") != "insight"), "dynamic")
-    w = Window.partitionBy("namespace", "part").orderBy(F.desc(F.col("kind") == "hard_rule"), F.desc("importance"), F.desc("created_at"), "key")
-    out = m.withColumn("part", part).filter("part is not null").withColumn("n", F.row_number().over(w))
-    return out.filter(F.col("n") <= F.when(F.col("part") == "static", 12).otherwise(15)).select("namespace", "part", "kind", "key")
+    return lifecycle.profile(A.memories(s, d), NOW).select("namespace", "part", "kind", "key")
 
 
-@query(f"WITH {MEM} SELECT namespace, key, 'memory' AS origin FROM mem WHERE list_contains(tags, 'pref') UNION ALL SELECT source, doc_id, 'legacy' FROM documents WHERE doc_id % 50 = 0")
+@query(f"WITH {MEM} SELECT namespace, key, 'memory' AS origin FROM mem WHERE list_contains(tags, 'pref') UNION ALL SELECT 'src' || label::VARCHAR, vec_id, 'legacy' FROM embeddings")
 def prefs_union(s: SparkSession, d: str) -> DataFrame:
     m = A.memories(s, d).filter(F.array_contains("tags", "pref")).select("namespace", "key", F.lit("memory").alias("origin"))
-    return m.unionByName(A.table(s, d, "documents").filter("doc_id % 50 = 0").select(F.col("source").alias("namespace"), F.col("doc_id").alias("key"), F.lit("legacy").alias("origin")))
+    return m.unionByName(A.vectors(s, d).select(F.concat(F.lit("src"), F.col("namespace").cast("string")).alias("namespace"), "key", F.lit("legacy").alias("origin")))
 
 
-@query(f"WITH {MEM}, d AS (SELECT namespace, key FROM mem WHERE category = 'decision' AND key % 4 = 0), f AS (SELECT namespace, key FROM mem WHERE list_contains(tags, 'insight')) SELECT namespace, key FROM d UNION ALL SELECT namespace, key FROM f WHERE namespace NOT IN (SELECT namespace FROM d)")
+@query(f"WITH {MEM}, d AS (SELECT namespace, key FROM mem WHERE category = 'decision' AND list_contains(tags, 'hard_rule')), f AS (SELECT namespace, key FROM mem WHERE list_contains(tags, 'insight')) SELECT namespace, key FROM d UNION ALL SELECT namespace, key FROM f WHERE namespace NOT IN (SELECT namespace FROM d)")
 def decisions_fallback(s: SparkSession, d: str) -> DataFrame:
     m = A.memories(s, d)
-    first, second = m.filter((F.col("category") == "decision") & (F.col("key") % 4 == 0)).select("namespace", "key"), m.filter(F.array_contains("tags", "insight")).select("namespace", "key")
+    first, second = m.filter((F.col("category") == "decision") & F.array_contains("tags", "hard_rule")).select("namespace", "key"), m.filter(F.array_contains("tags", "insight")).select("namespace", "key")
     return first.unionByName(second.join(first.select("namespace").distinct(), "namespace", "left_anti"))
 
 
@@ -447,9 +452,9 @@ def graph_expand_2hop(s: SparkSession, d: str) -> DataFrame:
     return graph.expand(seeds, A.relations(s, d), 2).withColumn("score", F.round("score", 6))
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT doc_id AS s, doc_id + 1 AS o FROM documents WHERE doc_id % 9 < 4), c AS (SELECT s, o FROM e UNION SELECT c.s, e.o FROM c JOIN e ON c.o = e.s) SELECT s, o FROM c")
+@query("WITH RECURSIVE e AS (SELECT superseded_by AS o, key AS s FROM (SELECT doc_id AS key, CASE WHEN quality = 0 THEN doc_id + 1 ELSE doc_id + 2 END AS superseded_by FROM labels WHERE toxic = 1)), c AS (SELECT s, o FROM e UNION SELECT c.s, e.o FROM c JOIN e ON c.o = e.s) SELECT s, o FROM c")
 def closure_supersedes(s: SparkSession, d: str) -> DataFrame:
-    return graph.closure(A.table(s, d, "documents").filter("doc_id % 9 < 4").select(F.col("doc_id").alias("s"), (F.col("doc_id") + 1).alias("o")))
+    return graph.closure(A.table(s, d, "labels").filter("toxic = 1").select(F.col("doc_id").alias("s"), F.expr("case when quality = 0 then doc_id + 1 else doc_id + 2 end").alias("o")))
 
 
 @query("SELECT DISTINCT l_suppkey AS s, l_partkey AS o FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'A'")
@@ -478,11 +483,11 @@ def explicit_supersede_status(s: SparkSession, d: str) -> DataFrame:
     return lifecycle.supersede_status(r, A.memories(s, d))
 
 
-@query(f"""WITH {MEM}, p AS (SELECT m.key, m.valid_to, n.valid_from AS nf, n.key AS new FROM mem m JOIN mem n ON n.key = m.key + 7 WHERE m.key % 11 = 0)
+@query(f"""WITH {MEM}, p AS (SELECT m.key, m.valid_to, n.valid_from AS nf, n.key AS new FROM mem m JOIN mem n ON n.key = m.key + 7)
 SELECT key, new::VARCHAR AS superseded_by, CASE WHEN valid_to < nf THEN valid_to ELSE nf END AS valid_to FROM p""")
 def merge_memories(s: SparkSession, d: str) -> DataFrame:
     m = A.memories(s, d)
-    pairs = m.filter("key % 11 = 0").select(F.col("key").alias("old"), (F.col("key") + 7).alias("new"))
+    pairs = m.select(F.col("key").alias("old"), (F.col("key") + 7).alias("new"))
     out = lifecycle.apply_supersede(m.withColumn("superseded_by", F.lit(None).cast("string")), pairs, NOW)
     return out.filter("superseded_by is not null").select("key", "superseded_by", "valid_to")
 
@@ -537,9 +542,9 @@ def export_jsonl(s: SparkSession, d: str) -> DataFrame:
     return back.select(F.col("j.row.id").cast("long").alias("doc_id"), F.col("j.table").alias("tab"), F.length("j.row.content").cast("long").alias("chars"))
 
 
-@query("SELECT doc_id AS key, CASE WHEN doc_id % 2 = 0 THEN 'ignored' ELSE 'inserted' END AS action FROM documents")
+@query("SELECT doc_id AS key, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'ignored' ELSE 'inserted' END AS action FROM documents")
 def import_conflict(s: SparkSession, d: str) -> DataFrame:
     from ..sources.transfer import import_rows
 
     m = A.memories(s, d).select("key", "content")
-    return import_rows(m.filter("key % 2 = 0"), m, "key").select("key", "action")
+    return import_rows(A.table(s, d, "labels").select(F.col("doc_id").alias("key")), m, "key").select("key", "action")

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import RELATION_OF
+
 
 def to_lines(rows: DataFrame, table: str) -> DataFrame:
     """A line {"table": ..., "row": {...}} for each row, ready for write.text."""
@@ -96,13 +98,12 @@ def extract_files(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, text string, error string")
 
 
-#: The predicates that are kept.
-PREDICATES = ("supersedes", "supersededBy", "partOf", "dependsOn", "relatedTo", "derivedFrom", "mentions")
 _TOKEN = re.compile(r'<[^>]*>|"(?:[^"\\]|\\.)*"(?:\^\^\S+|@\w+)?|#[^\n]*|@prefix|@base|_:\w+|[\w\-]*:[\w\-./]*|\ba\b|[;,.]|\S+')
 
 
-def parse_turtle(text: str, predicates: tuple[str, ...] = PREDICATES) -> list[tuple[str, str, str]]:
-    """Triples of resources whose predicate's local name is in the list; prefixes and base are resolved, literals dropped."""
+def parse_turtle(text: str, vocabularies: tuple[str, ...]) -> list[tuple[str, str, str]]:
+    """(subject, relation, object) of resources whose predicate is a name that stands for a relation, directly under one of the
+    vocabularies (IRIs up to their last / or #); prefixes and base are resolved, literals dropped."""
     prefixes: dict[str, str] = {}
     base, out = "", []
 
@@ -115,7 +116,7 @@ def parse_turtle(text: str, predicates: tuple[str, ...] = PREDICATES) -> list[tu
         head, colon, tail = token.partition(":")
         return prefixes.get(head, head + ":") + tail if colon and head != "_" else token
 
-    tokens = [t for t in _TOKEN.findall(text) if not t.startswith("#")]
+    tokens = [t for t in _TOKEN.findall(text.removeprefix("\ufeff")) if not t.startswith("#")]
     i, subject, predicate, place = 0, None, None, 0
     while i < len(tokens):
         t = tokens[i]
@@ -133,21 +134,26 @@ def parse_turtle(text: str, predicates: tuple[str, ...] = PREDICATES) -> list[tu
                 predicate, place = iri(t), 2
             else:
                 o = iri(t)
-                local = re.split(r"[#/:]", predicate or "")[-1]
-                if o and subject and local in predicates:
-                    out.append((subject, local, o))
+                relation = next((RELATION_OF.get(predicate[len(v) :]) for v in vocabularies if predicate and predicate.startswith(v)), None)
+                if o and subject and relation:
+                    out.append((subject, relation, o))
             i += 1
     return out
 
 
-def read_triples(spark: SparkSession, path: str) -> DataFrame:
-    """(s, p, o) of the Turtle files under a path."""
+def triples(texts: DataFrame, vocabularies: tuple[str, ...]) -> DataFrame:
+    """(s, p, o) of whole Turtle texts (value)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame([t for text in pdf["value"] for t in parse_turtle(text)], columns=["s", "p", "o"])
+            yield pd.DataFrame([t for text in pdf["value"] for t in parse_turtle(text or "", vocabularies)], columns=["s", "p", "o"])
+
+    return texts.select("value").mapInPandas(run, "s string, p string, o string")
 
-    return spark.read.text(path, wholetext=True).mapInPandas(run, "s string, p string, o string")
+
+def read_triples(spark: SparkSession, path: str, vocabularies: tuple[str, ...]) -> DataFrame:
+    """(s, p, o) of the Turtle files under a path."""
+    return triples(spark.read.text(path, wholetext=True), vocabularies)
 
 
 def write_audit(events: DataFrame, path: str, params: str = "params") -> None:

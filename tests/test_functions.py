@@ -19,7 +19,20 @@ def test_signals_of_a_text(spark):
 
 
 def test_relative_dates(spark):
-    assert one(spark, T.relative_dates(F.lit("last week wed, yesterday, this week fri"), "2026-07-16")) == ["2026-07-15", "2026-07-06", "2026-07-13", "2026-07-08", "2026-07-17"]
+    said = lambda text: one(spark, T.relative_dates(F.lit(text), "2026-07-16"))
+    assert said("上周三 yesterday") == ["2026-07-06", "2026-07-08"] and said("昨天") == ["2026-07-15"] and said("这周五") == ["2026-07-13", "2026-07-17"]
+    assert said("上个月、下月、去年") == ["2026-06-01", "2026-08-01", "2025-01-01"]
+
+
+def test_markers_advice_and_names(spark):
+    assert one(spark, T.update_markers(F.lit("Previously changed; 目前"))) == ["目前", "changed", "previously"]
+    assert one(spark, T.guardrails(F.lit("How many items before?"))) == ["COUNT_TOTAL_DEDUP", "RELATIVE_DATE_GROUNDING", "CURRENT_PREVIOUS_ARBITRATION"]
+    assert one(spark, T.cjk_shingles(F.lit("ab 数据库 x 数据"))) == ["数据", "据库", "数据库"]
+    assert [one(spark, T.memory_relation(F.lit(x).cast("string"))) for x in (" Extend", None, "banana")] == ["extends", "updates", None]
+    assert one(spark, T.safe_filename(F.lit("a/b c.pdf"))) == "b_c.pdf" and one(spark, T.ns_folder(F.lit("agent/x y\\z"))) == "agent_xy_z"
+    assert one(spark, T.signal_tags(F.array(F.lit("a"), F.lit("signal:num:9")), F.lit("2026-07-01 paid 120, updated"))) == ["a", "signal:num:2026", "signal:num:07", "signal:num:01", "signal:num:120", "signal:date:2026-07-01", "signal:update:updated"]
+    assert one(spark, T.evolved_context(F.lit("  "))) == "[auto-promoted] (no content)"
+    assert one(spark, T.keyword_query(F.lit(" a  b "), F.array(F.lit(" ")))) == "a b"
 
 
 def test_chunks_overlap(spark):
@@ -30,7 +43,8 @@ def test_chunks_overlap(spark):
 
 def test_kind_and_masks(spark):
     assert [one(spark, T.detect_kind(F.lit(n))) for n in ("a.PDF", "b.docx", "c.xlsx", "d.xls", "e.txt")] == ["pdf", "docx", "xlsx", "xls", None]
-    assert one(spark, T.mask_secrets(F.lit('{"token": "abcdefgh"}'))) == '{"token": "abcd****"}'
+    assert one(spark, T.mask_secrets(F.lit('{"x_token": "abcdefgh", "n": {"password": "abc"}, "a": "b"}'))) == '{"x_token": "abcd****", "n": {"password": "****"}, "a": "b"}'
+    assert one(spark, T.mask_secrets(F.lit("password=hunter22, secret:ab c"))) == "password=hunt****, secret:**** c"
     assert one(spark, T.occurred(F.array(F.lit("x"), F.lit("occurred:2026-01-02")))) == "2026-01-02"
 
 
@@ -58,8 +72,15 @@ def test_quota_and_links(spark):
 
 
 def test_turtle():
-    text = '@prefix e: <http://x/> . e:a e:supersedes e:b , e:c ; e:label "no" . # end\n<http://x/d> e:partOf _:n .'
-    assert transfer.parse_turtle(text) == [("http://x/a", "supersedes", "http://x/b"), ("http://x/a", "supersedes", "http://x/c"), ("http://x/d", "partOf", "_:n")]
+    text = '@prefix e: <http://x/> . e:a e:supersedes e:b , e:c ; e:label "no" ; <http://x/deep/partOf> e:z . # end\n<http://x/d> e:partOf _:n .'
+    assert transfer.parse_turtle(text, ("http://x/",)) == [("http://x/a", "supersedes", "http://x/b"), ("http://x/a", "supersedes", "http://x/c"), ("http://x/d", "part_of", "_:n")]
+
+
+def test_expansion(spark):
+    seeds = spark.createDataFrame([(1, 10, 0.5), (1, 11, 0.2)], "query_id long, node long, score double")
+    rel = spark.createDataFrame([(10, 20, "updates", 0.8), (20, 30, "same_entity", 0.5), (10, 40, "updates", -1.0)], "source_id long, target_id long, relation_type string, weight double")
+    got = {r["node"]: (r["hop"], round(r["score"], 6), round(r["graph"], 6)) for r in graph.expand(seeds, rel, 2).collect()}
+    assert got == {20: (1, 0.2, 0.8), 30: (2, 0.0625, 0.4)}
 
 
 def test_session_stream(spark, tmp_path):
