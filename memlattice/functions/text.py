@@ -215,7 +215,7 @@ def cjk_shingles(c: Column) -> Column:
 
 def keyword_query(content: Column, tags: Column) -> Column:
     """The first eight tags that aren't blank, else the first 40 characters with single blanks."""
-    real = F.filter(F.transform(tags, F.trim), lambda t: t != "")
+    real = F.filter(F.transform(tags, lambda t: F.trim(t)), lambda t: t != "")
     plain = F.substring(F.regexp_replace(F.regexp_replace(content, r"^\s+|\s+$", ""), r"\s+", " "), 1, 40)
     return F.when(F.size(real) > 0, F.array_join(F.slice(real, 1, 8), " ")).otherwise(plain)
 
@@ -234,3 +234,27 @@ def distill(c: Column, latin: int = 1200, chinese: int = 600) -> Column:
     keep = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(1)), F.when(n > 2, best).otherwise(F.array().cast("array<int>")), F.array(n))))
     joined = F.array_join(F.transform(keep, lambda i: F.element_at(every, i)), "")
     return F.when(F.length(c) <= limit, c).when(n <= 1, F.substr(c, F.lit(1), limit)).otherwise(F.substr(joined, F.lit(1), limit))
+
+
+def manifest(name: Column, kind: Column, size: Column, text: Column, path: Column) -> Column:
+    """What stands for a whole document: its name, kind, sizes, place and first 400 characters."""
+    whole = lambda c: c.cast("string")
+    parts = [F.lit("[文档] "), name, F.lit("\n类型: "), kind, F.lit("\n大小: "), whole(size), F.lit(" bytes\n字符: "), whole(F.length(text)), F.lit("\n分块: "), whole(F.size(chunk_text(text))), F.lit("\n路径: "), path, F.lit("\n---\n"), F.substring(text, 1, 400)]
+    return F.concat(*parts)
+
+
+def chunk_body(name: Column, place: Column, total: Column, chunk: Column) -> Column:
+    """A chunk with its place from 1 and the number of chunks."""
+    return F.concat(F.lit("[文档块 "), place.cast("string"), F.lit("/"), total.cast("string"), F.lit("] "), name, F.lit("\n\n"), chunk)
+
+
+#: Colours of categories, sizes of tiers; else GREY and SMALL.
+COLOURS = {"candidate": "#94a3b8", "decision": "#3b82f6", "preference": "#f59e0b", "constraint": "#ef4444", "lesson": "#8b5cf6", "fact": "#10b981", "correction": "#ec4899", "pattern": "#06b6d4"}
+SIZES, GREY, SMALL = {"hot": 24, "warm": 16, "cold": 10}, "#6b7280", 8
+
+
+def node_look(content: Column, category: Column, tier: Column, decay: Column) -> Column:
+    """How a memory is drawn: label, colour, size, opacity."""
+    of = lambda table, c, other: F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), c), F.lit(other))
+    label = F.when(F.length(content) > 60, F.concat(F.substring(content, 1, 60), F.lit("..."))).otherwise(content)
+    return F.struct(label.alias("label"), of(COLOURS, category, GREY).alias("colour"), of(SIZES, tier, SMALL).alias("size"), (0.3 + 0.7 * decay).alias("opacity"))

@@ -93,3 +93,35 @@ def closure(edges: DataFrame, most: int = 64) -> DataFrame:
             break
         n = now
     return paths
+
+
+#: Kinds of edges between entities.
+EDGE_TYPES = ("related_to", "uses", "depends_on", "mentions", "similar_to", "part_of", "belongs_to", "contains", "member_of", "works_at", "located_in", "founded_by", "owns", "authors", "collaborates_with", "antagonist_of", "spawned_by", "triggers", "references", "supersedes", "created_by", "conflicts_with")
+
+
+def entities_in(queries: DataFrame, entities: DataFrame, among: int = 256, most: int = 64) -> DataFrame:
+    """(query_id, entity) of entities whose trimmed name, of two bytes or more, stands in the query's text.
+
+    Only the first `among` names are looked for and the first `most` of a query kept, as defined; so few names may be broadcast.
+    """
+    name = F.trim("entity")
+    names = entities.select(name.alias("entity")).filter(F.octet_length("entity") >= 2).distinct().orderBy("entity").limit(among)
+    hits = queries.join(F.broadcast(names), F.contains(F.lower("text"), F.lower("entity")))
+    n = F.row_number().over(Window.partitionBy("query_id").orderBy("entity"))
+    return hits.select("query_id", "entity", n.alias("n")).filter(F.col("n") <= most).drop("n")
+
+
+def upsert_edges(edges: DataFrame, types: tuple[str, ...] = EDGE_TYPES) -> DataFrame:
+    """edges(source_id, target_id, relation_type, weight, at): the last of each pair and type, of known types only."""
+    known = edges.filter(F.col("relation_type").isin(*types))
+    last = F.max_by("weight", "at").alias("weight")
+    return known.groupBy("source_id", "target_id", "relation_type").agg(last, F.count(F.lit(1)).alias("writes"))
+
+
+def write_back(triples: DataFrame, entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """triples(s, p, o) with what happens to each: skipped if an end is a blank node or no entity, or the predicate no
+    relation; kept if the edge (s, p, o) is there; else written."""
+    known = lambda side: entities.select(F.col("entity").alias(side), F.lit(True).alias(f"_{side}"))
+    out = triples.join(known("s"), "s", "left").join(known("o"), "o", "left").join(edges.select("s", "p", "o", F.lit(True).alias("_there")), ["s", "p", "o"], "left")
+    bad = F.col("_s").isNull() | F.col("_o").isNull() | ~F.col("p").isin(*EDGE_TYPES) | F.startswith("s", F.lit("_:")) | F.startswith("o", F.lit("_:"))
+    return out.select("s", "p", "o", F.when(F.coalesce(bad, F.lit(True)), "skipped").when(F.col("_there"), "kept").otherwise("written").alias("action"))

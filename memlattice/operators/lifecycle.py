@@ -96,3 +96,57 @@ def profile(memories: DataFrame, now: str, as_of: str | None = None, static: int
     w = Window.partitionBy("namespace", "part").orderBy(F.desc("_top"), F.desc("importance"), F.desc("created_at"), "key")
     out = a.unionByName(b).withColumn("n", F.row_number().over(w))
     return out.filter(F.col("n") <= F.when(F.col("part") == "static", static).otherwise(dynamic)).drop("_top")
+
+
+def recall_feedback(memories: DataFrame, recalls: DataFrame) -> DataFrame:
+    """memories with the recalls(key, ts) added: recall_count grows by their number, last_recalled becomes the last one's time."""
+    seen = recalls.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.max("ts").alias("_last"))
+    out = memories.join(seen, "key", "left")
+    return out.withColumn("recall_count", F.col("recall_count") + F.coalesce("_n", F.lit(0))).withColumn("last_recalled", F.coalesce("_last", "last_recalled")).drop("_n", "_last")
+
+
+def evolve(memories: DataFrame, links: DataFrame, now: str) -> DataFrame:
+    """memories that haven't evolved, with their new context, time, link count (links(node, links), 0 if none) and a log line of what was."""
+    out = memories.filter("evolved_at is null").join(links.withColumnRenamed("node", "key"), "key", "left")
+    count = F.coalesce("links", F.lit(0)).cast("long")
+    log = F.to_json(F.struct("key", F.col("tier").alias("old_tier"), count.alias("links")))
+    return out.withColumn("context", T.evolved_context(F.col("content"))).withColumn("evolved_at", F.lit(now)).withColumn("links", count).withColumn("log", log)
+
+
+def cursor_states(runs: DataFrame) -> DataFrame:
+    """runs(phase, ns, cursor, items) -> one row for each phase and namespace: last cursor, runs and items so far.
+
+    A run counts if its cursor is over all cursors before it; runs are in order of `at`.
+    """
+    before = F.max("cursor").over(Window.partitionBy("phase", "ns").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    good = runs.withColumn("_b", before).filter(F.col("_b").isNull() | (F.col("cursor") > F.col("_b")))
+    return good.groupBy("phase", "ns").agg(F.max("cursor").alias("cursor"), F.count(F.lit(1)).alias("runs"), F.sum("items").alias("items"))
+
+
+def delete(memories: DataFrame, relations: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(memories, relations) without the keys of gone and all relations that touch them."""
+    keys = gone.select("key").distinct()
+    left = relations
+    for end in ("source_id", "target_id"):
+        left = left.join(keys.withColumnRenamed("key", end), end, "left_anti")
+    return memories.join(keys, "key", "left_anti"), left
+
+
+def newest(rows: DataFrame, by: str, n: int, *order: F.Column) -> DataFrame:
+    """The first n rows of each value of `by` in the order given, with rank from 1."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= n)
+
+
+def dead_agents(agents: DataFrame) -> DataFrame:
+    """agents(agent_id, badge) without a badge, or whose id begins with test or demo and one more character."""
+    return agents.filter((F.coalesce("badge", F.lit("")) == "") | F.col("agent_id").like("test_%") | F.col("agent_id").like("demo_%"))
+
+
+def health(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """(tab, rows, no_key, repeated, status) of each table and its key column; fail if a key is missing or repeated."""
+    out = None
+    for name, (df, key) in tables.items():
+        per = df.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+        one = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.when(F.col("k").isNull(), F.col("n"))), F.lit(0)).alias("no_key"), F.count(F.when(F.col("k").isNotNull() & (F.col("n") > 1), 1)).alias("repeated")).select(F.lit(name).alias("tab"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("status", F.when((F.col("no_key") > 0) | (F.col("repeated") > 0), "fail").otherwise("ok"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import RELATION_OF
@@ -161,3 +162,21 @@ def write_audit(events: DataFrame, path: str, params: str = "params") -> None:
     from ..functions.text import iso_week, mask_secrets
 
     events.withColumn(params, mask_secrets(F.col(params))).withColumn("iso_week", iso_week(F.col("ts"))).write.mode("append").partitionBy("iso_week").parquet(path)
+
+
+def vector_to_bytes(v: Column) -> Column:
+    """Little-endian 32-bit floats."""
+
+    def pack(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
+
+    return F.pandas_udf(pack, "binary")(v)
+
+
+def bytes_to_vector(b: Column) -> Column:
+    """The vector, or null if the bytes are no more than one float or no whole number of them."""
+
+    def unpack(b: pd.Series) -> pd.Series:
+        return b.map(lambda x: None if x is None or len(x) <= 4 or len(x) % 4 else np.frombuffer(x, "<f4"))
+
+    return F.pandas_udf(unpack, "array<float>")(b)
