@@ -70,7 +70,8 @@ def relative_dates(c: Column, anchor: str) -> Column:
         said += [((f"上周{name}",), F.date_add(week, n - 7)), ((f"本周{name}", f"这周{name}"), F.date_add(week, n))]
     said += [(("上月", "上个月"), F.add_months(month, -1)), (("本月", "这个月"), month), (("下月", "下个月"), F.add_months(month, 1)), (("今年",), year), (("去年",), F.add_months(year, -12))]
     found = (F.when(c.rlike("|".join(words)), F.date_format(d.cast("date"), "yyyy-MM-dd")) for words, d in said)
-    return F.array_distinct(F.array_compact(F.array(*found)))
+    # one look tells most texts apart from those that need all the others
+    return F.when(c.rlike("[天日周月年]"), F.array_distinct(F.array_compact(F.array(*found)))).otherwise(F.array().cast("array<string>"))
 
 
 def occurred(tags: Column) -> Column:
