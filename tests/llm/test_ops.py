@@ -224,6 +224,47 @@ def test_vectors(spark):
     assert nearest(df.limit(0), df).count() == 0 and near_duplicates(df.limit(0)).count() == 0
 
 
+def _around(rng, centre, cos, n):
+    """n unit vectors at this cosine to a centre."""
+    c = centre / np.linalg.norm(centre)
+    u = rng.standard_normal((n, len(c)))
+    u -= (u @ c)[:, None] * c
+    return cos * c + math.sqrt(1 - cos * cos) * u / np.linalg.norm(u, axis=1, keepdims=True)
+
+
+def _near_case(case, rng):
+    if case == "two":
+        x = np.eye(64)[:2]
+        return np.stack([x[0], 0.95 * x[0] + math.sqrt(1 - 0.95**2) * x[1]])
+    group = _around(rng, rng.standard_normal(64), 0.97, 1600)
+    free = rng.standard_normal((400, 64))
+    pairs = np.concatenate([_around(rng, v, 0.9001, 1) for v in free])
+    shared = rng.standard_normal((800, 64)) + 8 * 0.65 * np.eye(64)[0]  # half of a vector's square is common to all
+    return {"one group": group, "group and pairs": np.concatenate([group, free, pairs]), "pairs": np.concatenate([free, pairs]), "one direction": np.concatenate([shared, *(_around(rng, v, 0.9001, 1) for v in shared)])}[case]
+
+
+@pytest.mark.parametrize("exact", [4096, 1])
+@pytest.mark.parametrize("case", ["two", "one group", "group and pairs", "pairs", "one direction"])
+def test_near_vectors_against_brute_force(spark, monkeypatch, case, exact):
+    """All links of small tables; with codes (no small tables) all but a few of those at the least cosine."""
+    from memlattice.llm import itq_dedup
+
+    monkeypatch.setattr(itq_dedup, "EXACT", exact, raising=False)
+    monkeypatch.setattr(itq_dedup, "LOT", 700)
+    x = _near_case(case, np.random.default_rng(5))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    np.fill_diagonal(near, False)
+    out = {r["vec_id"]: r["n_links"] for r in near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    got = np.array([out[i] for i in range(len(x))])
+    assert (got <= near.sum(axis=1)).all()
+    if exact > 1 or case in ("two", "one group"):
+        assert (got == near.sum(axis=1)).all()
+    assert got.sum() >= 0.99 * near.sum()
+    if case == "group and pairs":  # the group's many links don't hide those of the pairs
+        assert got[1600:].sum() >= 0.98 * near[1600:].sum()
+
+
 def test_urls(spark):
     urls = ["http://A.example.com/en/7x", "http://example.com/en/8", "https://x.net/de/1", "http://a.example.net/de/8?q", "http://notexample.com#f", None, "nothing", "a://b/c://d/e"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("clash"))
