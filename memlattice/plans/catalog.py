@@ -73,8 +73,12 @@ scored AS (SELECT *, CASE WHEN max(rrf) OVER w > 0 THEN 0.3 * rrf / max(rrf) OVE
   FROM kept WINDOW w AS (PARTITION BY query_id))"""
 
 
+def in_namespaces(queries: DataFrame) -> DataFrame:
+    return queries.withColumn("namespace", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")))
+
+
 def _queries(s: SparkSession, d: str) -> DataFrame:
-    return A.queries(s, d).withColumn("namespace", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")))
+    return in_namespaces(A.queries(s, d))
 
 
 # --- scans, lists and statistics ---

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import graph, lifecycle, signals, vector
 from ..sources import adapters as A
-from .catalog import KNN, MEM, MEN, NOW, QRY, REL, VER, _queries, _rank, query
+from .catalog import KNN, MEM, MEN, NOW, QRY, REL, VER, _rank, in_namespaces, query
 from .hybrid import Params, hybrid_search
 
 
@@ -95,7 +95,7 @@ def same_entity_capped(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def hybrid_search_graph(s: SparkSession, d: str) -> DataFrame:
-    out = hybrid_search(_queries(s, d), A.memories(s, d), A.vectors(s, d), Params(NOW, hops=2), relations=A.relations(s, d))
+    out = hybrid_search(in_namespaces(A.whole_queries(s, d)), A.memories(s, d), A.vectors(s, d), Params(NOW, hops=2), relations=A.relations(s, d))
     return out.select("query_id", "rank", "key", F.round("score", 6).alias("score"), "reserved", "time_status")
 
 

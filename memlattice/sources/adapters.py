@@ -69,6 +69,12 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("item_id", F.array_join(tokens, " ").alias("text")).join(e, "item_id", "left").withColumnRenamed("item_id", "query_id")
 
 
+def whole_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As queries(), with the benchmark item's whole text; for queries without SQL, as the SQL takes six tokens."""
+    text = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lower("text").alias("text"))
+    return queries(spark, sf_dir).drop("text").join(text, "query_id").select("query_id", "text", "v")
+
+
 QUERIES_SQL = """qry AS (
   SELECT item_id AS query_id, array_to_string((list_filter(regexp_split_to_array(lower(b.text), '[^a-z0-9]+'), lambda t: t <> ''))[1:6], ' ') AS text, e.embedding::DOUBLE[] AS v
   FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id)"""
