@@ -452,8 +452,8 @@ def entity_search(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def graph_expand_2hop(s: SparkSession, d: str) -> DataFrame:
-    seeds = A.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") * 7 % 1000).alias("node"), F.lit(1.0).alias("score"))
-    return graph.expand(seeds, A.relations(s, d), 2).withColumn("score", F.round("score", 6))
+    seeds = A.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") * 7).alias("node"), F.lit(1.0).alias("score"))
+    return graph.expand(seeds, A.whole_relations(s, d), 2).withColumn("score", F.round("score", 6))
 
 
 @query("WITH RECURSIVE e AS (SELECT superseded_by AS o, key AS s FROM (SELECT doc_id AS key, CASE WHEN quality = 0 THEN doc_id + 1 ELSE doc_id + 2 END AS superseded_by FROM labels WHERE toxic = 1)), c AS (SELECT s, o FROM e UNION SELECT c.s, e.o FROM c JOIN e ON c.o = e.s) SELECT s, o FROM c")

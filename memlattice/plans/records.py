@@ -95,7 +95,7 @@ def same_entity_capped(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def hybrid_search_graph(s: SparkSession, d: str) -> DataFrame:
-    out = hybrid_search(in_namespaces(A.whole_queries(s, d)), A.memories(s, d), A.vectors(s, d), Params(NOW, hops=2), relations=A.relations(s, d))
+    out = hybrid_search(in_namespaces(A.whole_queries(s, d)), A.memories(s, d), A.vectors(s, d), Params(NOW, hops=2), relations=A.whole_relations(s, d))
     return out.select("query_id", "rank", "key", F.round("score", 6).alias("score"), "reserved", "time_status")
 
 

@@ -95,11 +95,20 @@ VERSIONS_SQL = """ver AS (
   FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))"""
 
 
-def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A relation from each order to each of its parts' parts: lineitem neighbours, with a type and a weight."""
+def _relations(spark: SparkSession, sf_dir: str, source: str, target: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     kinds = ("updates", "extends", "derives", "semantic_related", "same_entity")
-    return li.select((F.col("l_orderkey") % 1000).alias("source_id"), (F.col("l_partkey") % 1000).alias("target_id"), _pick(kinds, "l_linenumber % 5").alias("relation_type"), F.round(F.col("l_discount") * 10, 2).alias("weight")).distinct()
+    return li.select(F.expr(source).alias("source_id"), F.expr(target).alias("target_id"), _pick(kinds, "l_linenumber % 5").alias("relation_type"), F.round(F.col("l_discount") * 10, 2).alias("weight")).distinct()
+
+
+def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A relation from each order to each of its parts' parts: lineitem neighbours, with a type and a weight; ids modulo 1000, as in the SQL."""
+    return _relations(spark, sf_dir, "l_orderkey % 1000", "l_partkey % 1000")
+
+
+def whole_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As relations(), with the ids as they are; for queries without SQL."""
+    return _relations(spark, sf_dir, "l_orderkey", "l_partkey")
 
 
 RELATIONS_SQL = """rel AS (

@@ -2,7 +2,7 @@ import re
 
 from parity import SF
 
-from memlattice.plans import records
+from memlattice.plans import catalog, records
 from memlattice.sources import adapters as A
 
 
@@ -18,3 +18,19 @@ def test_whole_queries_keep_every_token(spark, monkeypatch):
     assert min(map(len, texts.values())) > 6
     assert {i: words(r["text"]) for i, r in got.items()} == texts
     assert {i: r["v"] for i, r in got.items()} == vectors
+
+
+def test_graph_keeps_every_id(spark, monkeypatch):
+    """Searches without SQL walk the relations of all orders and parts, from seeds that are not folded."""
+    walked = []
+    monkeypatch.setattr(records, "hybrid_search", lambda queries, *a, relations, **b: walked.append(relations) or queries.selectExpr("query_id", "0 rank", "0 key", "0D score", "0 reserved", "'' time_status"))
+    monkeypatch.setattr(catalog.graph, "expand", lambda seeds, relations, hops: walked.extend([relations, seeds]) or seeds)
+    records.hybrid_search_graph(spark, SF)
+    catalog.graph_expand_2hop(spark, SF)
+    li = spark.read.parquet(f"{SF}/lineitem.parquet")
+    ends = {(r[0], r[1]) for r in li.select("l_orderkey", "l_partkey").collect()}
+    assert max(o for o, _ in ends) >= 1000
+    for relations in walked[:2]:
+        assert {(r[0], r[1]) for r in relations.select("source_id", "target_id").collect()} == ends
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").selectExpr("item_id * 7").collect()
+    assert {r["node"] for r in walked[2].collect()} == {r[0] for r in items}
