@@ -1,7 +1,7 @@
 """Packing by power-of-two decomposition: no sequence crosses documents and none is padded.
 
 A document of n tokens is cut into n // limit pieces of the limit's length, and then into pieces as the binary digits
-of the rest say, longest first. Pieces of equal length make a bucket, each piece is a sequence of its own.
+of the rest say, longest first. Their length stands for the bucket; they come in document order, each a sequence of its own.
 """
 
 from __future__ import annotations
