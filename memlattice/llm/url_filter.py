@@ -1,7 +1,8 @@
 """URL filter: explicit rules first, else an empirical-Bayes reputation of the host.
 
 Labelled page outcomes are counted for hosts, registered domains and suffixes. Each level is a beta-binomial around
-the level above: the whole -> suffix -> registered domain -> host. A level's strength k (prior pages) comes from how
+the level above: the whole -> suffix -> registered domain -> host. A port is no part of the names; an IP address is its own
+suffix and domain; under the suffixes of SECOND two labels make the suffix and three the domain. A level's strength k (prior pages) comes from how
 much more its rates vary than chance would have it (moments), and a unit's mean is (good + k * mean above) / (pages + k).
 A page is allowed if the lower bound of its host's posterior, mean - z * sd, reaches the threshold.
 """
@@ -15,6 +16,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, rule) with rule = host + path.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 LEVELS = ("suffix", "domain", "host")
+#: Suffixes of two labels: these second labels under country codes of two letters. A fixed list; others count as domains.
+SECOND = ("ac", "co", "com", "edu", "gov", "net", "or", "org")
 
 
 def _rest(url: Column) -> Column:
@@ -41,6 +44,16 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
+def levels_of(host: Column) -> tuple[Column, Column]:
+    """(suffix, registered domain) of a host."""
+    bare = F.regexp_replace(host, r":[0-9]*$", "")
+    ip = host.startswith("[") | bare.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")
+    names = F.split(bare, r"\.")
+    two = bare.rlike(rf"(^|\.)({'|'.join(SECOND)})\.[a-z]{{2}}$")
+    last = lambda n: F.array_join(F.slice(names, F.greatest(F.size(names) - n + 1, F.lit(1)), n), ".")
+    return F.when(ip, bare).when(two, last(2)).otherwise(last(1)), F.when(ip, bare).when(two, last(3)).otherwise(last(2))
+
+
 def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, z: float = 1.64, threshold: float = 0.6) -> DataFrame:  # noqa: ANN001
     """(page_id, host, path, rule, verdict, reputation) of every row of pages(page_id, url).
 
@@ -52,8 +65,7 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, z: float = 1
     """
     parts = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
     parts = parts.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    names = F.split("host", r"\.")
-    named = lambda df: df.withColumn("suffix", F.element_at(names, -1)).withColumn("domain", F.array_join(F.slice(names, F.greatest(F.size(names) - 1, F.lit(1)), 2), "."))
+    named = lambda df: df.withColumn("suffix", levels_of(F.col("host"))[0]).withColumn("domain", levels_of(F.col("host"))[1])
     votes = outcomes.select(F.col("page_id").cast("long").alias("page_id"), F.col("good").cast("long").alias("good")).filter("page_id is not null and good is not null")
     hosts = parts.groupBy("page_id", "host").agg(F.count(F.lit(1)).alias("c")).join(votes, "page_id", "left")
     hosts = named(hosts.groupBy("host").agg(F.sum(F.when(F.col("good").isNotNull(), F.col("c")).otherwise(0)).alias("n"), F.coalesce(F.sum(F.col("good") * F.col("c")), F.lit(0)).alias("g")))

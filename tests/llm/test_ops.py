@@ -273,6 +273,20 @@ def test_urls(spark):
     assert filter_urls(pages.limit(0), pages.select("page_id", F.lit(1).alias("good"))).count() == 0
 
 
+def test_url_levels(spark):
+    """Units above a host: ports drop out, addresses stand alone, suffixes of two labels part their sites."""
+    from memlattice.llm import url_filter
+
+    levels = {"a.b.co.uk": ("co.uk", "b.co.uk"), "b.com.au:80": ("com.au", "b.com.au"), "x.com:80": ("com", "x.com"), "a.x.com": ("com", "x.com"), "10.0.0.7:8080": ("10.0.0.7", "10.0.0.7"), "[::1]:80": ("[::1]", "[::1]"), "co.uk": ("co.uk", "co.uk"), "localhost": ("localhost", "localhost"), "": ("", "")}
+    df = spark.createDataFrame([(h,) for h in levels], "host string")
+    assert {r[0]: (r[1], r[2]) for r in df.select("host", *url_filter.levels_of(F.col("host"))).collect()} == levels
+    # sites under co.uk don't share a domain: one's pages move the other's mean less than its own
+    pages = spark.createDataFrame([(i, f"http://{h}/") for i, h in enumerate(["a.good.co.uk"] * 20 + ["a.bad.co.uk"] * 20 + ["b.good.co.uk", "b.bad.co.uk"])], "page_id long, url string")
+    votes = spark.createDataFrame([(i, int(i < 20)) for i in range(40)], "page_id long, good int")
+    got = {r["page_id"]: r["reputation"] for r in filter_urls(pages, votes).collect()}
+    assert got[40] > got[41]
+
+
 def brute_groups(rows):
     """The smallest id of each group of near duplicates, by comparing all pairs."""
     sets = {}
