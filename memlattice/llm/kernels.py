@@ -149,6 +149,16 @@ def shingle_sets(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarr
     return out, offs
 
 
+def compress(raw) -> bytes:  # noqa: ANN001
+    """Bytes (or a buffer) compressed, with their size before them."""
+    return np.int64(len(raw)).tobytes() + _codec.compress(raw, asbytes=True)
+
+
+def decompress(blob: bytes) -> bytes:
+    """The bytes of compress()."""
+    return _codec.decompress(blob[8:], int(np.frombuffer(blob, np.int64, 1)[0]), asbytes=True)
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Columns of integers as one compressed blob: bytes of equal significance lie together."""
     n = len(arrays[0])

@@ -1,100 +1,119 @@
-"""Stupid-backoff scores from n-gram counts of the whole corpus, joined block by block.
+"""Stupid-backoff scores from an n-gram count table of the whole corpus, partitioned by hash.
 
-Documents are dealt into buckets by a hash of their id. Each bucket sends its distinct n-grams (orders 0 to `order`, as
-hashes) with their counts to the blocks of a count table partitioned by n-gram hash. A block adds the counts up and
-answers each bucket in the order it was asked, so only counts travel back. The bucket then sums the scores of
-each document. A document's own counts are taken off first: it is scored by the rest of the corpus.
+Documents are dealt into buckets by a hash of their row. Each bucket's distinct n-grams (orders 0 to `order`, as 64-bit hashes)
+are rows with their counts there, so copies and frequent words are folded before the shuffle. They travel as sorted arrays, one for each bucket
+and block of hashes, and are exploded where they arrive: the count of an n-gram is the sum over its rows (the count table and its join with the
+exploded n-grams at once, as both have the same partitioning). The counts go back to the bucket in the order of the hashes; there the
+scores are summed for each document. A document's own counts are taken off first: it is scored by the rest of the corpus.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import in_arrow, n_parts
-from .kernels import U64, ngram_hashes, pack, unpack, word_hashes
+from .kernels import U64, chunks, compress, decompress, ngram_hashes, word_hashes
 
-#: Bits of an n-gram's hash. Two of m n-grams share a hash with a chance of m / 2 ** 48.
-BITS = 48
-#: Bytes of text in a bucket, and for which there is a block. A bucket or block is what a worker holds at once.
-BUCKET_BYTES = 2 << 20
+#: Bytes of text in a bucket. A bucket is what a worker holds at once.
+BUCKET_BYTES = 10 << 20
+#: Rows of n-grams that a worker holds while counts are put in the buckets' order.
+LOT = 1_000_000
 #: The backoff factor.
 ALPHA = 0.4
+#: Turns the unsigned order of hashes into the signed one of SQL's longs.
+_SIGN = U64(1 << 63)
+_DOCS = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+_PLANES = ("a", "b", "c", "d")
 
 
-def _grams(words: np.ndarray, first: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For orders 0 to order: hash of the n-gram that ends at each word, and whether the document has it."""
+def _grams(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the n-gram that ends at each word, and whether the document has it. Order 0 counts all words."""
+    h = np.zeros(len(words), U64)
+    if n and len(words) >= n:
+        h[n - 1 :] = ngram_hashes(words, n)
     place = np.arange(len(words)) - np.repeat(first[:-1], np.diff(first))
-    out = [(np.zeros(len(words), U64), np.ones(len(words), bool))]
-    for n in range(1, order + 1):
-        h = np.zeros(len(words), U64)
-        if len(words) >= n:
-            h[n - 1 :] = ngram_hashes(words, n)
-        out.append(((h >> U64(64 - BITS)) | U64(1), place >= n - 1))
-    return out
+    return h, place >= n - 1
 
 
-def _distinct(grams: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    every = np.concatenate([h[has] for h, has in grams])
-    return np.unique(every, return_counts=True)
+def _deal(buckets: int):
+    """A row for each bucket that a batch has documents of. Repeated rows are dealt on, by what stands before them."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, limit=BUCKET_BYTES):
+                h = part.column("h").to_numpy().view(U64).copy()
+                order = np.argsort(h, kind="stable")
+                new = np.r_[True, h[order][1:] != h[order][:-1]]
+                nth = np.arange(len(h)) - np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+                h[order] += nth.astype(U64) * ((h[0] << U64(1)) | U64(1))
+                bucket = (h % U64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                edges = np.r_[0, np.flatnonzero(np.diff(bucket[order])) + 1, len(h)]
+                docs = part.select(["doc_id", "text"]).take(pa.array(order))
+                blobs = [compress(docs.slice(s, e - s).cast(_DOCS).serialize()) for s, e in zip(edges[:-1], edges[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[order][edges[:-1]]), pa.array(blobs, pa.binary())], names=["bucket", "docs"])
+
+    return run
 
-def _bucket_words(items: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    flat = items.flatten()
-    words, first = word_hashes(flat.field("text"))
-    return flat.field("doc_id"), words, first
 
+def _bucket_words(row: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    got = [pa.ipc.read_record_batch(pa.py_buffer(decompress(b.as_py())), _DOCS) for b in row.column("docs")[0].values]
+    docs = pa.Table.from_batches(got).combine_chunks()
+    words, first = word_hashes(docs.column("text"))
+    return docs.column("doc_id").combine_chunks(), words, first
+
+
+def _tables(order: int, blocks: int):
+    """A bucket's table of n-grams and counts, in sorted arrays for each block of hashes, split in 16-bit planes (the first hardly varies)."""
+    starts = np.array([(k << 64) // blocks for k in range(blocks)], U64)
 
-def _ask(order: int, blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                _, words, first = _bucket_words(row.column("items"))
-                h, c = _distinct(_grams(words, first, order))
-                edges = np.searchsorted(h, _edges(blocks))
-                b, out = row.column("bucket").to_pylist()[0], []
-                for k, (s, e) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-                    if e > s:
-                        gap = np.diff(h[s:e], prepend=U64(0))
-                        out.append((k, b, pack(gap, c[s:e].astype(np.int32))))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.binary())], names=["block", "bucket", "blob"])
+                _, words, first = _bucket_words(row)
+                for n in range(order + 1):
+                    h, has = _grams(words, first, n)
+                    h, count = np.unique(h[has], return_counts=True)
+                    edges = np.r_[np.searchsorted(h, starts), len(h)]
+                    some = np.flatnonzero(np.diff(edges))
+                    if len(some):
+                        planes = (h ^ _SIGN).view(np.int16).reshape(-1, 4).T[::-1]
+                        offs = pa.array(np.r_[edges[some], len(h)].astype(np.int32))
+                        lists = [pa.ListArray.from_arrays(offs, pa.array(np.ascontiguousarray(v))) for v in (*planes, count.astype(np.int32))]
+                        same = lambda v: pa.array(np.full(len(some), v, np.int64))  # noqa: E731, B023
+                        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), same(row.column("bucket")[0].as_py()), same(n), *lists], names=["block", "bucket", "n", *_PLANES, "count"])
 
     return run
 
 
-def _edges(blocks: int) -> np.ndarray:
-    """Where the blocks' ranges of hashes begin, and the end of the last."""
-    at = [(k << BITS) // blocks for k in range(blocks)]
-    return np.array([*at, 1 << 62], U64)
-
-
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a block's n-grams over all buckets; rows come sorted by block."""
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (block, gram) to arrays of totals for each bucket and order; `at` says where an array stands among them."""
+    names = ("block", "bucket", "n", "total")
 
-    def settle(block: int, asked: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        got = [unpack(blob, 2) for _, blob in asked]
-        hs = [np.cumsum(g) for g, _ in got]
-        every, inverse = np.unique(np.concatenate(hs), return_inverse=True)
-        total = np.bincount(inverse, weights=np.concatenate([c for _, c in got]).astype(np.float64), minlength=len(every)).astype(np.int64)
-        parts = np.split(total[inverse], np.cumsum([len(h) for h in hs])[:-1])
-        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in asked], pa.int64()), pa.array([block] * len(asked), pa.int64()), pa.array([pack(p) for p in parts], pa.binary())], names=["bucket", "block", "blob"])
+    def settle(held: list[list[np.ndarray]], seq: int) -> pa.RecordBatch:
+        block, bucket, n, total = (np.concatenate([h[i] for h in held]) for i in range(len(names)))
+        order = np.lexsort((n, bucket, block))  # stable, so the order of grams stays
+        block, bucket, n, total = (c[order] for c in (block, bucket, n, total))
+        new = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (bucket[1:] != bucket[:-1]) | (n[1:] != n[:-1])])
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[new, len(n)].astype(np.int32)), pa.array(total))
+        return pa.RecordBatch.from_arrays([pa.array(bucket[new]), pa.array(n[new]), pa.array((block[new] << 24) | seq), lists], names=["bucket", "n", "at", "totals"])
 
-    block, asked = None, []
+    held, rows, seq = [], 0, 0
     for batch in batches:
-        for k, b, blob in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "blob")), strict=True):
-            if k != block and asked:
-                yield settle(block, asked)
-                asked = []
-            block = k
-            asked.append((b, blob))
-    if asked:
-        yield settle(block, asked)
+        held.append([batch.column(c).to_numpy() for c in names])
+        rows += batch.num_rows
+        if rows >= LOT:
+            yield settle(held, seq)
+            held, rows, seq = [], 0, seq + 1
+    if rows:
+        yield settle(held, seq)
 
 
 def _score(order: int, alpha: float):
@@ -102,35 +121,36 @@ def _score(order: int, alpha: float):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                ids, words, first = _bucket_words(row.column("items"))
-                docs = len(first) - 1
-                size = np.diff(first)
-                score = np.zeros(docs)
-                if len(words):
-                    grams = _grams(words, first, order)
-                    h, _ = _distinct(grams)
-                    told = row.column("answers").flatten()
-                    blocks = np.argsort(told.field("block").to_numpy())
-                    blobs = told.field("blob").to_pylist()
-                    total = np.concatenate([unpack(blobs[k], 1)[0] for k in blocks])
-                    doc = np.repeat(np.arange(docs), size)
-                    rest = []
-                    for hn, has in grams:
-                        where = np.searchsorted(h, hn[has])
-                        _, back, own = np.unique(doc[has] * len(h) + where, return_inverse=True, return_counts=True)
-                        c = np.zeros(len(words), np.int64)
-                        c[has] = total[where] - own[back]
-                        rest.append(c)
-                    log = np.full(len(words), np.nan)
-                    for n in range(order, 0, -1):
-                        # what stands before the n-gram's last word: the (n - 1)-gram that ends one word earlier, or all words
-                        before = np.r_[0, rest[n - 1][:-1]] if n > 1 else rest[0]
-                        use = np.isnan(log) & grams[n][1] & (rest[n] > 0) & (before > 0)
-                        longest = np.minimum(np.arange(len(words)) - np.repeat(first[:-1], size) + 1, order)
-                        log[use] = np.log(rest[n][use] / before[use]) + (longest[use] - n) * np.log(alpha)
-                    unseen = np.isnan(log)
-                    log[unseen] = -np.log(rest[0][unseen] + 1.0) + longest[unseen] * np.log(alpha)
-                    score = np.bincount(doc, weights=log, minlength=docs)
+                ids, words, first = _bucket_words(row)
+                docs, size = len(first) - 1, np.diff(first)
+                told: dict[int, list] = defaultdict(list)
+                answers = row.column("answers")[0].values
+                at, of = (np.zeros(0, np.int64),) * 2 if answers is None else (answers.field(c).to_numpy() for c in ("at", "n"))
+                for k in np.argsort(at, kind="stable"):
+                    told[int(of[k])].append(answers.field("totals")[int(k)].values.to_numpy())
+                doc = np.repeat(np.arange(docs), size)
+                place = np.arange(len(words)) - np.repeat(first[:-1], size)
+                longest = np.minimum(place + 1, order)
+                log, unseen = np.zeros(len(words)), np.ones(len(words), bool)
+                rest: list[np.ndarray] = []
+                for n in range(order + 1):
+                    h, has = _grams(words, first, n)
+                    known, where = np.unique(h[has], return_inverse=True)
+                    total = np.concatenate(told.pop(n)) if n in told else np.zeros(0, np.int64)
+                    if len(total) != len(known):
+                        raise RuntimeError("counts don't fit their bucket")
+                    _, back, own = np.unique(doc[has] * max(1, len(known)) + where, return_inverse=True, return_counts=True)
+                    c = np.zeros(len(words), np.int64)
+                    c[has] = total[where] - own[back]
+                    rest = [*rest[-1:], c]  # this order and the one before
+                    if not n:
+                        log = -np.log(c + 1.0) + longest * np.log(alpha)
+                        continue
+                    # what stands before the n-gram's last word: the (n - 1)-gram that ends one word earlier, or all words
+                    before = np.r_[0, rest[0][:-1]] if n > 1 else rest[0]
+                    use = has & (c > 0) & (before > 0)  # a longer n-gram stands over a shorter one
+                    log[use] = np.log(c[use] / before[use]) + (longest[use] - n) * np.log(alpha)
+                score = np.bincount(doc, weights=log, minlength=docs)
                 mean = np.divide(score, size, out=np.zeros(docs), where=size > 0)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(size.astype(np.int64)), pa.array(score), pa.array(mean, mask=size == 0)], names=["doc_id", "n_words", "log_score", "mean_log_score"])
 
@@ -144,15 +164,25 @@ def lm_scores(docs: DataFrame, order: int = 3, alpha: float = ALPHA) -> DataFram
     words) at the longest n up to `order` where the rest of the corpus has both, times alpha for each order given up; a
     word that the rest lacks scores alpha ** orders / (words of the rest + 1). log_score sums their logarithms. A
     null, empty or wordless text scores 0 with a null mean; null and repeated doc_ids are passed on, each row counts; other columns are
-    ignored; an empty table gives no rows.
+    ignored; an empty table gives no rows. A session's shuffle partitions are the blocks of the count table.
     """
     p = n_parts(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    wordy = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    none = rows.filter(~wordy).select("doc_id", F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("log_score"), F.lit(None).cast("double").alias("mean_log_score"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = blocks = max(1, -(-size // BUCKET_BYTES))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(buckets)))
-    texts = rows.groupBy("bucket").agg(F.collect_list(F.struct("doc_id", "text")).alias("items"))
-    asked = texts.transform(in_arrow, _ask(order, blocks), "block long, bucket long, blob binary").repartition(p, "block").sortWithinPartitions("block")
-    told = asked.transform(in_arrow, _answer, "bucket long, block long, blob binary").groupBy("bucket").agg(F.collect_list(F.struct("block", "blob")).alias("answers"))
-    both = texts.join(told, "bucket", "left").select("items", "answers")
-    return both.transform(in_arrow, _score(order, alpha), "doc_id long, n_words long, log_score double, mean_log_score double")
+    buckets = max(1, -(-size // BUCKET_BYTES))
+    dealt = rows.filter(wordy).withColumn("h", F.xxhash64("doc_id", "text")).transform(in_arrow, _deal(buckets), "bucket long, docs binary")
+    texts = dealt.groupBy("bucket").agg(F.collect_list("docs").alias("docs"))
+    planes = ", ".join(f"{c} array<short>" for c in _PLANES)
+    tables = texts.transform(in_arrow, _tables(order, p), f"block long, bucket long, n long, {planes}, count array<int>").repartition(p, "block")
+    # from here on nothing is shuffled until the totals go back: sums of one block's n-grams are within its partition
+    grams = tables.select("block", "bucket", "n", F.explode(F.arrays_zip(*_PLANES, "count")).alias("x"))
+    low = lambda c, bits: F.shiftleft(F.col(f"x.{c}").cast("long").bitwiseAND(F.lit(65535)), bits)
+    gram = F.shiftleft(F.col("x.a").cast("long"), 48).bitwiseOR(low("b", 32)).bitwiseOR(low("c", 16)).bitwiseOR(low("d", 0))
+    grams = grams.select("block", "bucket", "n", gram.alias("gram"), F.col("x.count").alias("count"))
+    counted = grams.select("block", "bucket", "n", F.sum("count").over(Window.partitionBy("block", "gram")).alias("total"))
+    told = counted.transform(in_arrow, _totals, "bucket long, n long, at long, totals array<long>")
+    told = told.groupBy("bucket").agg(F.collect_list(F.struct("n", "at", "totals")).alias("answers"))
+    scored = texts.join(told, "bucket", "left").select("docs", "answers").transform(in_arrow, _score(order, alpha), "doc_id long, n_words long, log_score double, mean_log_score double")
+    return scored.unionAll(none)

@@ -41,7 +41,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(_table(spark, sf_dir, "documents"))
+    scores = lm_scores(_table(spark, sf_dir, "documents"))
+    return scores.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +93,29 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_lm_scores, op3_source_mix, op4_jaccard_join, op5_quality, op6_packing, op7_suffix_dedup, op8_url_filter, op9_nearest, op10_near_vectors, pipeline)}
 
 ORACLES: dict[str, str] = {
+    "op2_lm_scores": r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+grams AS (
+  SELECT doc_id, i, w[i] AS g1, CASE WHEN i > 1 THEN w[i-1] || ' ' || w[i] END AS g2,
+         CASE WHEN i > 2 THEN w[i-2] || ' ' || w[i-1] || ' ' || w[i] END AS g3 FROM places),
+rest AS (
+  SELECT doc_id, i, count(*) OVER () - count(*) OVER (PARTITION BY doc_id) AS c0,
+         count(*) OVER (PARTITION BY g1) - count(*) OVER (PARTITION BY doc_id, g1) AS c1,
+         count(*) OVER (PARTITION BY g2) - count(*) OVER (PARTITION BY doc_id, g2) AS c2,
+         count(*) OVER (PARTITION BY g3) - count(*) OVER (PARTITION BY doc_id, g3) AS c3 FROM grams),
+both_words AS (
+  SELECT *, lag(c1) OVER (PARTITION BY doc_id ORDER BY i) AS b2, lag(c2) OVER (PARTITION BY doc_id ORDER BY i) AS b3 FROM rest),
+logs AS (
+  SELECT doc_id, CASE WHEN i > 2 AND c3 > 0 AND b3 > 0 THEN ln(c3 / b3)
+    WHEN i > 1 AND c2 > 0 AND b2 > 0 THEN ln(c2 / b2) + (least(i, 3) - 2) * ln(0.4)
+    WHEN c1 > 0 AND c0 > 0 THEN ln(c1 / c0) + (least(i, 3) - 1) * ln(0.4)
+    ELSE least(i, 3) * ln(0.4) - ln(c0 + 1) END AS s FROM both_words)
+SELECT doc_id, len(w)::BIGINT AS n_words, round(coalesce(sum(s), 0), 6) AS log_score, round(avg(s), 6) AS mean_log_score
+FROM words LEFT JOIN logs USING (doc_id) GROUP BY doc_id, len(w)
+""",
     "op4_jaccard_join": r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
