@@ -22,7 +22,7 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-_codec = pa.Codec("zstd", 1)
+_codec, _dense = pa.Codec("zstd", 1), pa.Codec("zstd", 4)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -151,7 +151,7 @@ def shingle_sets(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarr
 
 def compress(raw) -> bytes:  # noqa: ANN001
     """Bytes (or a buffer) compressed, with their size before them."""
-    return np.int64(len(raw)).tobytes() + _codec.compress(raw, asbytes=True)
+    return np.int64(len(raw)).tobytes() + _dense.compress(raw, asbytes=True)
 
 
 def decompress(blob: bytes) -> bytes:

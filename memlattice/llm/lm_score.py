@@ -21,7 +21,9 @@ from .common import in_arrow, n_parts
 from .kernels import U64, chunks, compress, decompress, ngram_hashes, word_hashes
 
 #: Bytes of text in a bucket. A bucket is what a worker holds at once.
-BUCKET_BYTES = 10 << 20
+BUCKET_BYTES = 14 << 20
+#: Bytes of text for which there is a block of hashes, up to MANY blocks for each shuffle partition; a block is sorted by one task.
+BLOCK_BYTES, MANY = 4 << 20, 4
 #: Rows of n-grams that a worker holds while counts are put in the buckets' order.
 LOT = 1_000_000
 #: The backoff factor.
@@ -81,20 +83,24 @@ def _tables(order: int, blocks: int):
                 for n in range(order + 1):
                     h, has = _grams(words, first, n)
                     h, count = np.unique(h[has], return_counts=True)
-                    edges = np.r_[np.searchsorted(h, starts), len(h)]
-                    some = np.flatnonzero(np.diff(edges))
-                    if len(some):
-                        planes = (h ^ _SIGN).view(np.int16).reshape(-1, 4).T[::-1]
-                        offs = pa.array(np.r_[edges[some], len(h)].astype(np.int32))
-                        lists = [pa.ListArray.from_arrays(offs, pa.array(np.ascontiguousarray(v))) for v in (*planes, count.astype(np.int32))]
-                        same = lambda v: pa.array(np.full(len(some), v, np.int64))  # noqa: E731, B023
-                        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), same(row.column("bucket")[0].as_py()), same(n), *lists], names=["block", "bucket", "n", *_PLANES, "count"])
+                    for once in (True, False):  # n-grams that stand there once come without counts
+                        g, c = h[(count == 1) == once], count[(count == 1) == once].astype(np.int32)
+                        edges = np.r_[np.searchsorted(g, starts), len(g)]
+                        some = np.flatnonzero(np.diff(edges))
+                        if len(some):
+                            planes = (g ^ _SIGN).view(np.int16).reshape(-1, 4).T[::-1]
+                            offs = pa.array(np.r_[edges[some], len(g)].astype(np.int32))
+                            lists = [pa.ListArray.from_arrays(offs, pa.array(np.ascontiguousarray(v))) for v in (*planes, c)]
+                            if once:
+                                lists[-1] = pa.ListArray.from_arrays(pa.array(np.zeros(len(some) + 1, np.int32)), pa.array(c[:0]))
+                            same = lambda v: pa.array(np.full(len(some), v, np.int64))  # noqa: E731, B023
+                            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), same(row.column("bucket")[0].as_py()), same(n), *lists], names=["block", "bucket", "n", *_PLANES, "count"])
 
     return run
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (block, gram) to arrays of totals for each bucket and order; `at` says where an array stands among them."""
+    """Rows sorted by gram (and so by block) to arrays of totals for each bucket and order; `at` says where an array stands among them."""
     names = ("block", "bucket", "n", "total")
 
     def settle(held: list[list[np.ndarray]], seq: int) -> pa.RecordBatch:
@@ -164,7 +170,7 @@ def lm_scores(docs: DataFrame, order: int = 3, alpha: float = ALPHA) -> DataFram
     words) at the longest n up to `order` where the rest of the corpus has both, times alpha for each order given up; a
     word that the rest lacks scores alpha ** orders / (words of the rest + 1). log_score sums their logarithms. A
     null, empty or wordless text scores 0 with a null mean; null and repeated doc_ids are passed on, each row counts; other columns are
-    ignored; an empty table gives no rows. A session's shuffle partitions are the blocks of the count table.
+    ignored; an empty table gives no rows.
     """
     p = n_parts(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -175,13 +181,14 @@ def lm_scores(docs: DataFrame, order: int = 3, alpha: float = ALPHA) -> DataFram
     dealt = rows.filter(wordy).withColumn("h", F.xxhash64("doc_id", "text")).transform(in_arrow, _deal(buckets), "bucket long, docs binary")
     texts = dealt.groupBy("bucket").agg(F.collect_list("docs").alias("docs"))
     planes = ", ".join(f"{c} array<short>" for c in _PLANES)
-    tables = texts.transform(in_arrow, _tables(order, p), f"block long, bucket long, n long, {planes}, count array<int>").repartition(p, "block")
+    blocks = max(p, min(MANY * p, size // BLOCK_BYTES))
+    tables = texts.transform(in_arrow, _tables(order, blocks), f"block long, bucket long, n long, {planes}, count array<int>").repartition(blocks, "block")
     # from here on nothing is shuffled until the totals go back: sums of one block's n-grams are within its partition
     grams = tables.select("block", "bucket", "n", F.explode(F.arrays_zip(*_PLANES, "count")).alias("x"))
     low = lambda c, bits: F.shiftleft(F.col(f"x.{c}").cast("long").bitwiseAND(F.lit(65535)), bits)
     gram = F.shiftleft(F.col("x.a").cast("long"), 48).bitwiseOR(low("b", 32)).bitwiseOR(low("c", 16)).bitwiseOR(low("d", 0))
-    grams = grams.select("block", "bucket", "n", gram.alias("gram"), F.col("x.count").alias("count"))
-    counted = grams.select("block", "bucket", "n", F.sum("count").over(Window.partitionBy("block", "gram")).alias("total"))
+    grams = grams.select("block", "bucket", "n", gram.alias("gram"), F.coalesce("x.count", F.lit(1)).alias("count"))
+    counted = grams.select("block", "bucket", "n", F.sum("count").over(Window.partitionBy("gram", "block")).alias("total"))
     told = counted.transform(in_arrow, _totals, "bucket long, n long, at long, totals array<long>")
     told = told.groupBy("bucket").agg(F.collect_list(F.struct("n", "at", "totals")).alias("answers"))
     scored = texts.join(told, "bucket", "left").select("docs", "answers").transform(in_arrow, _score(order, alpha), "doc_id long, n_words long, log_score double, mean_log_score double")
