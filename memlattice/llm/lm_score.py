@@ -3,7 +3,7 @@
 Documents are dealt into buckets by a hash of their row. Each bucket's distinct n-grams (orders 0 to `order`, as 64-bit hashes)
 are rows with their counts there, so copies and frequent words are folded before the shuffle. They travel as sorted arrays, one for each bucket
 and block of hashes, and are exploded where they arrive: the count of an n-gram is the sum over its rows (the count table and its join with the
-exploded n-grams at once, as both have the same partitioning). The counts go back to the bucket in the order of the hashes; there the
+exploded n-grams at once, as both have the same partitioning). What other buckets have goes back in the order of the hashes; there the
 scores are summed for each document. A document's own counts are taken off first: it is scored by the rest of the corpus.
 """
 
@@ -21,11 +21,13 @@ from .common import in_arrow, n_parts
 from .kernels import U64, chunks, compress, decompress, ngram_hashes, word_hashes
 
 #: Bytes of text in a bucket. A bucket is what a worker holds at once.
-BUCKET_BYTES = 14 << 20
+BUCKET_BYTES = 8 << 20
 #: Bytes of text for which there is a block of hashes, up to MANY blocks for each shuffle partition; a block is sorted by one task.
 BLOCK_BYTES, MANY = 4 << 20, 4
 #: Rows of n-grams that a worker holds while counts are put in the buckets' order.
 LOT = 1_000_000
+#: Orders that are counted at once; each longer one follows, as its n-grams are asked for only where the shorter ones are elsewhere.
+FIRST = 2
 #: The backoff factor.
 ALPHA = 0.4
 #: Turns the unsigned order of hashes into the signed one of SQL's longs.
@@ -71,30 +73,70 @@ def _bucket_words(row: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray
     return docs.column("doc_id").combine_chunks(), words, first
 
 
-def _tables(order: int, blocks: int):
-    """A bucket's table of n-grams and counts, in sorted arrays for each block of hashes, split in 16-bit planes (the first hardly varies)."""
+def _told(row: pa.RecordBatch, order: int) -> dict[int, np.ndarray]:
+    """For each order up to this one: how often other buckets have the bucket's n-grams, in the order of their hashes."""
+    got: dict[int, list] = defaultdict(list)
+    for column in row.schema.names:
+        answers = row.column(column)[0].values if column != "docs" else None
+        if answers is not None:
+            at, of = (answers.field(c).to_numpy() for c in ("at", "n"))
+            for k in np.argsort(at, kind="stable"):
+                got[int(of[k])].append(answers.field("totals")[int(k)].values.to_numpy())
+    return {n: np.concatenate(got[n]) if n in got else np.zeros(0, np.int64) for n in range(order + 1)}
+
+
+def _rest(words: np.ndarray, first: np.ndarray, told: dict[int, np.ndarray], order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray | None]]:
+    """For each order up to this one: how often the rest of the corpus has the n-gram that ends at each word.
+
+    From an order on that isn't told, which of them are to be asked for instead. An n-gram over FIRST is asked for only where the rest
+    has both (n - 1)-grams of it: it can't be there otherwise. That depends on the document and the n-gram alone, and where two documents
+    have an n-gram both ask for it.
+    """
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    before = np.zeros(len(words), np.int64)
+    for n in range(order + 1):
+        h, has = _grams(words, first, n)
+        if n > FIRST:
+            has = has & (before > 0) & (np.r_[0, before[:-1]] > 0)
+        if n not in told:
+            yield n, h[has], None
+            continue
+        known, where, here = np.unique(h[has], return_inverse=True, return_counts=True)
+        if len(told[n]) != len(known):
+            raise RuntimeError("counts don't fit their bucket")
+        _, back, own = np.unique(doc[has] * max(1, len(known)) + where, return_inverse=True, return_counts=True)
+        before = np.zeros(len(words), np.int64)
+        before[has] = (told[n] + here)[where] - own[back]
+        yield n, before, has
+
+
+def _tables(orders: range, blocks: int):
+    """A bucket's tables of n-grams and counts, in sorted arrays for each block of hashes, split in 16-bit planes (the first hardly varies)."""
     starts = np.array([(k << 64) // blocks for k in range(blocks)], U64)
 
+    def table(bucket: int, n: int, h: np.ndarray) -> Iterator[pa.RecordBatch]:
+        h, count = np.unique(h, return_counts=True)
+        for once in (True, False):  # n-grams that stand there once come without counts
+            g, c = h[(count == 1) == once], count[(count == 1) == once].astype(np.int32)
+            edges = np.r_[np.searchsorted(g, starts), len(g)]
+            some = np.flatnonzero(np.diff(edges))
+            if len(some):
+                offs = pa.array(np.r_[edges[some], len(g)].astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offs, pa.array(np.ascontiguousarray(v))) for v in (g ^ _SIGN).view(np.int16).reshape(-1, 4).T[::-1]]
+                lists.append(pa.ListArray.from_arrays(pa.array(np.zeros(len(some) + 1, np.int32)), pa.array(c[:0])) if once else pa.ListArray.from_arrays(offs, pa.array(c)))
+                same = lambda v: pa.array(np.full(len(some), v, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), same(bucket), same(n), *lists], names=["block", "bucket", "n", *_PLANES, "count"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
+                bucket, row = row.column("bucket")[0].as_py(), row.drop_columns(["bucket"])
                 _, words, first = _bucket_words(row)
-                for n in range(order + 1):
-                    h, has = _grams(words, first, n)
-                    h, count = np.unique(h[has], return_counts=True)
-                    for once in (True, False):  # n-grams that stand there once come without counts
-                        g, c = h[(count == 1) == once], count[(count == 1) == once].astype(np.int32)
-                        edges = np.r_[np.searchsorted(g, starts), len(g)]
-                        some = np.flatnonzero(np.diff(edges))
-                        if len(some):
-                            planes = (g ^ _SIGN).view(np.int16).reshape(-1, 4).T[::-1]
-                            offs = pa.array(np.r_[edges[some], len(g)].astype(np.int32))
-                            lists = [pa.ListArray.from_arrays(offs, pa.array(np.ascontiguousarray(v))) for v in (*planes, c)]
-                            if once:
-                                lists[-1] = pa.ListArray.from_arrays(pa.array(np.zeros(len(some) + 1, np.int32)), pa.array(c[:0]))
-                            same = lambda v: pa.array(np.full(len(some), v, np.int64))  # noqa: E731, B023
-                            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), same(row.column("bucket")[0].as_py()), same(n), *lists], names=["block", "bucket", "n", *_PLANES, "count"])
+                told = _told(row, orders[0] - 1)
+                for n, h, has in _rest(words, first, told, orders[-1]):
+                    if has is None:
+                        yield from table(bucket, n, h)
 
     return run
 
@@ -129,34 +171,18 @@ def _score(order: int, alpha: float):
                 row = batch.slice(i, 1)
                 ids, words, first = _bucket_words(row)
                 docs, size = len(first) - 1, np.diff(first)
-                told: dict[int, list] = defaultdict(list)
-                answers = row.column("answers")[0].values
-                at, of = (np.zeros(0, np.int64),) * 2 if answers is None else (answers.field(c).to_numpy() for c in ("at", "n"))
-                for k in np.argsort(at, kind="stable"):
-                    told[int(of[k])].append(answers.field("totals")[int(k)].values.to_numpy())
-                doc = np.repeat(np.arange(docs), size)
-                place = np.arange(len(words)) - np.repeat(first[:-1], size)
-                longest = np.minimum(place + 1, order)
-                log, unseen = np.zeros(len(words)), np.ones(len(words), bool)
-                rest: list[np.ndarray] = []
-                for n in range(order + 1):
-                    h, has = _grams(words, first, n)
-                    known, where = np.unique(h[has], return_inverse=True)
-                    total = np.concatenate(told.pop(n)) if n in told else np.zeros(0, np.int64)
-                    if len(total) != len(known):
-                        raise RuntimeError("counts don't fit their bucket")
-                    _, back, own = np.unique(doc[has] * max(1, len(known)) + where, return_inverse=True, return_counts=True)
-                    c = np.zeros(len(words), np.int64)
-                    c[has] = total[where] - own[back]
-                    rest = [*rest[-1:], c]  # this order and the one before
-                    if not n:
+                longest = np.minimum(np.arange(len(words)) - np.repeat(first[:-1], size) + 1, order)
+                log, shorter = np.zeros(len(words)), np.zeros(len(words), np.int64)
+                for n, c, has in _rest(words, first, _told(row, order), order):
+                    if n:
+                        # what stands before the n-gram's last word: the (n - 1)-gram that ends one word earlier, or all words
+                        before = np.r_[0, shorter[:-1]] if n > 1 else shorter
+                        use = has & (c > 0) & (before > 0)  # a longer n-gram stands over a shorter one
+                        log[use] = np.log(c[use] / before[use]) + (longest[use] - n) * np.log(alpha)
+                    else:
                         log = -np.log(c + 1.0) + longest * np.log(alpha)
-                        continue
-                    # what stands before the n-gram's last word: the (n - 1)-gram that ends one word earlier, or all words
-                    before = np.r_[0, rest[0][:-1]] if n > 1 else rest[0]
-                    use = has & (c > 0) & (before > 0)  # a longer n-gram stands over a shorter one
-                    log[use] = np.log(c[use] / before[use]) + (longest[use] - n) * np.log(alpha)
-                score = np.bincount(doc, weights=log, minlength=docs)
+                    shorter = c
+                score = np.bincount(np.repeat(np.arange(docs), size), weights=log, minlength=docs)
                 mean = np.divide(score, size, out=np.zeros(docs), where=size > 0)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(size.astype(np.int64)), pa.array(score), pa.array(mean, mask=size == 0)], names=["doc_id", "n_words", "log_score", "mean_log_score"])
 
@@ -180,16 +206,24 @@ def lm_scores(docs: DataFrame, order: int = 3, alpha: float = ALPHA) -> DataFram
     buckets = max(1, -(-size // BUCKET_BYTES))
     dealt = rows.filter(wordy).withColumn("h", F.xxhash64("doc_id", "text")).transform(in_arrow, _deal(buckets), "bucket long, docs binary")
     texts = dealt.groupBy("bucket").agg(F.collect_list("docs").alias("docs"))
-    planes = ", ".join(f"{c} array<short>" for c in _PLANES)
     blocks = max(p, min(MANY * p, size // BLOCK_BYTES))
-    tables = texts.transform(in_arrow, _tables(order, blocks), f"block long, bucket long, n long, {planes}, count array<int>").repartition(blocks, "block")
+    told = texts
+    for k, orders in enumerate([range(min(order, FIRST) + 1), *(range(n, n + 1) for n in range(FIRST + 1, order + 1))]):
+        told = told.join(_counted(told, orders, blocks).withColumnRenamed("answers", f"a{k}"), "bucket", "left")
+    scored = told.drop("bucket").transform(in_arrow, _score(order, alpha), "doc_id long, n_words long, log_score double, mean_log_score double")
+    return scored.unionAll(none)
+
+
+def _counted(told: DataFrame, orders: range, blocks: int) -> DataFrame:
+    """(bucket, answers): how often the other buckets have the n-grams of these orders that a bucket asks for."""
+    planes = ", ".join(f"{c} array<short>" for c in _PLANES)
+    tables = told.transform(in_arrow, _tables(orders, blocks), f"block long, bucket long, n long, {planes}, count array<int>").repartition(blocks, "block")
     # from here on nothing is shuffled until the totals go back: sums of one block's n-grams are within its partition
     grams = tables.select("block", "bucket", "n", F.explode(F.arrays_zip(*_PLANES, "count")).alias("x"))
     low = lambda c, bits: F.shiftleft(F.col(f"x.{c}").cast("long").bitwiseAND(F.lit(65535)), bits)
     gram = F.shiftleft(F.col("x.a").cast("long"), 48).bitwiseOR(low("b", 32)).bitwiseOR(low("c", 16)).bitwiseOR(low("d", 0))
     grams = grams.select("block", "bucket", "n", gram.alias("gram"), F.coalesce("x.count", F.lit(1)).alias("count"))
-    counted = grams.select("block", "bucket", "n", F.sum("count").over(Window.partitionBy("gram", "block")).alias("total"))
-    told = counted.transform(in_arrow, _totals, "bucket long, n long, at long, totals array<long>")
-    told = told.groupBy("bucket").agg(F.collect_list(F.struct("n", "at", "totals")).alias("answers"))
-    scored = texts.join(told, "bucket", "left").select("docs", "answers").transform(in_arrow, _score(order, alpha), "doc_id long, n_words long, log_score double, mean_log_score double")
-    return scored.unionAll(none)
+    others = F.sum("count").over(Window.partitionBy("gram", "block")) - F.col("count")
+    counted = grams.select("block", "bucket", "n", others.alias("total"))
+    back = counted.transform(in_arrow, _totals, "bucket long, n long, at long, totals array<long>")
+    return back.groupBy("bucket").agg(F.collect_list(F.struct("n", "at", "totals")).alias("answers"))
