@@ -1,15 +1,16 @@
 """Near-duplicate vectors by iterative quantisation and multi-index Hamming tables, crowded regions by exact tiles.
 
-A rotation is learned that makes the signs of the rotated vectors balanced codes of 64 bits. Each code is cut in four
-substrings of 16 bits, one for each table. Both sides of a pair stand in a table under their substring and all
-substrings one bit away, so a pair meets if some substring differs in two bits at most. Pairs that meet are
+A rotation is learned that makes the signs of the rotated vectors balanced codes of 64 bits. Each code is cut in
+substrings, one for each table: four of 16 bits, or fewer of more bits for many vectors, so that a table's keys are as many as the
+vectors and the pairs that meet by chance grow with the vectors, not with their square. Both sides of a pair stand in a table under
+their substring and all substrings one bit away, so a pair meets if some substring differs in two bits at most. Pairs that meet are
 held against the Hamming radius, then reranked with the original vectors. Equal vectors are one row with a count.
 
 Codes tell little where many vectors lie close together. So balls are drawn around sampled vectors that have many links. A
 vector within the link angle of a ball's centre is inside; whatever links with it is within twice that angle. Inside and
 this rim are compared exactly, as tiles of cosines; the codes are learned from, and used for, the vectors outside all balls.
 Pairs at the least cosine are drawn around sampled vectors to find the radius and how many sets of codes (other rotations)
-leave at most MISS of them apart. Where MAX_SETS don't do, and for few vectors of a dimension, all are compared exactly.
+leave at most MISS of them apart. Where max_sets() don't do, and for few vectors of a dimension, all are compared exactly.
 """
 
 from __future__ import annotations
@@ -26,18 +27,29 @@ from .common import cut, in_arrow, n_parts
 from .graph import components, contract
 from .vectors import cosines, matrices, usable
 
-BITS, TABLES, SUB = 64, 4, 16
+BITS = 64
+#: Bits of a substring at least and at most.
+SUB_LEAST, SUB_MOST = 16, 32
 #: Vectors the rotation is learned from; the smallest by a hash of their ids.
 SAMPLE = 10_000
 #: Rows of a table key or cell that one task compares with each other; larger ones are dealt in pairs of blocks.
 LOT = 4096
 #: Vectors of a dimension up to which all are compared; beyond, share of a sample that makes a ball, and the balls at most.
 EXACT, CROWD, BALLS = 4096, 0.005, 64
-#: Share of pairs at the least cosine that the codes may leave apart by the drawn pairs, and the sets of codes at most.
-MISS, MAX_SETS = 0.002, 4
+#: Share of pairs at the least cosine that the codes may leave apart by the drawn pairs.
+MISS = 0.002
 #: Sampled vectors outside the balls from which a rotation is learned; with fewer it is random.
 LEARNABLE = 1024
-_FLIPS = np.r_[0, 1 << np.arange(SUB)].astype(np.uint32)
+
+
+def width(n: int) -> int:
+    """Bits of a substring for n vectors: each of 17 or more keys of a vector should be shared by a few others."""
+    return min(SUB_MOST, max(SUB_LEAST, int(n).bit_length() - 1))
+
+
+def max_sets(sub: int) -> int:
+    """Sets of codes at most. Wider substrings are fewer and agree less often, so they take more sets."""
+    return 4 + (sub - SUB_LEAST)
 
 
 def learn(sample: np.ndarray, rounds: int = 30, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -83,6 +95,7 @@ class Plan:
     centres: np.ndarray
     models: tuple[tuple[np.ndarray, np.ndarray], ...]
     radius: int
+    sub: int = SUB_LEAST
 
 
 def drawn_pairs(x: np.ndarray, least: float, seed: int = 11, n: int = 10_000) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -112,15 +125,15 @@ def crowded(x: np.ndarray, least: float) -> np.ndarray:
     return x[centres]
 
 
-def plan(x: np.ndarray, least: float, radius: int) -> Plan:
-    """For a sample x of unit vectors."""
+def plan(x: np.ndarray, least: float, radius: int, sub: int = SUB_LEAST) -> Plan:
+    """For a sample x of unit vectors, with substrings of sub bits."""
     centres = crowded(x, least)
     rest = x[(x @ centres.T < least).all(axis=1)] if len(centres) else x
     if len(rest) < 2:
         return Plan(centres, (), radius)
     pairs, models = drawn_pairs(rest, least), []
     apart = [np.ones(len(a), bool) for a, _ in pairs]
-    for seed in range(MAX_SETS):
+    for seed in range(max_sets(sub)):
         models.append(learn(rest, seed=7 + seed) if len(rest) >= LEARNABLE else random_model(x.shape[1], seed))
         diffs = [encode(a, models[-1]) ^ encode(b, models[-1]) for a, b in pairs]
         bits = np.concatenate([np.bitwise_count(d) for d in diffs])
@@ -129,10 +142,10 @@ def plan(x: np.ndarray, least: float, radius: int) -> Plan:
         if not seed:
             radius = max(radius, int(np.ceil(np.quantile(bits, 1 - MISS / 4))))
         for k, d in enumerate(diffs):
-            subs = np.stack([np.bitwise_count((d >> np.uint64(SUB * t)) & np.uint64((1 << SUB) - 1)) for t in range(TABLES)])
+            subs = np.stack([np.bitwise_count((d >> np.uint64(sub * t)) & np.uint64((1 << sub) - 1)) for t in range(BITS // sub)])
             apart[k] &= (subs > 2).all(axis=0) | (np.bitwise_count(d) > radius)
         if max(m.mean() for m in apart if len(m)) <= MISS:
-            return Plan(centres, tuple(models), radius)
+            return Plan(centres, tuple(models), radius, sub)
     return Plan(centres, (), radius)
 
 
@@ -217,33 +230,35 @@ def _tiles(least: float):
 
 
 def _keys(plans: dict[int, Plan]):
-    """A row for each set of codes, table and key of a vector's code."""
+    """A row for each set of codes, table and key of a vector's code. A key holds dimension, set (6 bits), table (2 bits) and substring (32 bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("rep").to_numpy()
             for rows, x in matrices(batch.column("v")):
+                bits = plans[x.shape[1]].sub
+                flips = np.r_[0, 1 << np.arange(bits, dtype=np.int64)]
                 for k, model in enumerate(plans[x.shape[1]].models):
                     code = encode(x, model)
-                    for t in range(TABLES):
-                        sub = ((code >> np.uint64(SUB * t)) & np.uint64((1 << SUB) - 1)).astype(np.uint32)
-                        key = (sub[:, None] ^ _FLIPS[None, :]).reshape(-1).astype(np.int64) | (t << SUB) | (k << (SUB + 2)) | (x.shape[1] << 20)
-                        n = len(_FLIPS)
+                    for t in range(BITS // bits):
+                        sub = ((code >> np.uint64(bits * t)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+                        key = (sub[:, None] ^ flips[None, :]).reshape(-1) | (t << 32) | (k << 34) | (x.shape[1] << 40)
+                        n = len(flips)
                         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(ids[rows], n)), pa.array(np.repeat(code.view(np.int64), n))], names=["key", "rep", "code"])
 
     return run
 
 
-def _meets_here(a: np.ndarray, b: np.ndarray, table: int, sub: int) -> np.ndarray:
+def _meets_here(a: np.ndarray, b: np.ndarray, table: int, sub: int, bits: int) -> np.ndarray:
     """Of all places where two codes meet, one counts: the first table, and there the smallest common key."""
     here = np.ones(a.shape, bool)
     for t in range(table + 1):
-        diff = ((a ^ b) >> np.uint64(SUB * t)) & np.uint64((1 << SUB) - 1)
+        diff = ((a ^ b) >> np.uint64(bits * t)) & np.uint64((1 << bits) - 1)
         far = np.bitwise_count(diff)
         if t < table:
             here &= far > 2
             continue
-        sa = (a >> np.uint64(SUB * t)) & np.uint64((1 << SUB) - 1)
+        sa = (a >> np.uint64(bits * t)) & np.uint64((1 << bits) - 1)
         sb = sa ^ diff
         low = diff & (~diff + np.uint64(1))
         # no bit apart: the substring itself; one: the smaller of both; two: the smaller of the two between
@@ -252,16 +267,18 @@ def _meets_here(a: np.ndarray, b: np.ndarray, table: int, sub: int) -> np.ndarra
     return here
 
 
-def _meet(radii: dict[int, int]):
+def _meet(radii: dict[int, tuple[int, int]]):
+    """radii: Hamming radius and bits of a substring, for each dimension."""
+
     def compare(key: int, ra, ca, rb, cb, same: bool) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-        table, sub = (key >> SUB) & (TABLES - 1), key & ((1 << SUB) - 1)
+        table, sub, (radius, bits) = (key >> 32) & 3, key & ((1 << 32) - 1), radii[key >> 40]
         for s in range(0, len(ra), 512):
             a, b = ca[s : s + 512, None], cb[None, :]
-            near = np.bitwise_count(a ^ b) <= radii[key >> 20]
+            near = np.bitwise_count(a ^ b) <= radius
             if same:
                 near &= np.arange(len(rb))[None, :] > np.arange(s, s + a.shape[0])[:, None]
             i, j = np.nonzero(near)
-            keep = _meets_here(ca[s + i], cb[j], table, sub)
+            keep = _meets_here(ca[s + i], cb[j], table, sub, bits)
             i, j = i[keep] + s, j[keep]
             if len(i):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ra[i], rb[j])), pa.array(np.maximum(ra[i], rb[j]))], names=["a", "b"])
@@ -333,14 +350,14 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, radius: int = 18) ->
     for dim, n in classes.groupBy(F.size("v")).count().collect():
         if n > EXACT:
             picked = classes.filter(F.size("v") == dim).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").collect()
-            plans[dim] = plan(units(np.array([r["v"] for r in picked])), least, radius)
+            plans[dim] = plan(units(np.array([r["v"] for r in picked])), least, radius, width(n))
     cells = cut(classes.transform(in_arrow, _cells(plans, least), "cell long, inside boolean, rep long, v array<double>, n long"))
     found = cut(_dealt(cells.filter("cell >= 0"), "cell", "inside", "rep", "v", "n").repartition(p, "cell", "i", "j").sortWithinPartitions("cell", "i", "j").transform(in_arrow, _tiles(least), "a long, b long, w long"))
     degree, links = found.filter("b is null").select(F.col("a").alias("rep"), "w"), found.filter("b is not null").select("a", "b")
     if any(x.models for x in plans.values()):
         coded = cells.filter("cell = -1").select("rep", "v", "n")
         keys = cut(coded.select("rep", "v").transform(in_arrow, _keys(plans), "key long, rep long, code long"))
-        pairs = _dealt(keys, "key", "rep", "code").repartition(p, "key", "i", "j").sortWithinPartitions("key", "i", "j").transform(in_arrow, _meet({d: x.radius for d, x in plans.items()}), "a long, b long")
+        pairs = _dealt(keys, "key", "rep", "code").repartition(p, "key", "i", "j").sortWithinPartitions("key", "i", "j").transform(in_arrow, _meet({d: (x.radius, x.sub) for d, x in plans.items()}), "a long, b long")
         if max(len(x.models) for x in plans.values()) > 1:
             pairs = pairs.distinct()  # each set of codes may bring a pair together
         left = coded.select(F.col("rep").alias("a"), F.col("v").alias("va"), F.col("n").alias("na"))
