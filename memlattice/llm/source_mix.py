@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 #: Weights of the sources in code point order, repeating; what all targets add up to, and the most a source gives, in times of sizes.
 WEIGHTS, TOTAL, MOST = (3, 1, 2), 1.5, 2.0
-#: Tokens of a block; documents of the largest source in a shard; shards at most.
-BLOCK, SHARD_DOCS, MAX_SHARDS = 64, 1024, 4096
+#: Tokens of a block; documents of the largest source in a shard; shards of a source at most (beyond, shards grow; they are sorted, not held).
+BLOCK, SHARD_DOCS, MAX_SHARDS = 64, 1024, 1 << 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -56,43 +56,57 @@ def apportion(seats: int, weights: np.ndarray, most: np.ndarray) -> np.ndarray:
     return got
 
 
+def _quotas(seed: int):
+    """Quotas of one source's shards, by Sainte-Laguë, and a seeded permutation of each shard's blocks."""
+
+    def run(pdf):  # noqa: ANN001, ANN202
+        pdf = pdf.sort_values("_shard")
+        size = pdf["_total"].to_numpy(np.int64)
+        n = np.where(size > 0, np.maximum(1, size // BLOCK), 0)
+        quota = apportion(int(pdf["_quota"].iloc[0]), n, int(MOST) * n)
+        steps, froms = [], []
+        for shard, k in zip(pdf["_shard"], np.maximum(n, 1).tolist(), strict=True):
+            rng = np.random.default_rng([seed, int(shard)])
+            step = int(rng.integers(1, k + 1))
+            while math.gcd(step, k) > 1:
+                step = step % k + 1
+            steps.append(step)
+            froms.append(int(rng.integers(0, k)))
+        return pdf.assign(_n=np.maximum(n, 1), _q=quota, _step=steps, _from=froms)[["_source", "_shard", "_total", "_n", "_q", "_step", "_from"]]
+
+    return run
+
+
 def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     """docs(doc_id, text, source, ...) with size, source_size, target, taken, whole and parts.
 
     A document's size is its number of words; its source's target is in words. `taken` words of it are in the mix: it
     stands there `whole` times, and `parts` lists the word ranges (start, length) taken once more. A null text has size 0; a
     null source is a source, the last in order. Rows of one or no doc_id are each mixed; equal ones share what is theirs in any
-    order. Columns named like the new ones are replaced. An empty table gives no rows. Reruns agree.
+    order. Columns named like the six new ones are replaced, all others are passed on. An empty table gives no rows. Reruns agree.
     """
-    new = ("size", "source_size", "target", "taken", "whole", "parts", "_shard", "_at", "_n", "_q", "_total", "_step", "_from")
-    rows = docs.drop(*new).withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    stats = rows.groupBy("source").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("c")).collect()
-    stats.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-    goal = dict(zip([r["source"] for r in stats], targets([r["s"] for r in stats]), strict=True))
-    total = {r["source"]: r["s"] for r in stats}
+    new, kept = ("size", "source_size", "target", "taken", "whole", "parts"), "_kept"
+    own = [c for c in docs.columns if c not in new]
+    # the caller's columns travel in one, so that none of theirs meets one of these
+    rows = docs.select(F.struct(*own).alias(kept), F.col("doc_id"), F.col("text"), F.col("source"))
+    rows = rows.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    rows = rows.withColumn("_source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
+    stats = rows.groupBy("_source").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("c")).collect()
+    stats.sort(key=lambda r: (not r["_source"], r["_source"].encode()))
+    goal = targets([r["s"] for r in stats])
     shards = min(MAX_SHARDS, max(1, -(-max((r["c"] for r in stats), default=1) // SHARD_DOCS)))
-    order = F.xxhash64(F.lit(seed), "doc_id")
-    rows = rows.withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(shards)).cast("int"))
-    cells = rows.groupBy("source", "_shard").agg(F.sum("size").alias("s")).collect()
-    by_source: dict = {}
-    for r in sorted(cells, key=lambda r: r["_shard"]):
-        by_source.setdefault(r["source"], []).append((r["_shard"], r["s"], max(1, r["s"] // BLOCK)))
-    names = [r["source"] for r in stats]
-    blocks = {s: sum(n for _, size, n in by_source[s] if size) for s in names}
-    share = np.array([goal[s] / total[s] * blocks[s] if total[s] else 0.0 for s in names])
-    quotas = apportion(round(share.sum()), share, np.array([int(MOST) * blocks[s] for s in names], np.int64)) if names else []
-    rng, plan = np.random.default_rng(seed), []
-    for s, quota in zip(names, quotas, strict=True):
-        n = np.array([k if size else 0 for _, size, k in by_source[s]], np.int64)
-        for (shard, size, k), q in zip(by_source[s], apportion(int(quota), n, int(MOST) * n), strict=True):
-            step = int(rng.integers(1, k + 1))
-            while math.gcd(step, k) > 1:
-                step = step % k + 1
-            plan.append((s, shard, int(size), k, int(q), step, int(rng.integers(0, k)), int(total[s]), float(goal[s])))
-    plan = docs.sparkSession.createDataFrame(plan, "p_source string, p_shard int, _total long, _n long, _q long, _step long, _from long, source_size long, target double")
-    by = Window.partitionBy("source", "_shard").orderBy(F.xxhash64(F.lit(seed), "doc_id"), F.col("doc_id").asc_nulls_first(), "size")
+    order = F.xxhash64(F.lit(seed), "doc_id", "text")
+    rows = rows.withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text"), F.lit(shards)).cast("int")).withColumn("_order", order)
+    cells = rows.groupBy("_source", "_shard").agg(F.sum("size").alias("_total"))
+    blocks = {r["_source"]: r["n"] for r in cells.filter("_total > 0").groupBy("_source").agg(F.sum(F.greatest(F.lit(1), F.expr(f"_total div {BLOCK}"))).alias("n")).collect()}
+    many = np.array([blocks.get(r["_source"], 0) for r in stats], np.int64)
+    share = np.array([t / r["s"] * n if r["s"] else 0.0 for t, r, n in zip(goal, stats, many, strict=True)])
+    quotas = apportion(round(share.sum()), share, int(MOST) * many) if stats else []
+    told = docs.sparkSession.createDataFrame([(r["_source"], int(q), int(r["s"]), float(t)) for r, q, t in zip(stats, quotas, goal, strict=True)], "_source string, _quota long, source_size long, target double")
+    plan = cells.join(told.select("_source", "_quota"), "_source").groupBy("_source").applyInPandas(_quotas(seed), "_source string, _shard int, _total long, _n long, _q long, _step long, _from long")
+    by = Window.partitionBy("_source", "_shard").orderBy("_order", F.col("doc_id").asc_nulls_first(), "size")
     rows = rows.withColumn("_at", F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("_shard") == F.col("p_shard")))
+    rows = rows.join(plan, ["_source", "_shard"]).join(told.drop("_quota"), "_source")
     block_of = lambda t: F.expr(f"(({t}) * _n - 1) div _total")  # noqa: E731  of the token before t
     first, last = block_of("_at + 1"), block_of("_at + size")
     chosen = F.filter(F.sequence(first, last), lambda j: F.pmod(j * F.col("_step") + F.col("_from"), F.col("_n")) < F.col("_q") % F.col("_n"))
@@ -106,11 +120,16 @@ def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     rows = rows.withColumn("parts", F.when(F.col("size") > 0, F.transform(chosen, part)).otherwise(none)).withColumn("whole", F.expr("_q div _n"))
     more = F.aggregate("parts", F.lit(0).cast("long"), lambda acc, x: acc + x["length"])
     rows = rows.withColumn("taken", F.col("whole") * F.col("size") + more)
-    return rows.drop("p_source", "p_shard", *(c for c in new if c[0] == "_"))
+    return rows.select(*(F.col(kept).getField(c).alias(c) for c in own), *new)
 
 
 def mixed_text() -> Column:
-    """A mixed document's text: the whole of it as often as it is taken, then the words of its parts."""
-    words = F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
-    parts = F.transform("parts", lambda x: F.array_join(F.slice(words, (x["start"] + 1).cast("int"), x["length"].cast("int")), " "))
-    return F.array_join(F.concat(F.array_repeat(F.col("text"), F.col("whole").cast("int")), F.when(F.size("parts") > 0, F.array(F.array_join(parts, " "))).otherwise(F.array())), "\n")
+    """A mixed document's text: the whole of it as often as it is taken, then its parts, each on lines of its own.
+
+    A part is cut from the text as it stands, line breaks between its words included.
+    """
+    # every piece is a word and the white space after it
+    words = F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    part = lambda x: F.array_join(F.slice(words, (x["start"] + 1).cast("int"), x["length"].cast("int")), "")
+    parts = F.transform("parts", lambda x: F.regexp_replace(part(x), r"[\x20\x09-\x0D]+$", ""))
+    return F.array_join(F.concat(F.array_repeat(F.col("text"), F.col("whole").cast("int")), parts), "\n")
