@@ -126,8 +126,8 @@ class OrdinalModel:
 def quality(docs: DataFrame, ratings: DataFrame, least: float = 0.5, tail: int = 1, sample: int = SAMPLE) -> DataFrame:
     """docs(doc_id, text, ...) with expected_grade, tail_probability and keep, for every row.
 
-    ratings(doc_id, grade) are whole numbers from 0 on; at most `sample` rows are learned from, ratings with a null don't
-    count. expected_grade sums P(grade >= k), tail_probability is P(grade >= tail), keep says whether it reaches `least`. A null
+    ratings(doc_id, grade) are whole numbers from 0 on; at most `sample` rated texts are learned from, ratings with a null don't
+    count; repeated ratings and rows count each. expected_grade sums P(grade >= k), tail_probability is P(grade >= tail), keep says whether it reaches `least`. A null
     text is empty; an empty or very short text has nearly the average text's score. Without ratings of two grades everything is
     kept with a tail probability of 1. Null and repeated doc_ids are passed on, as other columns
     are; columns named like the new ones are replaced; an empty table gives no rows.
@@ -137,7 +137,8 @@ def quality(docs: DataFrame, ratings: DataFrame, least: float = 0.5, tail: int =
     rated = ratings.select(F.col("doc_id").cast("long").alias("id"), F.col("grade").cast("int").alias("grade")).filter("id is not null and grade >= 0")
     rated = rated.orderBy(F.xxhash64("id"), "id", "grade").limit(sample).collect()
     bounded = spark.createDataFrame([(r["id"], r["grade"]) for r in rated], "id long, grade int")
-    known = rows.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(bounded), F.col("_id") == F.col("id")).select("grade", "text")  # at most `sample` rows of two numbers
+    # at most `sample` rows of two numbers are broadcast
+    known = rows.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(bounded), F.col("_id") == F.col("id")).select("grade", "text")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,7 +146,11 @@ def quality(docs: DataFrame, ratings: DataFrame, least: float = 0.5, tail: int =
                 x = _counts(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("grade"), pa.array([r.tobytes() for r in x], pa.binary())], names=["grade", "x"])
 
-    got = known.transform(in_arrow, featured, "grade int, x binary").toArrow() if rated else None
+    got = None
+    if rated:
+        seen = known.transform(in_arrow, featured, "grade int, x binary")
+        # more rows only where doc_ids repeat; then a hash chooses among them
+        got = seen.orderBy(F.xxhash64("grade", "x"), "grade").limit(sample).toArrow()
     model, grades = None, 1 + max((r["grade"] for r in rated), default=0)
     if got is not None and got.num_rows:
         y = got.column("grade").to_numpy().astype(np.int64)

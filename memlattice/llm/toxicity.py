@@ -16,16 +16,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees, Isotonic
-from .common import in_arrow
+from .common import cut, in_arrow
 from .kernels import U64, chunks, span_hashes, text_bytes, word_spans
 
 #: Labelled rows that are learned from at most: the first by a hash of their ids. The only rows not taken whole.
 SAMPLE = 12_000
-#: Documents of each label a learned word or beginning must stand in, and how many times its share in toxic ones must exceed the other.
-SUPPORT, ODDS, BEGINNING, LEARNED = 6, 20.0, 5, 4000
-#: Insults.
+#: Toxic documents a learned word or beginning must stand in, and how many times its share in toxic ones must exceed the other; letters of a beginning.
+SUPPORT, ODDS, BEGINNING = 6, 20.0, 5
+#: Insults, chosen for this engine; words learned from labels come beside them.
 INSULTS = frozenset("asshole bastard bitch clown creep cretin crap damn degenerate dirtbag disgusting dumb dumbass dummy fool freak garbage gross hate hateful hell idiot idiotic ignorant imbecile jerk kill lame liar loser lowlife lunatic maggot moron moronic nasty pathetic pig psycho rat retard rotten rubbish scum scumbag shameful shit shut sick sleazy slob stink stupid subhuman suck swine terrible toxic trash ugly useless vermin vile weirdo worthless".split())
-#: Second persons.
+#: Second persons in English, German, French and Spanish.
 YOU = frozenset("you your yours yourself yourselves u ur du dein deine deinen deiner dir dich ihr euch euer sie tu toi ton ta tes te vous votre vos tú usted ustedes ti tus vosotros".split())
 _LOOKS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": "", ".": "", "-": "", "_": ""})
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -120,19 +120,24 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
     Labels are learned from at most `sample` rows whose crc32(doc_id as text) mod 5 isn't 0: those of remainder 4 calibrate,
     the others are learned from. held_out marks remainder 0; a null doc_id is not held out. A null text is empty, and empty texts are scored too. Labels
-    with a null don't count; repeated rows of docs or labels count each. Without labels of both kinds every score is 0.5 at most
+    with a null don't count. Repeated rows count each, both of docs and of labels, so a document labelled 0, 0, 0, 1 is learned from four
+    times, once as toxic; where ids repeat so often that more than `sample` labelled texts come together, trees and calibration
+    see `sample` of them, by a hash. Without labels of both kinds every score is 0.5 at most
     and follows the lexicon's share of words. Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chosen = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("id is not null and toxic is not null")
     chosen = chosen.withColumn("fold", _fold("id")).filter("fold <> 0").orderBy(F.xxhash64("id"), "id", "toxic").limit(sample).collect()
-    y_of = {r["id"]: (r["toxic"], r["fold"]) for r in chosen}
-    learning = {i: y for i, (y, fold) in y_of.items() if fold != 4}
-    bounded = spark.createDataFrame([(i, y, f) for i, (y, f) in y_of.items()], "id long, toxic int, fold int")
-    known = rows.join(F.broadcast(bounded), F.col("doc_id") == F.col("id"))  # at most `sample` rows of three numbers
-    words, begins = _learned(known.filter("fold <> 4"), sum(learning.values()), len(learning))
-    table = known.select("toxic", "fold", "text").transform(in_arrow, _featured(words, begins), "toxic int, fold int, x array<double>").toPandas()
+    bounded = spark.createDataFrame([(r["id"], r["toxic"], r["fold"]) for r in chosen], "id long, toxic int, fold int")
+    # at most `sample` rows of three numbers are broadcast; their texts are read from the corpus once
+    known = cut(rows.join(F.broadcast(bounded), F.col("doc_id") == F.col("id")).select("toxic", "fold", "text"))
+    learning = known.filter("fold <> 4").agg(F.sum("toxic"), F.count(F.lit(1))).first()
+    words, begins = _learned(known.filter("fold <> 4"), learning[0] or 0, learning[1])
+    table = known.transform(in_arrow, _featured(words, begins), "toxic int, fold int, x array<double>")
+    if known.count() > sample:
+        table = table.orderBy(F.xxhash64("toxic", "fold", "x"), F.monotonically_increasing_id()).limit(sample)
+    table = table.toPandas()
     model = None
     if len(table):
         x, y, fold = np.stack(table["x"].to_numpy()), table["toxic"].to_numpy(float), table["fold"].to_numpy()
@@ -163,7 +168,8 @@ def _learned(known: DataFrame, toxic: int, both: int) -> tuple[frozenset[str], f
 
     total = known.select("text", "toxic").transform(in_arrow, run, "w string, kind int, c0 long, c1 long").groupBy("w", "kind").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
     odds = (F.col("c1") / toxic) / ((F.col("c0") + 0.5) / (both - toxic))
-    found = total.filter((F.col("c1") >= SUPPORT) & (odds >= ODDS)).orderBy(F.desc("c1"), "w", "kind").limit(LEARNED).collect()
+    # a learned word stands in SUPPORT toxic texts of the sample, so the sample bounds their number
+    found = total.filter((F.col("c1") >= SUPPORT) & (odds >= ODDS)).collect()
     return frozenset(r["w"] for r in found if r["kind"] == 0), frozenset(r["w"] for r in found if r["kind"] == 1)
 
 
