@@ -1,11 +1,13 @@
 """Packing by power-of-two decomposition: no sequence crosses documents and none is padded.
 
 A document of n tokens is cut into n // limit pieces of the limit's length, and then into pieces as the binary digits
-of the rest say, longest first. Their length stands for the bucket; they come in document order, each a sequence of its own.
+of the rest say, longest first. Pieces of one length make a bucket, numbered by the binary logarithm; within a bucket all sequences
+are alike, so batches are cut from it without padding. write_buckets() lays the pieces out by bucket.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
@@ -26,11 +28,28 @@ _STOP = np.zeros(256, bool)
 _STOP[list(b".,!?;:")] = True
 
 
+#: The steps before the model of tokenizers that may be asked word by word (they lower-case, and no token holds white space,
+#: nor an ASCII letter and the punctuation after it).
+WORDWISE = (
+    ["NFC", "Replace", "Lowercase"],
+    r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+)
+
+
+def wordwise(path: str) -> bool:
+    """Whether the tokenizer's normaliser and pre-tokenizer are those of WORDWISE."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    before = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    split = parts[0] if parts else {}
+    return before == WORDWISE[0] and split.get("pattern") == {"Regex": WORDWISE[1]} and split.get("behavior") == "Removed" and bool(split.get("invert")) and not any(p.get("add_prefix_space") for p in parts)
+
+
 class WordEncoder:
-    """Token ids of texts, word by word, for tokenizers that lower-case and never join what white space parts,
-    nor an ASCII letter and the punctuation after it.
+    """Token ids of texts: word by word for tokenizers of the kind WORDWISE, whole text by whole text for all others.
 
-    Each different word is encoded once and remembered. Stops at a word's end are words of their own, and A-Z are lower-cased
+    Word by word each different one is encoded once and remembered. Stops at a word's end are words of their own, and A-Z are lower-cased
     first; not where that could change ids: in texts with combining marks (composed before they are lower-cased) or with
     what may be a special token.
     """
@@ -39,7 +58,7 @@ class WordEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.wordwise = Tokenizer.from_file(path), wordwise(path)
         self._forget()
 
     def _forget(self) -> None:
@@ -60,6 +79,11 @@ class WordEncoder:
 
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents in a row, and their offsets (n + 1)."""
+        if not self.wordwise:
+            raw = buf.tobytes()
+            texts = [raw[s:e].decode("utf-8") for s, e in zip(offs[:-1], offs[1:], strict=True)]
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.fromiter((i for ids in got for i in ids), np.uint32), np.r_[0, np.cumsum([len(ids) for ids in got], dtype=np.int64)]
         starts, ends, first = self._units(buf, offs)
         if len(buf) and not ((buf == 0xCC) | (buf == 0xCD)).any() and not ((buf[:-1] == ord("<")) & (buf[1:] == ord("|"))).any():
             buf = LOWER[buf]
@@ -116,15 +140,21 @@ def _pieces(path: str, limit: int, end_id: int):
 
 
 def pack_pow2(docs: DataFrame, tokenizer: str, limit: int = 2048, end_id: int = 1) -> DataFrame:
-    """(doc_id, start, length, ids, doc_tokens, sequence_id, offset) for each piece of every row of docs(doc_id, text).
+    """(doc_id, start, length, ids, doc_tokens, sequence_id, offset, bucket) for each piece of every row of docs(doc_id, text).
 
     ids are little-endian unsigned 32-bit numbers, each document's followed by end_id. Every length is a power of two up to limit,
-    which must be one; a piece is its sequence, so offset is 0 and nothing is padded. A null or empty text has
-    the end_id alone; doc_id, null or repeated, is passed on; other columns are ignored; an empty table gives no rows.
-    sequence_id is unique; there is no shuffle.
+    which must be one; a piece is its sequence, so offset is 0 and nothing is padded. bucket is the logarithm of its length. A null or empty text has
+    the end_id alone; doc_id, null or repeated, is passed on, and each row is packed; other columns are ignored; an empty table gives no rows.
+    sequence_id is unique; there is no shuffle. Any tokenizer of the tokenizers library will do (see WordEncoder).
     """
     if limit < 1 or limit & (limit - 1):
         raise ValueError("limit must be a power of two")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = rows.transform(in_arrow, _pieces(tokenizer, limit, end_id), "doc_id long, start long, length long, ids binary, doc_tokens long")
-    return pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    bucket = F.log2("length").cast("int").alias("bucket")
+    return pieces.select("*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), bucket)
+
+
+def write_buckets(pieces: DataFrame, path: str) -> None:
+    """Pieces as Parquet, a folder for each bucket: a training job reads one length at a time. Each task writes its own files, nothing is shuffled."""
+    pieces.sortWithinPartitions("bucket").write.partitionBy("bucket").parquet(path)
