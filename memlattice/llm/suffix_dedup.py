@@ -80,7 +80,9 @@ def sample(buf: np.ndarray, offs: np.ndarray, depth: int, gram: int) -> tuple[np
         return z, z, z, z
     at = np.arange(n - gram + 1)
     h = mix(_hash(_prefix(buf), at, at + gram))
-    bits = U64(max(24, int(n).bit_length()))
+    if n >> 32:
+        raise ValueError("a chunk of text must be under 4 GB")
+    bits = U64(32)  # ties in the hash's upper half go to the leftmost, alike in chunks of any size
     low = _slide_min((h >> bits << bits) | at.astype(U64), w)
     pick = (low & ((U64(1) << bits) - U64(1))).astype(np.int64)
     edge = np.zeros(n + 1, np.int32)  # a window may start where its document has depth bytes left
@@ -345,13 +347,15 @@ def remove_repeats(docs: DataFrame, depth: int = 100, gram: int = 32, as_text: b
     earlier in the same row. Overlaps count; windows never cross rows and are judged on the input. kept is binary, or
     with as_text a string without characters that a removal cut apart. spans lists the maximal removed runs.
     A null text is empty; texts under depth bytes lose nothing; a null doc_id comes before all others; rows of one
-    doc_id follow each other in order of their text (equal ones in any order, with equal results in total). Columns named in carry are passed on, others
-    ignored. An empty table gives no rows.
+    doc_id follow each other in order of their text (equal ones in any order, with equal results in total). Columns named in carry are passed on (names of
+    returned columns are refused), others ignored. An empty table gives no rows.
     """
     if not 0 < gram <= depth:
         raise ValueError("gram must be between 1 and depth")
     spark, p = docs.sparkSession, n_parts(docs.sparkSession)
     rows = keyed(docs, carry=carry)
+    if {"doc_id", "n_bytes", "kept", "spans"} & set(carry) or len(set(carry)) < len(carry):
+        raise ValueError("carry names a column twice or one of those returned")
     carried = [f"_c{i}" for i in range(len(carry))]
     # both joins take the same columns, so the texts are shuffled once and that exchange is used again
     texts = rows.select("_d", "_r", "text", "doc_id", *carried)

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, rule) with rule = host + path.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -61,14 +63,16 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, z: float = 1
     that stands there several times counts as often. A null url or one without `://` has an empty host and path. A host
     without labelled pages has its domain's mean, a domain without any its suffix's, and so on; without any
     outcomes at all the mean is 0.5. Repeated or null page_ids are judged by their urls. Other columns
-    are ignored; an empty table gives no rows.
+    are ignored; an empty table gives no rows. A very common host is one row by the time its pages meet it: pages are counted by
+    page and host before hosts are, and pages are joined to their host's reputation last (a skewed join that adaptive execution may split).
     """
     parts = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
     parts = parts.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     named = lambda df: df.withColumn("suffix", levels_of(F.col("host"))[0]).withColumn("domain", levels_of(F.col("host"))[1])
     votes = outcomes.select(F.col("page_id").cast("long").alias("page_id"), F.col("good").cast("long").alias("good")).filter("page_id is not null and good is not null")
     hosts = parts.groupBy("page_id", "host").agg(F.count(F.lit(1)).alias("c")).join(votes, "page_id", "left")
-    hosts = named(hosts.groupBy("host").agg(F.sum(F.when(F.col("good").isNotNull(), F.col("c")).otherwise(0)).alias("n"), F.coalesce(F.sum(F.col("good") * F.col("c")), F.lit(0)).alias("g")))
+    # one row for each host, read by the mean and by all three levels
+    hosts = cut(named(hosts.groupBy("host").agg(F.sum(F.when(F.col("good").isNotNull(), F.col("c")).otherwise(0)).alias("n"), F.coalesce(F.sum(F.col("good") * F.col("c")), F.lit(0)).alias("g"))))
     whole = hosts.agg(F.sum("g"), F.sum("n")).first()
     mean = whole[0] / whole[1] if whole[1] else 0.5
     above = F.lit(float(mean))
