@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,9 +13,35 @@ UPDATE_MARKERS = ("更新", "变更", "改为", "改成", "调整", "升级", "
 SENSITIVE = ("api_key", "api-key", "apikey", "token", "secret", "password", "passwd", "credential", "auth", "authorization", "bearer", "access_key", "accesskey", "private_key", "privatekey", "ssl_key", "ssh_key", "admin_key", "adminkey")
 
 
+def _accents() -> tuple[str, str]:
+    """Lower-case Latin letters with marks, and the same without them, by their canonical decomposition."""
+    pairs = [(chr(i), unicodedata.normalize("NFD", chr(i))) for i in (*range(0xDF, 0x250), *range(0x1E00, 0x1F00))]
+    pairs = [(c, d[0]) for c, d in pairs if d != c and d[0].isascii() and d[0].islower()]
+    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
+
+
+_MARKED, _BARE = _accents()
+
+
+def fold(c: Column) -> Column:
+    """Lower case, Latin letters without their marks; a text of ASCII alone takes the short way."""
+    low = F.lower(c)
+    return F.when(F.octet_length(c) == F.length(c), low).otherwise(F.regexp_replace(F.translate(low, _MARKED, _BARE), r"\p{Mn}", ""))
+
+
 def tokens(c: Column) -> Column:
-    """Lower-cased runs of ASCII letters and digits."""
-    return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda t: t != "")
+    """Runs of letters and digits of any script, folded."""
+    return F.filter(F.split(fold(c), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+
+
+def query_tokens(c: Column) -> Column:
+    """What a query asks for: its distinct tokens, code symbols cut at _ . / and -, without single Chinese characters and the mark `pattern`."""
+    return F.filter(F.array_distinct(tokens(c)), lambda t: (t != "pattern") & ~t.rlike("^[一-鿿]$"))
+
+
+def words_in_chinese(c: Column) -> Column:
+    """a-z as characters from 一 on: stands in for Chinese text where the data has none."""
+    return F.translate(F.lower(c), "abcdefghijklmnopqrstuvwxyz", "".join(chr(0x4E00 + i) for i in range(26)))
 
 
 def content_id(c: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.temporal import closing_time, valid_at
 
+#: Requests of a kind that a namespace has in a window.
 QUOTAS = {"write": 10_000, "search": 600, "profile": 10, "backup": 12}
 
 

@@ -32,8 +32,9 @@ MEM, QRY, VER, REL, MEN = A.MEMORIES_SQL, A.QUERIES_SQL, A.VERSIONS_SQL, A.RELAT
 VALID = f"(valid_from IS NULL OR valid_from <= '{NOW}') AND (valid_to IS NULL OR valid_to >= '{NOW}')"
 DAYS = lambda c: f"greatest(date_diff('day', substr({c}, 1, 10)::DATE, DATE '2024-02-01'), 0)"
 TEMPORAL_SCORE = f"(1 / (1 + 0.5 * {DAYS('created_at')}) + 1 / (1 + 0.3 * coalesce({DAYS('last_recalled')}, {DAYS('created_at')}))) * (importance / 3) * decay * (1 + 0.1 * recall_count)"
-BM25 = """terms AS (SELECT DISTINCT query_id, unnest(list_filter(regexp_split_to_array(text, '[^a-z0-9]+'), lambda t: t <> '')) AS term FROM qry),
-bag AS (SELECT key, list_filter(regexp_split_to_array(lower(content), '[^a-z0-9]+'), lambda t: t <> '') AS t FROM mem),
+WORDS = lambda c: f"list_filter(regexp_split_to_array(strip_accents(lower({c})), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
+BM25 = f"""terms AS (SELECT DISTINCT query_id, unnest(list_filter({WORDS('text')}, lambda t: t <> 'pattern')) AS term FROM qry),
+bag AS (SELECT key, {WORDS("concat_ws(' ', content, namespace)")} AS t FROM mem),
 stats AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM bag),
 tf AS (SELECT key, dl, term, count(*) AS tf FROM (SELECT key, len(t) AS dl, unnest(t) AS term FROM bag) WHERE term IN (SELECT term FROM terms) GROUP BY 1, 2, 3),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
@@ -159,11 +160,18 @@ def bm25_topk(s: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", "key", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("""WITH q AS (SELECT item_id AS query_id, trim(substr(trim(text), 1, 24)) AS needle, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: t <> '')[1] AS term FROM benchmark)
-SELECT query_id, doc_id AS key FROM q JOIN documents ON contains(lower(text), lower(needle)) AND list_contains(regexp_split_to_array(lower(text), '[^a-z0-9]+'), term)""")
+HAN = "".join(chr(0x4E00 + i) for i in range(26))
+CHINESE = lambda c: f"translate(lower({c}), 'abcdefghijklmnopqrstuvwxyz', '{HAN}')"
+
+
+@query(f"""WITH q AS (SELECT item_id AS query_id, trim(substr({CHINESE('text')}, 1, 24)) AS needle FROM (SELECT item_id, trim(text) AS text FROM benchmark))
+SELECT query_id, doc_id AS key FROM q JOIN (SELECT doc_id, {CHINESE('text')} AS content FROM documents) ON contains(content, needle)""")
 def keyword_contains(s: SparkSession, d: str) -> DataFrame:
-    q = A.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.trim(F.substring(F.trim("text"), 1, 24)).alias("text"))
-    return signals.keyword_contains(q, A.memories(s, d)).select("query_id", "key")
+    """Documents and queries with their letters turned into Chinese characters, as the tables have none."""
+    q = A.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), T.words_in_chinese(F.concat(F.lit("[pattern] "), F.trim("text"))).alias("text"))
+    q = q.withColumn("text", F.replace("text", T.words_in_chinese(F.lit("[pattern]")), F.lit("[pattern]")))
+    docs = A.memories(s, d).withColumn("content", T.words_in_chinese(F.col("content")))
+    return signals.keyword_contains(q, docs).select("query_id", "key")
 
 
 @query(f"WITH {QRY}, {KNN} SELECT query_id, key, round(score, 6) AS score, rank FROM ({_rank('sem', 'semantic', 10)})")
@@ -350,11 +358,17 @@ def distill(s: SparkSession, d: str) -> DataFrame:
     return A.table(s, d, "documents").select("doc_id", T.content_id(short).alias("id"), F.length(short).cast("long").alias("chars"), (short != F.col("text")).alias("cut"))
 
 
-@query(r"""SELECT source, count(*) AS n, sum(CASE WHEN regexp_matches(text, '[一-鿿]') THEN 1 ELSE 0 END)::BIGINT AS cjk,
-  sum(CASE WHEN length(regexp_replace(text, '\s', '', 'g')) > 0 AND 2 * length(regexp_replace(text, '[^一-鿿㐀-䶿]', '', 'g')) >= length(regexp_replace(text, '\s', '', 'g')) THEN 1 ELSE 0 END)::BIGINT AS chinese FROM documents GROUP BY 1""")
+_HALF = f"CASE doc_id % 3 WHEN 0 THEN {CHINESE('text')} WHEN 1 THEN {CHINESE('substr(text, 1, length(text) // 3)')} || substr(text, length(text) // 3 + 1) ELSE text END"
+
+
+@query(rf"""WITH t AS (SELECT source, {_HALF} AS text FROM documents) SELECT source, count(*) AS n, sum(CASE WHEN regexp_matches(text, '[一-鿿]') THEN 1 ELSE 0 END)::BIGINT AS cjk,
+  sum(CASE WHEN length(regexp_replace(text, '\s', '', 'g')) > 0 AND 2 * length(regexp_replace(text, '[^一-鿿㐀-䶿]', '', 'g')) >= length(regexp_replace(text, '\s', '', 'g')) THEN 1 ELSE 0 END)::BIGINT AS chinese FROM t GROUP BY 1""")
 def language_flags(s: SparkSession, d: str) -> DataFrame:
-    t = F.col("text")
-    return A.table(s, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(T.has_cjk(t).cast("long")).alias("cjk"), F.sum(T.mostly_chinese(t).cast("long")).alias("chinese"))
+    """A third of the documents with Chinese characters for letters, a third with some at the beginning."""
+    text, third = F.col("text"), F.floor(F.length("text") / 3).cast("int")
+    mixed = F.concat(T.words_in_chinese(F.substr(text, F.lit(1), third)), F.substr(text, third + 1))
+    t = F.when(F.col("doc_id") % 3 == 0, T.words_in_chinese(text)).when(F.col("doc_id") % 3 == 1, mixed).otherwise(text)
+    return A.table(s, d, "documents").select("source", t.alias("t")).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(T.has_cjk(F.col("t")).cast("long")).alias("cjk"), F.sum(T.mostly_chinese(F.col("t")).cast("long")).alias("chinese"))
 
 
 # --- filters, profile, preferences ---
@@ -453,7 +467,7 @@ def entity_search(s: SparkSession, d: str) -> DataFrame:
 @query()
 def graph_expand_2hop(s: SparkSession, d: str) -> DataFrame:
     seeds = A.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") * 7).alias("node"), F.lit(1.0).alias("score"))
-    return graph.expand(seeds, A.whole_relations(s, d), 2).withColumn("score", F.round("score", 6))
+    return graph.expand(seeds, A.relations(s, d), 2).withColumn("score", F.round("score", 6))
 
 
 @query("WITH RECURSIVE e AS (SELECT superseded_by AS o, key AS s FROM (SELECT doc_id AS key, CASE WHEN quality = 0 THEN doc_id + 1 ELSE doc_id + 2 END AS superseded_by FROM labels WHERE toxic = 1)), c AS (SELECT s, o FROM e UNION SELECT c.s, e.o FROM c JOIN e ON c.o = e.s) SELECT s, o FROM c")
@@ -467,7 +481,7 @@ def triples_except(s: SparkSession, d: str) -> DataFrame:
     return li.filter("l_returnflag = 'R'").select("s", "o").subtract(li.filter("l_returnflag = 'A'").select("s", "o"))
 
 
-@query("""WITH t AS (SELECT DISTINCT p_partkey AS k, unnest(list_filter(regexp_split_to_array(lower(p_name || ' ' || p_type), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM part),
+@query(f"""WITH t AS (SELECT DISTINCT p_partkey AS k, unnest({WORDS("p_name || ' ' || p_type")}) AS w FROM part),
 n AS (SELECT k, count(*) AS n FROM t GROUP BY 1), c AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM t a JOIN t b ON a.w = b.w AND a.k < b.k GROUP BY 1, 2)
 SELECT a, b, round(c / (x.n + y.n - c), 6) AS jaccard FROM c JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE c / (x.n + y.n - c) >= 0.6""")
 def jaccard_edges(s: SparkSession, d: str) -> DataFrame:

@@ -49,6 +49,7 @@ def active_relations(s: SparkSession, d: str) -> DataFrame:
     return A.versions(s, d).filter(to.isNull() | (to == "") | (to < "1971-01-01") | (to > "1997-01-01T00:00:00")).select("key")
 
 
+#: Categories that make seeds, and the order in which they come.
 _VALUE = ("pattern", "fact", "decision", "preference", "constraint", "lesson", "correction", "infrastructure", "note", "report")
 _FIRST = ("pattern", "decision", "constraint", "preference", "lesson", "fact")
 
@@ -66,12 +67,12 @@ def graph_seeds(s: SparkSession, d: str) -> DataFrame:
 _TYPES = ["uses", "owns", "banana", "part_of"]
 
 
-@query(f"""WITH e AS (SELECT l_suppkey AS source_id, l_partkey % 50 AS target_id, {_TYPES}[(l_linenumber % 4 + 1)::INT] AS relation_type, l_discount AS weight, l_orderkey * 10 + l_linenumber AS seq FROM lineitem)
+@query(f"""WITH e AS (SELECT l_suppkey AS source_id, l_partkey AS target_id, {_TYPES}[(l_linenumber % 4 + 1)::INT] AS relation_type, l_discount AS weight, l_orderkey * 10 + l_linenumber AS seq FROM lineitem)
 SELECT source_id, target_id, relation_type, count(*) AS writes, max(seq) AS last FROM e WHERE relation_type <> 'banana' GROUP BY 1, 2, 3""")
 def edge_upserts(s: SparkSession, d: str) -> DataFrame:
     kind = F.element_at(F.array(*map(F.lit, _TYPES)), (F.col("l_linenumber") % 4 + 1).cast("int"))
     at = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    e = A.table(s, d, "lineitem").select(F.col("l_suppkey").alias("source_id"), (F.col("l_partkey") % 50).alias("target_id"), kind.alias("relation_type"), at.alias("weight"), at.alias("at"))
+    e = A.table(s, d, "lineitem").select(F.col("l_suppkey").alias("source_id"), F.col("l_partkey").alias("target_id"), kind.alias("relation_type"), at.alias("weight"), at.alias("at"))
     return graph.upsert_edges(e).select("source_id", "target_id", "relation_type", "writes", F.col("weight").alias("last"))
 
 
@@ -95,7 +96,7 @@ def same_entity_capped(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def hybrid_search_graph(s: SparkSession, d: str) -> DataFrame:
-    out = hybrid_search(in_namespaces(A.whole_queries(s, d)), A.memories(s, d), A.vectors(s, d), Params(NOW, hops=2), relations=A.whole_relations(s, d))
+    out = hybrid_search(in_namespaces(A.queries(s, d)), A.memories(s, d), A.vectors(s, d), Params(NOW, hops=2), relations=A.relations(s, d))
     return out.select("query_id", "rank", "key", F.round("score", 6).alias("score"), "reserved", "time_status")
 
 

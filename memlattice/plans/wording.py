@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..sources import adapters as A
 from ..sources import transfer
-from .catalog import FOUND, MEM, ONCE, query
+from .catalog import FOUND, MEM, ONCE, WORDS, query
 
 
 def _sql_list(words: tuple[str, ...]) -> str:
@@ -130,7 +130,7 @@ def node_looks(s: SparkSession, d: str) -> DataFrame:
     return m.select("key", "look.label", "look.colour", "look.size", F.round("look.opacity", 6).alias("opacity"))
 
 
-@query("""WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS n FROM t GROUP BY 1, 2)
+@query(f"""WITH t AS (SELECT doc_id, unnest({WORDS("text")}) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS n FROM t GROUP BY 1, 2)
 SELECT doc_id, sum(n)::BIGINT AS tokens, count(*) AS terms, max(n) AS most FROM c GROUP BY 1""")
 def token_frequencies(s: SparkSession, d: str) -> DataFrame:
     terms = A.table(s, d, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))

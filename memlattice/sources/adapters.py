@@ -62,21 +62,14 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A query for each benchmark item: its first six tokens, the vector of the same number and a namespace."""
+    """A query for each benchmark item: its whole text and the vector of the same number."""
     b = table(spark, sf_dir, "benchmark")
-    tokens = F.slice(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda t: t != ""), 1, 6)
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").cast("array<double>").alias("v"))
-    return b.select("item_id", F.array_join(tokens, " ").alias("text")).join(e, "item_id", "left").withColumnRenamed("item_id", "query_id")
-
-
-def whole_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As queries(), with the benchmark item's whole text; for queries without SQL, as the SQL takes six tokens."""
-    text = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lower("text").alias("text"))
-    return queries(spark, sf_dir).drop("text").join(text, "query_id").select("query_id", "text", "v")
+    return b.select("item_id", F.lower("text").alias("text")).join(e, "item_id", "left").withColumnRenamed("item_id", "query_id")
 
 
 QUERIES_SQL = """qry AS (
-  SELECT item_id AS query_id, array_to_string((list_filter(regexp_split_to_array(lower(b.text), '[^a-z0-9]+'), lambda t: t <> ''))[1:6], ' ') AS text, e.embedding::DOUBLE[] AS v
+  SELECT item_id AS query_id, lower(b.text) AS text, e.embedding::DOUBLE[] AS v
   FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id)"""
 
 
@@ -95,24 +88,15 @@ VERSIONS_SQL = """ver AS (
   FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))"""
 
 
-def _relations(spark: SparkSession, sf_dir: str, source: str, target: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    kinds = ("updates", "extends", "derives", "semantic_related", "same_entity")
-    return li.select(F.expr(source).alias("source_id"), F.expr(target).alias("target_id"), _pick(kinds, "l_linenumber % 5").alias("relation_type"), F.round(F.col("l_discount") * 10, 2).alias("weight")).distinct()
-
-
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A relation from each order to each of its parts' parts: lineitem neighbours, with a type and a weight; ids modulo 1000, as in the SQL."""
-    return _relations(spark, sf_dir, "l_orderkey % 1000", "l_partkey % 1000")
-
-
-def whole_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As relations(), with the ids as they are; for queries without SQL."""
-    return _relations(spark, sf_dir, "l_orderkey", "l_partkey")
+    """A relation from each order to each of its parts, ids as they are, with a type and a weight."""
+    kinds = ("updates", "extends", "derives", "semantic_related", "same_entity")
+    kind, weight = _pick(kinds, "l_linenumber % 5").alias("relation_type"), F.round(F.col("l_discount") * 10, 2).alias("weight")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("source_id"), F.col("l_partkey").alias("target_id"), kind, weight).distinct()
 
 
 RELATIONS_SQL = """rel AS (
-  SELECT DISTINCT l_orderkey % 1000 AS source_id, l_partkey % 1000 AS target_id,
+  SELECT DISTINCT l_orderkey AS source_id, l_partkey AS target_id,
     ['updates','extends','derives','semantic_related','same_entity'][(l_linenumber % 5 + 1)::INT] AS relation_type, round(l_discount * 10, 2) AS weight FROM lineitem)"""
 
 
