@@ -21,7 +21,7 @@ from .common import in_arrow, n_parts
 from .kernels import U64, chunks, compress, decompress, ngram_hashes, word_hashes
 
 #: Bytes of text in a bucket. A bucket is what a worker holds at once.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 7 << 20
 #: Bytes of text for which there is a block of hashes, up to MANY blocks for each shuffle partition; a block is sorted by one task.
 BLOCK_BYTES, MANY = 4 << 20, 4
 #: Rows of n-grams that a worker holds while counts are put in the buckets' order.
@@ -34,6 +34,7 @@ ALPHA = 0.4
 _SIGN = U64(1 << 63)
 _DOCS = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 _PLANES = ("a", "b", "c", "d")
+_WIDTHS = {"short": np.int16, "int": np.int32, "long": np.int64}
 
 
 def _grams(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +82,7 @@ def _told(row: pa.RecordBatch, order: int) -> dict[int, np.ndarray]:
         if answers is not None:
             at, of = (answers.field(c).to_numpy() for c in ("at", "n"))
             for k in np.argsort(at, kind="stable"):
-                got[int(of[k])].append(answers.field("totals")[int(k)].values.to_numpy())
+                got[int(of[k])].append(next(x.values.to_numpy().astype(np.int64) for x in (answers.field(w)[int(k)] for w in _WIDTHS) if x.is_valid))
     return {n: np.concatenate(got[n]) if n in got else np.zeros(0, np.int64) for n in range(order + 1)}
 
 
@@ -145,23 +146,30 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by gram (and so by block) to arrays of totals for each bucket and order; `at` says where an array stands among them."""
     names = ("block", "bucket", "n", "total")
 
-    def settle(held: list[list[np.ndarray]], seq: int) -> pa.RecordBatch:
+    def settle(held: list[list[np.ndarray]], seq: int) -> Iterator[pa.RecordBatch]:
         block, bucket, n, total = (np.concatenate([h[i] for h in held]) for i in range(len(names)))
         order = np.lexsort((n, bucket, block))  # stable, so the order of grams stays
         block, bucket, n, total = (c[order] for c in (block, bucket, n, total))
         new = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (bucket[1:] != bucket[:-1]) | (n[1:] != n[:-1])])
         lists = pa.ListArray.from_arrays(pa.array(np.r_[new, len(n)].astype(np.int32)), pa.array(total))
-        return pa.RecordBatch.from_arrays([pa.array(bucket[new]), pa.array(n[new]), pa.array((block[new] << 24) | seq), lists], names=["bucket", "n", "at", "totals"])
+        most, named = np.maximum.reduceat(total, new), (bucket[new], n[new], (block[new] << 24) | seq)
+        least = 0
+        for width, kind in _WIDTHS.items():  # each array in the narrowest integers that hold it
+            at = np.flatnonzero((most >= least) & (most <= np.iinfo(kind).max))
+            least = np.iinfo(kind).max + 1
+            if len(at):
+                held_in = [lists.take(pa.array(at)).cast(pa.list_(pa.from_numpy_dtype(k))) if w == width else pa.nulls(len(at), pa.list_(pa.from_numpy_dtype(k))) for w, k in _WIDTHS.items()]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[at]) for c in named), *held_in], names=["bucket", "n", "at", *_WIDTHS])
 
     held, rows, seq = [], 0, 0
     for batch in batches:
         held.append([batch.column(c).to_numpy() for c in names])
         rows += batch.num_rows
         if rows >= LOT:
-            yield settle(held, seq)
+            yield from settle(held, seq)
             held, rows, seq = [], 0, seq + 1
     if rows:
-        yield settle(held, seq)
+        yield from settle(held, seq)
 
 
 def _score(order: int, alpha: float):
@@ -225,5 +233,5 @@ def _counted(told: DataFrame, orders: range, blocks: int) -> DataFrame:
     grams = grams.select("block", "bucket", "n", gram.alias("gram"), F.coalesce("x.count", F.lit(1)).alias("count"))
     others = F.sum("count").over(Window.partitionBy("gram", "block")) - F.col("count")
     counted = grams.select("block", "bucket", "n", others.alias("total"))
-    back = counted.transform(in_arrow, _totals, "bucket long, n long, at long, totals array<long>")
-    return back.groupBy("bucket").agg(F.collect_list(F.struct("n", "at", "totals")).alias("answers"))
+    back = counted.transform(in_arrow, _totals, "bucket long, n long, at long, " + ", ".join(f"{w} array<{w}>" for w in _WIDTHS))
+    return back.groupBy("bucket").agg(F.collect_list(F.struct("n", "at", *_WIDTHS)).alias("answers"))
