@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import collections
+import re
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +24,7 @@ def _accents() -> tuple[str, str]:
 
 
 _MARKED, _BARE = _accents()
+_TABLE = str.maketrans(_MARKED, _BARE)
 
 
 def fold(c: Column) -> Column:
@@ -114,6 +118,21 @@ def signal_tags(tags: Column, content: Column) -> Column:
     return F.array_distinct(F.concat(rest, named(numbers(content), 8, "num"), named(dates(content), 4, "date"), named(update_markers(content), 4, "update")))
 
 
+#: How many numbers, dates and markers a text's signals keep.
+MOST_SIGNALS = {"num": 8, "date": 4, "update": 4}
+
+
+def text_signals(content: Column, tags: Column, occurred_at: Column, now: str) -> Column:
+    """numbers, dates and update_markers of a text, each with those that its tags keep after its own; a date it occurred at and dates that words mean
+    on the day of now come between. A tag that speaks of superseding, or is `pattern`, marks a chain."""
+    kept = lambda name: F.transform(F.filter(tags, lambda t: t.startswith(f"signal:{name}:")), lambda t: F.substr(t, F.lit(len(f"signal:{name}:") + 1)))
+    none = F.array().cast("array<string>")
+    day = F.when(F.coalesce(occurred_at, F.lit("")) != "", F.array(occurred_at)).otherwise(none)
+    chain = F.when(F.exists(tags, lambda t: F.contains(F.lower(t), F.lit("supersed")) | (F.lower(t) == "pattern")), F.array(F.lit("supersede_chain"))).otherwise(none)
+    parts = {"num": ("numbers", F.concat(numbers(content), kept("num"))), "date": ("dates", F.concat(dates(content), day, relative_dates(content, now[:10]), kept("date"))), "update": ("update_markers", F.concat(update_markers(content), kept("update"), chain))}
+    return F.struct(*(F.slice(F.array_distinct(c), 1, MOST_SIGNALS[k]).alias(name) for k, (name, c) in parts.items()))
+
+
 def safe_filename(c: Column) -> Column:
     """The last part of a path with other characters than ASCII letters, digits, dot, dash and underscore replaced."""
     return F.regexp_replace(F.regexp_extract(c, "([^/]*)/*$", 1), r"[^A-Za-z0-9._-]", "_")
@@ -124,6 +143,13 @@ def ns_folder(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"[/\\\\]", "_"), r"[^A-Za-z0-9._-]", "")
 
 
+def truncate_bytes(c: Column, n: int) -> Column:
+    """As many whole characters as n bytes of UTF-8 hold, and an ellipsis if there are more."""
+    head = F.substring(c.cast("binary"), 1, n).cast("string")
+    whole = F.when(F.try_validate_utf8(head).isNotNull(), head).otherwise(F.regexp_replace(F.make_valid_utf8(head), "\ufffd+$", ""))
+    return F.when(F.octet_length(c) > n, F.concat(whole, F.lit("…"))).otherwise(c)
+
+
 def truncate(c: Column, n: int) -> Column:
     """The first n characters and an ellipsis if there are more."""
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("…"))).otherwise(c)
@@ -249,20 +275,33 @@ def keyword_query(content: Column, tags: Column) -> Column:
     return F.when(F.size(real) > 0, F.array_join(F.slice(real, 1, 8), " ")).otherwise(plain)
 
 
-def distill(c: Column, latin: int = 1200, chinese: int = 600) -> Column:
-    """Texts over the limit (1200 characters, 600 if mostly Chinese) become their first, last and three middle sentences of most frequent tokens, in order.
+def shorten(text: str, limit: int) -> str:
+    """The first, the last and the three middle sentences whose tokens are most frequent in the text, in order; cut to the limit.
 
-    A text of one sentence becomes its beginning. What is kept is joined and cut to the limit.
+    Of equally frequent ones the earlier is taken. A text of one sentence becomes its beginning.
     """
-    every, n = sentences(c), F.size(sentences(c))
+    parts = [s.strip(" \t\r\n") for s in re.split("(?<=[。！？!?；;\n])", text)]
+    parts = [s for s in parts if s]
+    if len(parts) <= 1:
+        return text[:limit]
+
+    def found(t: str) -> list[str]:
+        low = "".join(c for c in t.lower().translate(_TABLE) if unicodedata.category(c) != "Mn")
+        return re.findall(r"[^\W_]+", low)
+
+    often = collections.Counter(found(text))
+    middle = sorted(range(1, len(parts) - 1), key=lambda i: (-sum(often[t] for t in found(parts[i])), i))[:3]
+    return "".join(parts[i] for i in sorted({0, *middle, len(parts) - 1}))[:limit]
+
+
+def distill(c: Column, latin: int = 1200, chinese: int = 600) -> Column:
+    """Texts over the limit (1200 characters, 600 if mostly Chinese) become what shorten() keeps of them; only these go to Python, in Arrow batches."""
     limit = F.when(mostly_chinese(c), chinese).otherwise(latin)
-    words = tokens(c)
-    weight = lambda s: F.aggregate(tokens(s), F.lit(0), lambda a, t: a + F.size(F.filter(words, lambda w: w == t)))
-    middle = F.transform(F.sequence(F.lit(2), F.greatest(n - 1, F.lit(2))), lambda i: F.struct((-weight(F.element_at(every, i))).alias("w"), i.alias("i")))
-    best = F.transform(F.slice(F.array_sort(middle), 1, 3), lambda x: x["i"])
-    keep = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(1)), F.when(n > 2, best).otherwise(F.array().cast("array<int>")), F.array(n))))
-    joined = F.array_join(F.transform(keep, lambda i: F.element_at(every, i)), "")
-    return F.when(F.length(c) <= limit, c).when(n <= 1, F.substr(c, F.lit(1), limit)).otherwise(F.substr(joined, F.lit(1), limit))
+
+    def run(text: pd.Series, most: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else shorten(t, int(m)) for t, m in zip(text, most, strict=True)], dtype=object)
+
+    return F.when(F.length(c) <= limit, c).otherwise(F.pandas_udf(run, "string")(F.when(F.length(c) > limit, c), limit))
 
 
 def manifest(name: Column, kind: Column, size: Column, text: Column, path: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import cut
+
 #: Neighbours a frontier node may add of each type, OTHER of any other, and the types it looks at first.
 CAPS, OTHER = {"semantic_related": 6, "same_entity": 4, "updates": 8, "chronological": 2}, 2
 FIRST = ("semantic_related", "updates", "same_entity")
@@ -18,8 +20,7 @@ def expand(seeds: DataFrame, relations: DataFrame, hops: int = 2, fanout: int =
     counts as seen even if the cap leaves it out. A score is the best seed's times
     decay for each hop and max(weight, .1); graph is the product of the weights on the way. Weights of 0 or less don't count.
     """
-    both = relations.select(F.col("source_id").alias("at"), F.col("target_id").alias("node"), "relation_type", "weight")
-    both = both.union(relations.select(F.col("target_id").alias("at"), F.col("source_id").alias("node"), "relation_type", "weight")).filter("weight > 0").distinct()
+    both = neighbours(relations).filter("weight > 0")
     priority, cap = F.lit(len(FIRST)), F.lit(OTHER)
     for name, most in CAPS.items():
         cap = F.when(F.col("relation_type") == name, most).otherwise(cap)
@@ -38,24 +39,72 @@ def expand(seeds: DataFrame, relations: DataFrame, hops: int = 2, fanout: int =
         claim = Window.partitionBy("query_id", "node").orderBy("fpos", "pos")
         step = step.withColumn("c", F.row_number().over(claim)).filter("c = 1")
         fits = Window.partitionBy("query_id", "at", "relation_type").orderBy("pos")
+        step = step.withColumn("t", F.row_number().over(fits)).withColumn("score", F.col("best") * decay**hop * F.greatest("weight", F.lit(0.1)))
+        # the next hop, what was seen and what was found all read this one
+        step = cut(step.select("query_id", "node", "score", "way", "weight", "best", "fpos", "pos", "t", "cap"))
         claimed = step.select("query_id", "node")
-        step = step.withColumn("t", F.row_number().over(fits)).filter("t <= cap").withColumn("score", F.col("best") * decay**hop * F.greatest("weight", F.lit(0.1)))
-        nodes = step.select("query_id", "node", F.lit(hop).alias("hop"), "score", (F.col("way") * F.col("weight")).alias("graph"), "best", F.struct("fpos", "pos").alias("order"))
+        nodes = step.filter("t <= cap").select("query_id", "node", F.lit(hop).alias("hop"), "score", (F.col("way") * F.col("weight")).alias("graph"), "best", F.struct("fpos", "pos").alias("order"))
         frontier = nodes.select("query_id", "node", "best", "graph", F.row_number().over(Window.partitionBy("query_id").orderBy("order")).alias("fpos"))
         seen = seen.union(claimed)
         found = nodes.drop("order", "best") if found is None else found.union(nodes.drop("order", "best"))
     return found
 
 
+#: Rows of one key that meet each other in one task; more are dealt into blocks, which meet two at a time.
+LOT = 2000
+
+
+def pairs_of(rows: DataFrame, key: str, of: str, lot: int = LOT) -> DataFrame:
+    """(key, a, b) with a < b for each two values of `of` under a key; rows(key, of) are distinct. A key with many rows is split in blocks."""
+    heavy = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > lot).select(key, F.ceil(F.col("_c") / lot).cast("int").alias("_g"))
+    dealt = rows.select(key, of).join(heavy, key, "left").withColumn("_g", F.coalesce("_g", F.lit(1)))
+    dealt = dealt.withColumn("_side", F.pmod(F.xxhash64(of), F.col("_g")).cast("int"))
+    dealt = dealt.select(key, of, "_side", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)).alias("_o"))
+    dealt = dealt.select(key, of, "_side", F.least("_side", "_o").alias("_i"), F.greatest("_side", "_o").alias("_j"))
+    left = dealt.filter("_side = _i").select(key, "_i", "_j", F.col(of).alias("_x"))
+    right = dealt.filter("_side = _j").select(key, "_i", "_j", F.col(of).alias("_y"))
+    met = left.join(right, [key, "_i", "_j"]).filter("_i <> _j or _x < _y")
+    return met.select(key, F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"))
+
+
+def jaccard_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """(a, b, jaccard) with a < b of keys whose sets rows(k, w) have a Jaccard similarity of `least` or more; rows are distinct.
+
+    A set's elements are put in order from the rarest. Two sets so similar share one of the first n - ceil(least * n) + 1 of each, so
+    only these are joined; frequent elements hardly ever are among them.
+    """
+    often = rows.groupBy("w").agg(F.count(F.lit(1)).alias("f"))
+    sets = rows.join(often, "w").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("s"))
+    sets = sets.select("k", F.transform("s", lambda x: x["w"]).alias("s"))
+    n = F.size("s")
+    first = sets.select("k", F.explode(F.slice("s", F.lit(1), (n - F.ceil(F.lit(least) * n - 1e-9) + 1).cast("int"))).alias("w"))
+    met = pairs_of(first, "w", "k").select("a", "b").distinct()
+    both = met.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
+    c = F.size(F.array_intersect("sa", "sb"))
+    out = both.select("a", "b", (c / (F.size("sa") + F.size("sb") - c)).alias("jaccard"))
+    return out.filter(F.col("jaccard") >= least)
+
+
+def neighbours(relations: DataFrame) -> DataFrame:
+    """(at, node, relation_type, weight): relations from both ends, each once."""
+    both = relations.select(F.col("source_id").alias("at"), F.col("target_id").alias("node"), "relation_type", "weight")
+    return both.union(relations.select("target_id", "source_id", "relation_type", "weight")).distinct()
+
+
+def named_mentions(mentions: DataFrame, entities: DataFrame) -> DataFrame:
+    """Mentions of entities (entity, name) whose name isn't empty; those of unknown entities stay."""
+    return mentions.join(entities.filter(F.trim("name") == "").select("entity"), "entity", "left_anti")
+
+
 def cooccurrence(mentions: DataFrame, min_shared: int = 2, least: float = 0.1) -> DataFrame:
     """(a, b, shared, weight) of memories that mention common entities: weight = shared / (1 + ln(larger degree)).
 
-    An entity that all memories mention would pair everything; pairs are built per entity, so give entities that tell something apart.
+    Pairs are built per entity; those of an entity with many memories in blocks. An entity that all memories mention pairs everything
+    nevertheless, as the definition has it, so give entities that tell something apart.
     """
     m = mentions.select("entity", "memory_id").distinct()
     degree = m.groupBy("memory_id").agg(F.count(F.lit(1)).alias("deg"))
-    a, b = m.select("entity", F.col("memory_id").alias("a")), m.select("entity", F.col("memory_id").alias("b"))
-    shared = a.join(b, "entity").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= min_shared)
+    shared = pairs_of(m, "entity", "memory_id").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= min_shared)
     d = lambda side: degree.select(F.col("memory_id").alias(side), F.col("deg").alias(f"d{side}"))
     out = shared.join(d("a"), "a").join(d("b"), "b").withColumn("weight", F.round(F.col("shared") / (1 + F.log(F.greatest("da", "db"))), 4))
     return out.filter(F.col("weight") >= least).select("a", "b", "shared", "weight")
@@ -74,24 +123,24 @@ def link_counts(relations: DataFrame) -> DataFrame:
 
 
 def entity_search(entities: DataFrame, mentions: DataFrame, term: str) -> DataFrame:
-    """(entity, mentions_count) of entities whose name, or a mention's context, has the term; most mentioned first by rank."""
+    """(entity, mentions_count, rank) of entities whose name, or a mention's context, has the term; the most mentioned has rank 1, ties by name."""
     hit = mentions.filter(F.contains(F.lower("context"), F.lit(term))).select("entity").distinct().withColumn("by_context", F.lit(True))
     counts = mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("mentions_count"))
     out = entities.join(hit, "entity", "left").filter(F.contains(F.lower("entity"), F.lit(term)) | F.col("by_context")).join(counts, "entity", "left")
-    return out.select("entity", F.coalesce("mentions_count", F.lit(0)).alias("mentions_count"))
+    out = out.select("entity", F.coalesce("mentions_count", F.lit(0)).alias("mentions_count"))
+    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mentions_count"), "entity")).cast("long"))  # hits of one term
 
 
 def closure(edges: DataFrame, most: int = 64) -> DataFrame:
-    """All (s, o) reached over edges (s, o), by doubling the length of known paths each round."""
-    paths = edges.select("s", "o").distinct()
-    n = paths.count()
-    for _ in range(most):
-        longer = paths.alias("x").join(paths.alias("y"), F.col("x.o") == F.col("y.s")).select("x.s", "y.o")
-        paths = paths.union(longer).distinct().checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else paths.union(longer).distinct().cache()
-        now = paths.count()
-        if now == n:
+    """All (s, o) reached over edges (s, o). Each round takes only the paths that the last one found one edge further, `most` edges in all."""
+    step = cut(edges.select("s", "o").distinct())
+    new = paths = step
+    for _ in range(most - 1):
+        further = new.select("s", F.col("o").alias("_m")).join(step.select(F.col("s").alias("_m"), "o"), "_m").select("s", "o").distinct()
+        new = cut(further.join(paths, ["s", "o"], "left_anti"))
+        if not new.limit(1).count():
             break
-        n = now
+        paths = paths.union(new)
     return paths
 
 

@@ -106,12 +106,27 @@ def recall_feedback(memories: DataFrame, recalls: DataFrame) -> DataFrame:
     return out.withColumn("recall_count", F.col("recall_count") + F.coalesce("_n", F.lit(0))).withColumn("last_recalled", F.coalesce("_last", "last_recalled")).drop("_n", "_last")
 
 
-def evolve(memories: DataFrame, links: DataFrame, now: str) -> DataFrame:
-    """memories that haven't evolved, with their new context, time, link count (links(node, links), 0 if none) and a log line of what was."""
-    out = memories.filter("evolved_at is null").join(links.withColumnRenamed("node", "key"), "key", "left")
-    count = F.coalesce("links", F.lit(0)).cast("long")
-    log = F.to_json(F.struct("key", F.col("tier").alias("old_tier"), count.alias("links")))
-    return out.withColumn("context", T.evolved_context(F.col("content"))).withColumn("evolved_at", F.lit(now)).withColumn("links", count).withColumn("log", log)
+def move_namespace(tables: dict[str, DataFrame], old: str, new: str) -> dict[str, DataFrame]:
+    """Memories, relations and preferences of a namespace under another name."""
+    moved = F.when(F.col("namespace") == old, new).otherwise(F.col("namespace"))
+    return {name: df.withColumn("namespace", moved) for name, df in tables.items()}
+
+
+def decay_log(log: DataFrame, memories: DataFrame) -> DataFrame:
+    """Rows of a decay log (key, ...) with their memory's namespace; of memories that are gone none."""
+    return log.join(memories.select("key", "namespace"), "key")
+
+
+#: Vectors without a memory that a clean-up removes at most; more are refused, as something else must be wrong.
+ORPHANS = 5000
+
+
+def remove_orphans(vectors: DataFrame, memories: DataFrame, most: int = ORPHANS) -> DataFrame:
+    """vectors without those of no memory; raises if they are more than `most`."""
+    n = vectors.join(memories.select("key"), "key", "left_anti").limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"more than {most} vectors without a memory")
+    return vectors.join(memories.select("key"), "key", "left_semi")
 
 
 def cursor_states(runs: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import cut
+
 #: Vectors of a tile, and the bytes of tiles sent to Python at a time.
 TILE = 1024
 BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20)
@@ -67,42 +69,53 @@ def clean(vectors: DataFrame, dim: int | None = None, v: str = "v") -> DataFrame
     return out.filter(F.size(v) == dim) if dim else out
 
 
-def _tiles(rows: DataFrame, same: list[str]) -> DataFrame:
-    """Rows (key long, v, same) packed, partition by partition, into (dim, keys, owners, m): unit vectors of one dimension, TILE at most."""
-    owner = F.concat_ws("\u0001", *(F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in same)) if same else F.lit("")
+def _tiles(rows: DataFrame, same: list[str], buckets: int) -> DataFrame:
+    """Rows (key long, v, same) packed, partition by partition, into tiles of one dimension and bucket of owners, TILE unit vectors at most.
+
+    (dim, bucket, low, high, keys, owners, m): low and high are the least and largest key, owners are hashes of the columns `same`.
+    """
+    owner = F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in same)) if same else F.lit(0).cast("long")
+    names = ("dim", "bucket", "low", "high", "keys", "owners", "m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, owners = batch["key"].to_numpy(zero_copy_only=False), np.array(batch["owner"].to_pylist(), dtype=object)
+            keys, owners = batch["key"].to_numpy(zero_copy_only=False), batch["owner"].to_numpy()
+            bucket = (owners.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
             lengths = pc.list_value_length(batch["v"]).to_numpy(zero_copy_only=False)
-            for dim in np.unique(lengths[lengths > 0]):
-                at = np.flatnonzero(lengths == dim)
+            for dim, b in np.unique(np.stack([lengths, bucket])[:, lengths > 0], axis=1).T.tolist():
+                at = np.flatnonzero((lengths == dim) & (bucket == b))
                 m = pc.list_flatten(batch["v"].take(pa.array(at))).to_numpy(zero_copy_only=False).astype(float).reshape(-1, int(dim))
                 with np.errstate(all="ignore"):
                     norm = np.sqrt((m * m).sum(axis=1))
                     ok = np.isfinite(norm) & (norm > 0)
                     m = m[ok] / norm[ok, None]
                 at = at[ok]
+                order = np.argsort(keys[at], kind="stable")
+                at, m = at[order], m[order]
                 for i in range(0, len(at), TILE):
-                    of = at[i : i + TILE]
-                    yield pa.RecordBatch.from_pydict({"dim": [int(dim)], "keys": [keys[of].astype("<i8").tobytes()], "owners": [owners[of].tolist()], "m": [m[i : i + TILE].astype("<f8").tobytes()]}, schema=packed)
+                    of = keys[at[i : i + TILE]].astype("<i8")
+                    row = (int(dim), b, int(of[0]), int(of[-1]), of.tobytes(), owners[at[i : i + TILE]].tobytes(), m[i : i + TILE].astype("<f8").tobytes())
+                    yield pa.RecordBatch.from_pydict({c: [x] for c, x in zip(names, row, strict=True)}, schema=packed)
 
-    packed = pa.schema([("dim", pa.int32()), ("keys", pa.binary()), ("owners", pa.list_(pa.string())), ("m", pa.binary())])
+    packed = pa.schema([("dim", pa.int32()), ("bucket", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), *((c, pa.binary()) for c in names[4:])])
     rows = rows.filter(F.col("key").isNotNull() & F.col("v").isNotNull()).select(F.col("key").cast("long").alias("key"), F.col("v").cast("array<double>").alias("v"), owner.alias("owner"))
-    return rows.mapInArrow(run, "dim int, keys binary, owners array<string>, m binary")
+    return rows.mapInArrow(run, "dim int, bucket long, low long, high long, keys binary, owners binary, m binary")
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int, parts: int | None = None, same: list[str] | None = None, earlier: bool = False) -> DataFrame:
-    """(query_id, key, score) of the k vectors of largest cosine, ties (to six places) to the smaller key.
+def knn(queries: DataFrame, vectors: DataFrame, k: int | None, parts: int | None = None, same: list[str] | None = None, earlier: bool = False, least: float | None = None) -> DataFrame:
+    """(query_id, key, score) of the k vectors of largest cosine, ties (to six places) to the smaller key; without k all of them.
 
-    Both sides are packed into tiles of bounded size, the vectors' dealt into parts (as many as shuffle partitions), the queries' sent to
-    every part; a tile keeps its own k for each query before the final top k, so no side is collected and no task holds all pairs.
-    same: columns that must be equal on both sides. earlier: only vectors of a smaller key than the query's.
+    same: columns that must be equal on both sides; their values are dealt into buckets, and only tiles of one bucket meet. earlier: only
+    vectors of a smaller key than the query's; tiles that can have none don't meet. least: only scores from there on.
+    Both sides are packed into tiles of bounded size. The vectors' tiles of a bucket are dealt into as many parts as its share of all
+    vectors asks for, the queries' tiles go to each of these; a tile keeps its own k for each query before the final top k, so no side
+    is collected and no task holds all pairs.
     """
     conf = queries.sparkSession.conf
     if conf.get(BATCH_KEY, None) is None:
         conf.set(BATCH_KEY, BATCH_BYTES)
     parts, same = parts or int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), same or []
+    buckets = parts if same else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,25 +123,39 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, parts: int | None = None
                 dim, qk, xk = batch["dim"][i].as_py(), *(np.frombuffer(batch[c][i].as_py(), "<i8") for c in ("q_keys", "x_keys"))
                 q, x = (np.frombuffer(batch[c][i].as_py(), "<f8").reshape(-1, dim) for c in ("q_m", "x_m"))
                 s = q @ x.T
-                fits = np.ones(s.shape, dtype=bool)
                 if same:
-                    fits &= np.array(batch["q_owners"][i].as_py(), object)[:, None] == np.array(batch["x_owners"][i].as_py(), object)
+                    qo, xo = (np.frombuffer(batch[c][i].as_py(), "<i8") for c in ("q_owners", "x_owners"))
+                    if (qo != xo[0]).any() or (xo != xo[0]).any():
+                        s[qo[:, None] != xo] = -2
                 if earlier:
-                    fits &= xk < qk[:, None]
-                s[~fits] = -2
-                # what is over a k-th largest score less a margin for rounding may be among the k; the order below decides
-                floor = np.partition(s, len(xk) - k, axis=1)[:, len(xk) - k] - 2e-6 if k < len(xk) else np.full(len(qk), -1.5)
-                row, col = np.nonzero((s >= floor[:, None]) & fits)
-                order = np.lexsort((xk[col], -np.round(s[row, col], 6), row))
-                row, col = row[order], col[order]
-                place = np.arange(len(row)) - np.searchsorted(row, row)
-                row, col = row[place < k], col[place < k]
+                    s[xk >= qk[:, None]] = -2
+                floor = np.full(len(qk), -1.5 if least is None else least - 1e-9)
+                if k is not None and k < len(xk):
+                    # what is over a k-th largest score less a margin for rounding may be among the k; the order below decides
+                    floor = np.maximum(floor, np.partition(s, len(xk) - k, axis=1)[:, len(xk) - k] - 2e-6)
+                row, col = np.nonzero(s >= floor[:, None])
+                if k is not None:
+                    order = np.lexsort((xk[col], -np.round(s[row, col], 6), row))
+                    row, col = row[order], col[order]
+                    place = np.arange(len(row)) - np.searchsorted(row, row)
+                    row, col = row[place < k], col[place < k]
                 yield pa.RecordBatch.from_pydict({"query_id": qk[row], "key": xk[col], "score": np.clip(s[row, col], -1, 1)})
 
-    asked, held = _tiles(queries.withColumn("key", F.col("query_id")), same), _tiles(vectors, same)
-    q = asked.select("dim", *(F.col(c).alias(f"q_{c}") for c in ("keys", "owners", "m")), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    x = held.select("dim", *(F.col(c).alias(f"x_{c}") for c in ("keys", "owners", "m")), F.pmod(F.xxhash64("keys"), F.lit(parts)).cast("int").alias("part"))
-    found = q.join(x, ["part", "dim"]).mapInArrow(run, "query_id long, key long, score double")
+    asked, held = _tiles(queries.withColumn("key", F.col("query_id")), same, buckets), _tiles(vectors, same, buckets)
+    named = lambda side: [F.col(c).alias(f"{side}_{c}") for c in ("low", "high", "keys", "owners", "m")]
+    dealt = F.lit(parts)
+    if same:  # one row for each of `parts` buckets: into how many parts its tiles of vectors are dealt
+        tiles = held.groupBy("bucket").agg(F.sum(F.octet_length("keys")).alias("n"))
+        shares = tiles.crossJoin(F.broadcast(tiles.agg(F.sum("n").alias("every")))).select("bucket", F.greatest(F.lit(1), F.ceil(parts * F.col("n") / F.col("every"))).cast("int").alias("dealt"))
+        asked, held, dealt = asked.join(F.broadcast(shares), "bucket"), held.join(F.broadcast(shares), "bucket"), F.col("dealt")
+    q = asked.select("dim", "bucket", *named("q"), F.explode(F.sequence(F.lit(0), dealt - 1)).alias("part"))
+    x = held.select("dim", "bucket", *named("x"), F.pmod(F.xxhash64("keys"), dealt).cast("int").alias("part"))
+    both = q.join(x, ["part", "dim", "bucket"])
+    if earlier:
+        both = both.filter("x_low < q_high")
+    found = both.mapInArrow(run, "query_id long, key long, score double")
+    if k is None:
+        return found
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), F.col("key"))
     return found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).select("query_id", "key", "score")
 
@@ -142,29 +169,56 @@ def knn_edges(vectors: DataFrame, k: int = 12, least: float = 0.6, cap: int = 8,
     return out.unionAll(out.select(F.col("target").alias("source"), F.col("source").alias("target"), "weight")).distinct()
 
 
+#: Open edges that one task may decide at the end.
+REST = 100_000
+
+
 def capped_graph(edges: DataFrame, cap: int = 8) -> DataFrame:
-    """(namespace, a, b, weight) where no end has more than `cap` links, taken greedily by weight in each namespace.
+    """(namespace, a, b, weight) where no end has more than `cap` links, as if taken greedily by weight, then a and b, in each namespace.
 
-    Greedy choice is sequential; a namespace is the unit of work here as it is for whoever owns it.
+    Round by round every open edge is taken that is among the best open ones at both its ends, as many as these have room for: the
+    greedy choice would take it too, as nothing before it can fill an end. Edges at full ends are dropped. The last REST open edges
+    are decided by one task for each namespace.
     """
     import pandas as pd
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    fields = edges.select("namespace", "a", "b", "weight")
+    order = [F.desc("weight"), F.col("a"), F.col("b")]
+    opened = cut(fields.withColumn("left_a", F.lit(cap)).withColumn("left_b", F.lit(cap)))
+    taken: DataFrame | None = None
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["weight", "a", "b"], ascending=[False, True, True])
-        degree: dict[int, int] = {}
+        left: dict[int, int] = {}
         keep = []
-        for a, b in zip(pdf["a"], pdf["b"], strict=True):
-            free = degree.get(a, 0) < cap and degree.get(b, 0) < cap
-            keep.append(free)
-            if free:
-                degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
-        return pdf[keep]
-
-    return edges.groupBy("namespace").applyInPandas(run, edges.schema)
+        for a, b, la, lb in zip(pdf["a"], pdf["b"], pdf["left_a"], pdf["left_b"], strict=True):
+            ra, rb = left.get(a, la), left.get(b, lb)
+            keep.append(ra > 0 and rb > 0)
+            if keep[-1]:
+                left[a], left[b] = ra - 1, rb - 1
+        return pdf[keep][["namespace", "a", "b", "weight"]]
+
+    while True:
+        n = opened.count()
+        if n <= REST:
+            rest = opened.groupBy("namespace").applyInPandas(finish, fields.schema)
+            return rest if taken is None else taken.unionByName(rest)
+        # every edge stands at both its ends
+        ends = opened.select("*", F.explode(F.array(F.struct(F.col("a").alias("end"), F.col("left_a").alias("room")), F.struct(F.col("b").alias("end"), F.col("left_b").alias("room")))).alias("e")).select("namespace", "a", "b", "weight", "e.end", "e.room")
+        place = F.row_number().over(Window.partitionBy("namespace", "end").orderBy(*order))
+        ends = ends.withColumn("inside", place <= F.col("room"))
+        both = ends.groupBy("namespace", "a", "b", "weight").agg(F.min("inside").alias("won"))
+        now = cut(both)
+        won = now.filter("won").drop("won")
+        used = won.select("namespace", F.explode(F.array("a", "b")).alias("end")).groupBy("namespace", "end").agg(F.count(F.lit(1)).cast("int").alias("used"))
+        room = ends.select("namespace", "end", "room").distinct().join(used, ["namespace", "end"], "left").select("namespace", "end", (F.col("room") - F.coalesce("used", F.lit(0))).alias("left"))
+        side = lambda c: room.filter("left > 0").select("namespace", F.col("end").alias(c), F.col("left").alias(f"left_{c}"))
+        opened = cut(now.filter("not won").drop("won").join(side("a"), ["namespace", "a"]).join(side("b"), ["namespace", "b"]).select("namespace", "a", "b", "weight", "left_a", "left_b"))
+        taken = won if taken is None else taken.unionByName(won)
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.92, topk: int = 10, same: list[str] | None = None) -> DataFrame:
-    """(old, new): each row is superseded by the first later row of its namespace that is nearer than `least` and has it in its top k.
+    """(old, new, score): each row is superseded by the first later row of its namespace that is nearer than `least` and has it in its top k.
 
     Later rows have larger keys. The k nearest are taken among all earlier rows, of any namespace.
     """
@@ -172,4 +226,4 @@ def near_duplicates(vectors: DataFrame, least: float = 0.92, topk: int = 10, sam
     if same:
         of = lambda key: vectors.select(F.col("key").alias(key), *same)
         near = near.join(of("key"), "key").join(of("query_id"), ["query_id", *same], "left_semi")
-    return near.groupBy(F.col("key").alias("old")).agg(F.min("query_id").alias("new"))
+    return near.groupBy(F.col("key").alias("old")).agg(F.min("query_id").alias("new"), F.min_by("score", "query_id").alias("score"))

@@ -233,7 +233,7 @@ def greedy_capped_knn(s: SparkSession, d: str) -> DataFrame:
 r AS (SELECT *, row_number() OVER (PARTITION BY new ORDER BY round(c, 6) DESC, old) AS n FROM s)
 SELECT old, min(new) AS new FROM r WHERE n <= 10 AND same AND round(c, 6) > 0.3 GROUP BY 1""")
 def near_dup_supersede(s: SparkSession, d: str) -> DataFrame:
-    return vector.near_duplicates(A.vectors(s, d), least=0.3, same=["namespace"])
+    return vector.near_duplicates(A.vectors(s, d), least=0.3, same=["namespace"]).select("old", "new")
 
 
 # --- fusion and the whole pipeline ---
@@ -278,9 +278,8 @@ def include_superseded(s: SparkSession, d: str) -> DataFrame:
 SELECT g.query_id, count(*) AS gold, count(t.key) AS hit, round(count(t.key) / count(*), 6) AS recall FROM gold g LEFT JOIN got t ON t.query_id = g.query_id AND t.key = g.key GROUP BY 1""")
 def recall_at_k(s: SparkSession, d: str) -> DataFrame:
     q, v = A.queries(s, d).filter("v is not null").select("query_id", "v"), A.vectors(s, d)
-    every = vector.knn(q, v, 2**31 - 1)
     got = signals.ranked(vector.knn(q, v, 5), "semantic", 5).select("query_id", "key", F.lit(1).alias("hit"))
-    gold = every.filter((F.col("score") >= 0.2) & (F.col("key") != F.col("query_id")))
+    gold = vector.knn(q, v, None, least=0.2).filter(F.col("key") != F.col("query_id"))
     return gold.join(got, ["query_id", "key"], "left").groupBy("query_id").agg(F.count(F.lit(1)).alias("gold"), F.count("hit").alias("hit"), F.round(F.count("hit") / F.count(F.lit(1)), 6).alias("recall"))
 
 
@@ -457,11 +456,11 @@ def cooccur_boost(s: SparkSession, d: str) -> DataFrame:
     return fusion.cooccurrence_boost(res, men, named).select("query_id", "key", F.round("boost", 6).alias("boost"))
 
 
-@query("SELECT p_brand AS entity, count(*) AS mentions_count FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY 1 HAVING contains(lower(p_brand), '2') OR bool_or(contains(lower(p_type), '2'))")
+@query("SELECT *, row_number() OVER (ORDER BY mentions_count DESC, entity) AS rank FROM (SELECT p_brand AS entity, count(*) AS mentions_count FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY 1 HAVING contains(lower(p_brand), '2') OR bool_or(contains(lower(p_type), '2')))")
 def entity_search(s: SparkSession, d: str) -> DataFrame:
     p, li = A.table(s, d, "part"), A.table(s, d, "lineitem")
     mentions = li.join(p, li.l_partkey == p.p_partkey).select(F.col("p_brand").alias("entity"), F.col("p_type").alias("context"))
-    return graph.entity_search(p.select(F.col("p_brand").alias("entity")).distinct(), mentions, "2").select("entity", "mentions_count")
+    return graph.entity_search(p.select(F.col("p_brand").alias("entity")).distinct(), mentions, "2")
 
 
 @query()
@@ -486,11 +485,7 @@ n AS (SELECT k, count(*) AS n FROM t GROUP BY 1), c AS (SELECT a.k AS a, b.k AS
 SELECT a, b, round(c / (x.n + y.n - c), 6) AS jaccard FROM c JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE c / (x.n + y.n - c) >= 0.6""")
 def jaccard_edges(s: SparkSession, d: str) -> DataFrame:
     t = A.table(s, d, "part").select(F.col("p_partkey").alias("k"), F.explode(F.array_distinct(T.tokens(F.concat_ws(" ", "p_name", "p_type")))).alias("w"))
-    n = t.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    c = t.select(F.col("k").alias("a"), "w").join(t.select(F.col("k").alias("b"), "w"), "w").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-    both = c.join(n.select(F.col("k").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("k").alias("b"), F.col("n").alias("nb")), "b")
-    j = F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))
-    return both.filter(j >= 0.6).select("a", "b", F.round(j, 6).alias("jaccard"))
+    return graph.jaccard_pairs(t, 0.6).withColumn("jaccard", F.round("jaccard", 6))
 
 
 # --- writes and maintenance ---
@@ -501,15 +496,6 @@ def explicit_supersede_status(s: SparkSession, d: str) -> DataFrame:
     return lifecycle.supersede_status(r, A.memories(s, d))
 
 
-@query(f"""WITH {MEM}, p AS (SELECT m.key, m.valid_to, n.valid_from AS nf, n.key AS new FROM mem m JOIN mem n ON n.key = m.key + 7)
-SELECT key, new::VARCHAR AS superseded_by, CASE WHEN valid_to < nf THEN valid_to ELSE nf END AS valid_to FROM p""")
-def merge_memories(s: SparkSession, d: str) -> DataFrame:
-    m = A.memories(s, d)
-    pairs = m.select(F.col("key").alias("old"), (F.col("key") + 7).alias("new"))
-    out = lifecycle.apply_supersede(m.withColumn("superseded_by", F.lit(None).cast("string")), pairs, NOW)
-    return out.filter("superseded_by is not null").select("key", "superseded_by", "valid_to")
-
-
 @query(f"""WITH {MEM}, n AS (SELECT *, CASE WHEN tier IN ('hot', 'warm') AND decay > 0.1 THEN round(decay * 0.95, 4) ELSE decay END AS nd FROM mem)
 SELECT key, round(nd, 4) AS new_decay, CASE WHEN tier IN ('hot', 'warm') AND nd <= 0.1 AND recall_count < 3 THEN 'cold' ELSE tier END AS new_tier FROM n""")
 def decay_step(s: SparkSession, d: str) -> DataFrame:

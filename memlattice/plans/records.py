@@ -106,7 +106,7 @@ r AS (SELECT g.query_id, count(t.key) / count(*) AS recall FROM gold g LEFT JOIN
 SELECT count(*) AS probes, round(avg(recall), 6) AS recall, round(avg((recall = 0)::INT), 6) AS zero_rate, round(quantile_cont(recall, 0.5), 6) AS p50, round(quantile_cont(recall, 0.95), 6) AS p95 FROM r""")
 def recall_summary(s: SparkSession, d: str) -> DataFrame:
     q, v = A.queries(s, d).filter("v is not null").select("query_id", "v"), A.vectors(s, d)
-    gold = vector.knn(q, v, 2**31 - 1).filter((F.col("score") >= 0.2) & (F.col("key") != F.col("query_id"))).select("query_id", "key")
+    gold = vector.knn(q, v, None, least=0.2).filter(F.col("key") != F.col("query_id")).select("query_id", "key")
     got = signals.ranked(vector.knn(q, v, 5), "semantic", 5).select("query_id", "key", F.lit(1).alias("hit"))
     r = gold.join(got, ["query_id", "key"], "left").groupBy("query_id").agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
     part = lambda p: F.round(F.percentile("recall", F.lit(p)), 6)
@@ -176,12 +176,6 @@ def mailbox_newest(s: SparkSession, d: str) -> DataFrame:
     return lifecycle.newest(sent, "inbox", 5, F.desc("turn")).select("inbox", "turn", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"""WITH {MEM}, {REL}, l AS (SELECT node, count(*) AS links FROM (SELECT source_id AS node FROM rel UNION ALL SELECT target_id FROM rel WHERE source_id <> target_id) GROUP BY 1)
-SELECT key, coalesce(links, 0) AS links, '{{"key":' || key || ',"old_tier":"' || tier || '","links":' || coalesce(links, 0) || '}}' AS log FROM mem LEFT JOIN l ON node = key WHERE evolved_at IS NULL""")
-def evolve_batch(s: SparkSession, d: str) -> DataFrame:
-    return lifecycle.evolve(A.memories(s, d), graph.link_counts(A.relations(s, d)), NOW).select("key", "links", "log")
-
-
 @query(f"WITH {MEM} SELECT CASE namespace WHEN 'src1' THEN 'moved' ELSE namespace END AS namespace, count(*) AS n FROM mem GROUP BY 1")
 def namespace_move(s: SparkSession, d: str) -> DataFrame:
     m = A.memories(s, d).withColumn("namespace", F.when(F.col("namespace") == "src1", "moved").otherwise(F.col("namespace")))

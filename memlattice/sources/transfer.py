@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -27,11 +28,68 @@ def header(tables: dict[str, DataFrame], version: int = 1) -> DataFrame:
     return counts.agg(F.map_from_entries(F.collect_list(F.struct("t", "n"))).alias("counts")).select(F.to_json(F.struct(F.lit(version).alias("version"), "counts")).alias("value"))
 
 
-def read_lines(spark: SparkSession, path: str, table: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, bad lines) of a table in exported lines; the header is neither."""
-    lines = spark.read.text(path).withColumn("j", F.from_json("value", f"table string, version int, row struct<{schema}>"))
-    bad = lines.filter("j.table is null and j.version is null").select("value")
-    return lines.filter(F.col("j.table") == table).select("j.row.*"), bad
+#: Exported tables with their columns; vectors travel as base64.
+EXPORTED = {
+    "memories": "id namespace source content category confidence recall_count last_recalled created_at promoted_at tier evidence importance decay_factor tags valid_from valid_to superseded_by".split(),
+    "user_prefs": "key value evidence confidence updated_at namespace".split(),
+    "decisions": "id namespace topic decision rationale context session_id created_at".split(),
+    "memory_relations": "id namespace source_id target_id relation_type weight evidence created_at valid_from valid_to".split(),
+    "memory_vectors": "id namespace vector updated_at".split(),
+    "entities": "id namespace entity_type name aliases summary created_at".split(),
+    "entity_mentions": "id entity_id memory_id context namespace created_at".split(),
+    "entity_edges": "id namespace source_entity_id target_entity_id relation_type weight evidence created_at valid_from valid_to".split(),
+}
+VERSION = 1
+
+
+def export_lines(tables: dict[str, DataFrame], include_vectors: bool = True) -> DataFrame:
+    """(value): a header and a line for each row of the tables in EXPORTED, with those of their columns that they have."""
+    sent = {t: df for t, df in tables.items() if t in EXPORTED and (include_vectors or t != "memory_vectors")}
+    out = header(sent)
+    for t, df in sent.items():
+        held = df.select(*(c for c in EXPORTED[t] if c in df.columns))
+        if t == "memory_vectors":
+            held = held.withColumn("vector", F.regexp_replace(F.base64(vector_to_bytes(F.col("vector"))), "[\r\n]", ""))
+        out = out.unionByName(to_lines(held, t))
+    return out
+
+
+def check_header(line: str) -> None:
+    """Raises if an export's first line has no version, or one that is too new."""
+    try:
+        version = json.loads(line).get("version")
+    except (ValueError, AttributeError) as e:
+        raise ValueError("the header is not JSON") from e
+    if not isinstance(version, int):
+        raise ValueError("the header has no version")
+    if version > VERSION:
+        raise ValueError(f"unsupported export version {version}")
+
+
+def import_lines(lines: DataFrame, namespace: str, old: dict[str, DataFrame], on_conflict: str = "ignore") -> DataFrame:
+    """(value, table, id, action) of exported lines (value) without their header.
+
+    action is an error (parse error, missing table, missing row, unknown table, ns mismatch), or inserted, or, for a row whose id (key for
+    preferences) its table in old(id) has, ignored or replaced. Blank lines drop out.
+    """
+    there = None
+    for t, df in old.items():
+        one = df.select(F.lit(t).alias("table"), F.col("id").cast("string").alias("id"), F.lit(True).alias("_old")).distinct()
+        there = one if there is None else there.unionByName(one)
+    rows = lines.filter(F.trim("value") != "").withColumn("j", F.try_parse_json("value"))
+    text = lambda path: F.try_variant_get("j", path, "string")
+    rows = rows.withColumn("table", text("$.table")).withColumn("id", F.coalesce(text("$.row.id"), text("$.row.key"))).withColumn("ns", text("$.row.namespace"))
+    fault = (
+        F.when(F.col("j").isNull(), "parse error").when(F.col("table").isNull(), "missing table").when(F.try_variant_get("j", "$.row", "map<string, variant>").isNull(), "missing row")
+        .when(~F.col("table").isin(*EXPORTED), "unknown table").when(F.coalesce("ns", F.lit("")) != namespace, "ns mismatch")
+    )
+    rows = rows.withColumn("fault", fault).drop("j")
+    if there is not None:
+        rows = rows.join(there, ["table", "id"], "left")
+    else:
+        rows = rows.withColumn("_old", F.lit(None).cast("boolean"))
+    done = F.when(F.coalesce("_old", F.lit(False)), "ignored" if on_conflict == "ignore" else "replaced").otherwise("inserted")
+    return rows.select("value", "table", "id", F.coalesce("fault", done).alias("action"))
 
 
 def import_rows(old: DataFrame, new: DataFrame, key: str, on_conflict: str = "ignore") -> DataFrame:
