@@ -21,7 +21,7 @@ from .common import in_arrow, n_parts
 from .kernels import U64, chunks, compress, decompress, ngram_hashes, word_hashes
 
 #: Bytes of text in a bucket. A bucket is what a worker holds at once.
-BUCKET_BYTES = 5 << 20
+BUCKET_BYTES = 9 << 20
 #: Bytes of text for which there is a block of hashes, up to MANY blocks for each shuffle partition; a block is sorted by one task.
 BLOCK_BYTES, MANY = 4 << 20, 4
 #: Rows of n-grams that a worker holds while counts are put in the buckets' order.
