@@ -298,10 +298,10 @@ def decay_log(s: SparkSession, d: str) -> DataFrame:
     return lifecycle.decay_log(log, A.memories(s, d)).orderBy(F.desc("ts"), "event_id").limit(500).select("event_id", "namespace", "new_decay")
 
 
-@query(f"WITH {VER} SELECT event_id, v.key, v.price FROM events e JOIN ver v ON v.entity = e.event_id AND v.valid_from <= strftime(DATE '1992-01-01' + (event_id % 2500)::INT, '%Y-%m-%dT%H:%M:%S') AND (v.valid_to IS NULL OR v.valid_to >= strftime(DATE '1992-01-01' + (event_id % 2500)::INT, '%Y-%m-%dT%H:%M:%S'))")
+@query(f"WITH {VER} SELECT event_id, v.key, v.price FROM events e JOIN ver v ON v.entity = e.event_id AND v.valid_from <= strftime(DATE '1995-01-01' + (event_id % 2400)::INT, '%Y-%m-%dT%H:%M:%S') AND (v.valid_to IS NULL OR v.valid_to >= strftime(DATE '1995-01-01' + (event_id % 2400)::INT, '%Y-%m-%dT%H:%M:%S'))")
 def versions_at_events(s: SparkSession, d: str) -> DataFrame:
     """The versions that were valid at each event's own time: a range join within the entity."""
-    at = F.date_format(F.date_add(F.lit("1992-01-01"), (F.col("event_id") % 2500).cast("int")), "yyyy-MM-dd'T'HH:mm:ss")
+    at = F.date_format(F.date_add(F.lit("1995-01-01"), (F.col("event_id") % 2400).cast("int")), "yyyy-MM-dd'T'HH:mm:ss")
     e = A.table(s, d, "events").select("event_id", F.col("event_id").alias("entity"), at.alias("at"))
     return e.join(A.versions(s, d), "entity").filter(valid_at(F.col("valid_from"), F.col("valid_to"), F.col("at"))).select("event_id", "key", "price")
 

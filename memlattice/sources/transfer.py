@@ -25,6 +25,8 @@ def header(tables: dict[str, DataFrame], version: int = 1) -> DataFrame:
     for name, df in tables.items():
         one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("t"), "n")
         counts = one if counts is None else counts.unionByName(one)
+    if counts is None:
+        raise ValueError("no table to export")
     return counts.agg(F.map_from_entries(F.collect_list(F.struct("t", "n"))).alias("counts")).select(F.to_json(F.struct(F.lit(version).alias("version"), "counts")).alias("value"))
 
 
