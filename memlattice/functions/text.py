@@ -111,6 +111,13 @@ def occurred(tags: Column) -> Column:
     return F.regexp_extract(F.array_join(F.filter(tags, lambda t: t.rlike("^occurred:[0-9]{4}-[0-9]{2}-[0-9]{2}")), ","), "^occurred:([0-9]{4}-[0-9]{2}-[0-9]{2})", 1)
 
 
+def with_occurred(tags: Column, day: Column) -> Column:
+    """Tags with one `occurred:` tag, that of the day (its first ten characters); without a well-formed day they stay as they are."""
+    fine = day.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}")
+    rest = F.filter(tags, lambda t: ~t.startswith("occurred:"))
+    return F.when(fine, F.array_append(rest, F.concat(F.lit("occurred:"), F.substring(day, 1, 10)))).otherwise(tags)
+
+
 def signal_tags(tags: Column, content: Column) -> Column:
     """Tags with the signals of the content: old signal tags go, numbers (8), dates (4) and markers (4) are added."""
     rest = F.filter(tags, lambda t: ~t.startswith("signal:"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,10 +125,13 @@ def link_counts(relations: DataFrame) -> DataFrame:
 
 
 def entity_search(entities: DataFrame, mentions: DataFrame, term: str) -> DataFrame:
-    """(entity, mentions_count, rank) of entities whose name, or a mention's context, has the term; the most mentioned has rank 1, ties by name."""
+    """(entity, mentions_count, rank) of entities whose name, aliases or summary (where entities has them), or a mention's context, has the term;
+    the most mentioned has rank 1, ties by name. The term is lower-case."""
+    said = [F.coalesce(F.contains(F.lower(c), F.lit(term)), F.lit(False)) for c in ("entity", "aliases", "summary") if c in entities.columns]
+    named = functools.reduce(lambda a, b: a | b, said)
     hit = mentions.filter(F.contains(F.lower("context"), F.lit(term))).select("entity").distinct().withColumn("by_context", F.lit(True))
     counts = mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("mentions_count"))
-    out = entities.join(hit, "entity", "left").filter(F.contains(F.lower("entity"), F.lit(term)) | F.col("by_context")).join(counts, "entity", "left")
+    out = entities.join(hit, "entity", "left").filter(named | F.col("by_context")).join(counts, "entity", "left")
     out = out.select("entity", F.coalesce("mentions_count", F.lit(0)).alias("mentions_count"))
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mentions_count"), "entity")).cast("long"))  # hits of one term
 

@@ -139,8 +139,21 @@ def cursor_states(runs: DataFrame) -> DataFrame:
     return good.groupBy("phase", "ns").agg(F.max("cursor").alias("cursor"), F.count(F.lit(1)).alias("runs"), F.sum("items").alias("items"))
 
 
+def update(memories: DataFrame, changes: DataFrame) -> DataFrame:
+    """memories with the last change of each key: changes(key, at, and any columns to set); a null leaves a column as it is."""
+    named = [c for c in changes.columns if c not in ("key", "at")]
+    last = changes.groupBy("key").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(f"_{c}") for c in named))
+    out = memories.join(last, "key", "left")
+    return out.select(*(F.coalesce(f"_{c}", c).alias(c) if c in named else F.col(c) for c in memories.columns))
+
+
+def delete_vectors(vectors: DataFrame, gone: DataFrame) -> DataFrame:
+    """vectors without those of the memories that go."""
+    return vectors.join(gone.select("key").distinct(), "key", "left_anti")
+
+
 def delete(memories: DataFrame, relations: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(memories, relations) without the keys of gone and all relations that touch them."""
+    """(memories, relations) without the keys of gone and all relations that touch them; see delete_vectors for their vectors."""
     keys = gone.select("key").distinct()
     left = relations
     for end in ("source_id", "target_id"):

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .lifecycle import apply_supersede
+from .lifecycle import QUOTAS, apply_supersede
 from .vector import clean
 
 #: Seconds that lie at least between two runs of a phase, and of any other phase.
@@ -175,7 +175,7 @@ def phase_gate(runs: DataFrame) -> DataFrame:
 WINDOWS = {"write": "day", "search": "minute", "profile": "minute", "backup": "hour"}
 
 
-def admit(requests: DataFrame, limits: dict[str, int]) -> DataFrame:
+def admit(requests: DataFrame, limits: dict[str, int] = QUOTAS) -> DataFrame:
     """requests(ns, kind, ts, key) with whether each is admitted: a namespace has so many of a kind in its day, minute or hour; kinds without a
     limit pass, a limit of 0 denies all. Denied requests don't count, as the first ones of a window are those admitted."""
     start = None

@@ -414,3 +414,25 @@ def hybrid_search_cooccur(s: SparkSession, d: str) -> DataFrame:
     men = A.table(s, d, "documents").select(F.col("doc_id").alias("memory_id"), F.col("lang").alias("entity"))
     out = hybrid_search(q, A.memories(s, d), A.vectors(s, d), Params(NOW), mentions=men, named=q.select("query_id", F.lit("en").alias("entity")))
     return out.select("query_id", F.col("rank").cast("long").alias("rank"), "key", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {SCORED}, res AS (SELECT DISTINCT query_id, key, 1 AS r FROM sig WHERE channel IN ('keyword', 'semantic') AND rank < 50),
+fin AS (SELECT query_id, key, score, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(r, 0) DESC, round(score, 6) DESC, key) AS rank FROM scored LEFT JOIN res USING (query_id, key))
+SELECT query_id, rank, key, round(score, 6) AS score FROM fin JOIN mem USING (key) WHERE rank <= 10 AND list_contains(tags, 'pref')""")
+def hybrid_search_tags(s: SparkSession, d: str) -> DataFrame:
+    """Only rows with a tag, which is looked at after the limit."""
+    out = hybrid_search(_queries(s, d), A.memories(s, d), A.vectors(s, d), Params(NOW, tags=("pref",)))
+    return out.select("query_id", F.col("rank").cast("long").alias("rank"), "key", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {MEM}, c AS (SELECT user_id AS key, arg_max(value, event_id) AS importance, arg_max(event_type, event_id) FILTER (event_id % 3 = 0) AS category FROM events GROUP BY 1)
+SELECT key, round(coalesce(c.importance, m.importance), 6) AS importance, coalesce(c.category, m.category) AS category FROM mem m LEFT JOIN c USING (key)""")
+def memory_updates(s: SparkSession, d: str) -> DataFrame:
+    e = A.table(s, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("at"), F.col("value").alias("importance"), F.when(F.col("event_id") % 3 == 0, F.col("event_type")).alias("category"))
+    return lifecycle.update(A.memories(s, d), e).select("key", F.round("importance", 6).alias("importance"), "category")
+
+
+@query("SELECT vec_id AS key FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
+def delete_vectors(s: SparkSession, d: str) -> DataFrame:
+    gone = A.table(s, d, "labels").filter("quality = 0").select(F.col("doc_id").alias("key"))
+    return lifecycle.delete_vectors(A.vectors(s, d), gone).select("key")

@@ -269,3 +269,41 @@ def test_audit_stream_is_masked(spark, tmp_path):
     start_audit(stream, str(tmp_path / "audit"), str(tmp_path / "c2")).awaitTermination(60)
     out = spark.read.parquet(str(tmp_path / "audit"))
     assert rows(out, "params") == ['{"token": "abcd****"}'] and rows(out, "iso_week") == ["2026w02"]
+
+
+def test_office_and_pdf_files(spark, tmp_path):
+    import zipfile
+    import zlib
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body><w:p><w:r><w:t>Hello </w:t></w:r><w:r><w:t>there</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>End</w:t></w:r></w:p></w:body></w:document>")
+    m = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {m}><si><t>name</t></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {m}><sheetData><row><c t="s"><v>0</v></c><c><v>4</v></c></row></sheetData></worksheet>')
+    page = zlib.compress(rb"BT /F1 12 Tf 10 20 Td (Hello \(PDF\)) Tj 0 -14 Td [(Wor) -20 (ld)] TJ T* <41 42> Tj ET")
+    (tmp_path / "c.pdf").write_bytes(b"%PDF-1.4\n1 0 obj << /Length " + str(len(page)).encode() + b" /Filter /FlateDecode >>\nstream\n" + page + b"\nendstream endobj")
+    (tmp_path / "d.txt").write_text("plain")
+    (tmp_path / "e.docx").write_bytes(b"broken")
+    (tmp_path / "f.xls").write_bytes(b"x")
+    got = {r["path"].rsplit("/", 1)[1]: (r["text"], r["error"] is not None) for r in transfer.extract_files(spark.read.format("binaryFile").load(str(tmp_path))).collect()}
+    assert got == {"a.docx": ("Hello there\n\nEnd", False), "b.xlsx": ("# sheet1\nname\t4", False), "c.pdf": ("Hello (PDF)\nWorld\nAB", False), "d.txt": ("plain", False), "e.docx": (None, True), "f.xls": (None, True)}
+
+
+def test_occurred_tags_and_aliases(spark):
+    tags = F.array(F.lit("a"), F.lit("occurred:2020-01-01"))
+    assert one(spark, T.with_occurred(tags, F.lit("2026-02-03T10:00"))) == ["a", "occurred:2026-02-03"] and one(spark, T.with_occurred(tags, F.lit("soon"))) == ["a", "occurred:2020-01-01"]
+    e = spark.createDataFrame([("Ann", "annie", None), ("Bob", None, "likes ann"), ("Cy", None, None), ("Di", None, None)], "entity string, aliases string, summary string")
+    m = spark.createDataFrame([("Cy", "with Ann"), ("Cy", "x"), ("Di", "y")], "entity string, context string")
+    assert rows(graph.entity_search(e, m, "ann"), "rank", "entity", "mentions_count") == [(1, "Cy", 2), (2, "Ann", 0), (3, "Bob", 0)]
+
+
+def test_quota_windows_of_a_stream(spark, tmp_path):
+    from memlattice.streaming.ingest import quota_counts
+
+    source = str(tmp_path / "in")
+    spark.sql("select timestamp'2026-01-01 10:00:05' ts, 'n' ns, 'search' kind union all select timestamp'2026-01-01 10:00:50', 'n', 'search' union all select timestamp'2026-01-01 12:00:00', 'n', 'search'").write.parquet(source)
+    stream = quota_counts(spark.readStream.schema("ts timestamp, ns string, kind string").parquet(source))
+    stream.writeStream.format("memory").queryName("quotas").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+    assert rows(spark.table("quotas"), "n") == [2]
