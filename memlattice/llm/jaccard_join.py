@@ -220,24 +220,6 @@ def _pair_rows(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) ->
     return pa.RecordBatch.from_arrays([pa.array(a[start]), pa.array(b[start]), pa.array(na[start].astype(np.int32)), pa.array(nb[start].astype(np.int32)), pa.array(count.astype(np.int64))], names=["a", "b", "na", "nb", "shared"])
 
 
-def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row of a column with the column's pivot (its smallest id), itself included; rows come sorted by column and id."""
-    last, pivot = None, 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        h, doc = batch.column("h").to_numpy(), batch.column("doc").to_numpy()
-        new = np.r_[h[0] != last if last is not None else True, h[1:] != h[:-1]]
-        group = np.cumsum(new)
-        heads = np.r_[pivot, doc[new]]
-        of = heads[group]
-        last, pivot = h[-1], of[-1]
-        order = np.lexsort((of, doc))
-        d, v = doc[order], of[order]
-        start = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (v[1:] != v[:-1])])
-        yield pa.RecordBatch.from_arrays([pa.array(d[start]), pa.array(v[start]), pa.array(np.diff(np.r_[start, len(d)]))], names=["doc", "pivot", "shared"])
-
-
 def _products(k: int, num: int, den: int):
     """Links within each block of a group, as a forest; rows come sorted by group and block."""
 
@@ -387,8 +369,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, similarity: tuple[int, int]
     columns = cut(columns.join(joined, "h", "left_semi").select("h", "doc", "n", "first"))
     texts = cut(rows.join(columns.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"))
 
-    met = columns.repartition(p, "h").sortWithinPartitions("h", "doc").transform(in_arrow, _pivots, "doc long, pivot long, shared long")
-    met = met.groupBy("doc", "pivot").agg(F.sum("shared").alias("shared"))
+    # a column's pivot is its smallest id; where one column has very many rows the join is skewed, and adaptive execution splits it
+    pivots = columns.groupBy("h").agg(F.min("doc").alias("pivot"))
+    met = columns.join(pivots, "h").groupBy("doc", "pivot").agg(F.count(F.lit(1)).alias("shared"))
     best = met.groupBy("doc").agg(F.min_by("pivot", F.struct(-F.col("shared"), F.col("pivot"))).alias("pivot"))
     sizes_of = columns.groupBy("doc").agg(F.max("n").alias("n"))
     best = cut(best.join(sizes_of, "doc"))
