@@ -258,6 +258,21 @@ def guardrails(question: Column) -> Column:
     return F.array_compact(F.array(*(F.when(F.lower(question).rlike("|".join(words)), name) for name, words in ADVICE.items())))
 
 
+#: What each piece of advice says.
+NOTES = {
+    "COUNT_TOTAL_DEDUP": "先枚举唯一事件再计数，避免把同一事件的多次提及重复累加。",
+    "RELATIVE_DATE_GROUNDING": "以问题时间为锚点解析相对日期，落到具体记忆的 occurred/mentioned 区间。",
+    "AMOUNT_DIFFERENCE_CALIBRATION": "仅当差值两侧数据齐全时才计算，缺一侧时保守表述而非硬算。",
+    "CURRENT_PREVIOUS_ARBITRATION": "当前态取最新有效版本(occurred 最近)，历史态取最旧版本，勿混用。",
+}
+
+
+def guardrail_notes(question: Column) -> Column:
+    """guardrails() with what each says."""
+    said = F.create_map(*(F.lit(x) for kv in NOTES.items() for x in kv))
+    return F.transform(guardrails(question), lambda n: F.concat(n, F.lit(": "), F.element_at(said, n)))
+
+
 def evolved_context(c: Column) -> Column:
     """What a promoted memory's context says: its first 120 characters."""
     body = F.regexp_replace(c, r"^\s+|\s+$", "")

@@ -87,9 +87,9 @@ def evolved_contexts(s: SparkSession, d: str) -> DataFrame:
     return A.table(s, d, "documents").select("doc_id", T.evolved_context(F.col("text")).alias("context"))
 
 
-@query("SELECT doc_id, " + " || ".join(f"CASE WHEN regexp_matches(lower(text), '{'|'.join(words)}') THEN '{name} ' ELSE '' END" for name, words in T.ADVICE.items()) + " AS advice FROM documents")
+@query("SELECT doc_id, " + " || ".join(f"CASE WHEN regexp_matches(lower(text), '{'|'.join(words)}') THEN '{name}: {T.NOTES[name]}|' ELSE '' END" for name, words in T.ADVICE.items()) + " AS advice FROM documents")
 def guardrail_notes(s: SparkSession, d: str) -> DataFrame:
-    return A.table(s, d, "documents").select("doc_id", F.array_join(F.transform(T.guardrails(F.col("text")), lambda n: F.concat(n, F.lit(" "))), "").alias("advice"))
+    return A.table(s, d, "documents").select("doc_id", F.array_join(F.transform(T.guardrail_notes(F.col("text")), lambda n: F.concat(n, F.lit("|"))), "").alias("advice"))
 
 
 @query("""SELECT event_id, '{"kind": "' || event_type || '", "user_token": "' || CASE WHEN length(event_type) > 4 THEN substr(event_type, 1, 4) ELSE '' END || '****", "p": ' || props || '}' AS params FROM events""")

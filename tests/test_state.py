@@ -36,6 +36,15 @@ def test_bm25_finds_folded_words_and_namespaces(spark):
     assert rows(signals.bm25(q, docs), "query_id", "key") == [(1, 1), (1, 2), (3, 1), (3, 3)]
 
 
+def test_stored_postings_score_alike(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"word{i % 3} common text {'rare' if i == 4 else ''}", f"n{i % 2}") for i in range(9)], "key long, content string, namespace string")
+    q = spark.createDataFrame([(1, "common rare", "n0"), (2, "word1", "n1"), (3, "absent", "n0")], "query_id long, text string, namespace string")
+    signals.write_index(docs, str(tmp_path / "i"), ["namespace"], buckets=4)
+    index = signals.read_index(spark, str(tmp_path / "i"))
+    told = lambda df: sorted((r["query_id"], r["key"], round(r["score"], 9)) for r in df.collect())
+    assert told(signals.bm25(q, None, same=["namespace"], index=index)) == told(signals.bm25(q, docs, same=["namespace"])) != []
+
+
 def test_chinese_substrings(spark):
     docs = spark.createDataFrame([(1, "今天改版前端页面，明天上线"), (2, "前端页面没有改版"), (3, "plain"), (4, "钱")], "key long, content string")
     q = spark.createDataFrame([(1, "[pattern] 改版前端"), (2, "前端页面"), (3, "plain"), (4, "钱"), (5, "没有的")], "query_id long, text string")
