@@ -49,10 +49,11 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     comes first; of rows that are equal or share an id the later ones lose what the earlier have. n_chars follows the text where
     something was removed. Columns other than those of documents go; an empty table stays empty.
     """
-    out = remove_repeats(docs, as_text=True, carry=("text", "lang", "source", "n_chars"))
+    marked = docs.select(COLUMNS).withColumn("no_text", F.col("text").isNull())
+    out = remove_repeats(marked, as_text=True, carry=("no_text", "lang", "source", "n_chars"))
     cut = F.size("spans") > 0
-    out = out.filter(~cut | (F.length("kept") > 0))
-    return out.withColumn("n_chars", F.when(cut, F.length("kept").cast("long")).otherwise(F.col("n_chars"))).withColumn("text", F.when(cut, F.col("kept")).otherwise(F.col("text"))).select(COLUMNS)
+    out = out.filter(~cut | (F.length("kept") > 0)).withColumn("text", F.when(~F.col("no_text"), F.col("kept")))
+    return out.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
 
 def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
