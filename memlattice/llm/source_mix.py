@@ -128,8 +128,9 @@ def mixed_text() -> Column:
 
     A part is cut from the text as it stands, line breaks between its words included.
     """
-    # every piece is a word and the white space after it
+    # every piece is a word and the white space after it; they are bound once for all parts of a text
     words = F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
-    part = lambda x: F.array_join(F.slice(words, (x["start"] + 1).cast("int"), x["length"].cast("int")), "")
-    parts = F.transform("parts", lambda x: F.regexp_replace(part(x), r"[\x20\x09-\x0D]+$", ""))
-    return F.array_join(F.concat(F.array_repeat(F.col("text"), F.col("whole").cast("int")), parts), "\n")
+    part = lambda w, x: F.regexp_replace(F.array_join(F.slice(w, (x["start"] + 1).cast("int"), x["length"].cast("int")), ""), r"[\x20\x09-\x0D]+$", "")
+    parts = F.flatten(F.transform(F.array(words), lambda w: F.transform("parts", lambda x: part(w, x))))
+    none = F.array().cast("array<string>")
+    return F.array_join(F.concat(F.array_repeat(F.col("text"), F.col("whole").cast("int")), F.when(F.size("parts") > 0, parts).otherwise(none)), "\n")
