@@ -130,6 +130,19 @@ both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a)
 SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m.b, d.doc_id)) AS component_id
 FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN (SELECT a, min(b) AS b FROM reach GROUP BY 1) m ON m.a = d.doc_id
+""",
+    "op7_suffix_dedup": r"""
+WITH bytes AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents),
+windows AS (SELECT doc_id, i, t[i + 1 : i + 100] AS w FROM (SELECT doc_id, t, unnest(range(0, octet_length(t) - 99)) AS i FROM bytes WHERE octet_length(t) >= 100)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS n FROM windows) WHERE n > 1),
+every AS (SELECT doc_id, unnest(range(0, octet_length(t))) AS i, unnest(regexp_extract_all(hex(t), '..')) AS x FROM bytes),
+marked AS (
+  SELECT doc_id, i, x, coalesce(max(CASE WHEN a.i IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 0) AS gone
+  FROM every LEFT JOIN again a USING (doc_id, i)),
+edges AS (SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 AS starts FROM marked),
+told AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, count(*) FILTER (starts) AS n_spans, coalesce(string_agg(x, '' ORDER BY i) FILTER (gone = 0), '') AS kept FROM edges GROUP BY 1)
+SELECT doc_id, octet_length(t) AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM bytes LEFT JOIN told USING (doc_id)
 """,
     "op8_url_filter": r"""
 WITH rest AS (
