@@ -69,18 +69,22 @@ def clean(vectors: DataFrame, dim: int | None = None, v: str = "v") -> DataFrame
     return out.filter(F.size(v) == dim) if dim else out
 
 
+def _owner(same: list[str]) -> Column:
+    return F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in same)) if same else F.lit(0).cast("long")
+
+
 def _tiles(rows: DataFrame, same: list[str], buckets: int) -> DataFrame:
     """Rows (key long, v, same) packed, partition by partition, into tiles of one dimension and bucket of owners, TILE unit vectors at most.
 
     (dim, bucket, low, high, keys, owners, m): low and high are the least and largest key, owners are hashes of the columns `same`.
     """
-    owner = F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in same)) if same else F.lit(0).cast("long")
+    owner = _owner(same)
     names = ("dim", "bucket", "low", "high", "keys", "owners", "m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, owners = batch["key"].to_numpy(zero_copy_only=False), batch["owner"].to_numpy()
-            bucket = (owners.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+            bucket = np.mod(owners, buckets)
             lengths = pc.list_value_length(batch["v"]).to_numpy(zero_copy_only=False)
             for dim, b in np.unique(np.stack([lengths, bucket])[:, lengths > 0], axis=1).T.tolist():
                 at = np.flatnonzero((lengths == dim) & (bucket == b))
@@ -145,7 +149,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int | None, parts: int | None
     named = lambda side: [F.col(c).alias(f"{side}_{c}") for c in ("low", "high", "keys", "owners", "m")]
     dealt = F.lit(parts)
     if same:  # one row for each of `parts` buckets: into how many parts its tiles of vectors are dealt
-        tiles = held.groupBy("bucket").agg(F.sum(F.octet_length("keys")).alias("n"))
+        tiles = vectors.groupBy(F.pmod(_owner(same), F.lit(buckets)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
         shares = tiles.crossJoin(F.broadcast(tiles.agg(F.sum("n").alias("every")))).select("bucket", F.greatest(F.lit(1), F.ceil(parts * F.col("n") / F.col("every"))).cast("int").alias("dealt"))
         asked, held, dealt = asked.join(F.broadcast(shares), "bucket"), held.join(F.broadcast(shares), "bucket"), F.col("dealt")
     q = asked.select("dim", "bucket", *named("q"), F.explode(F.sequence(F.lit(0), dealt - 1)).alias("part"))
