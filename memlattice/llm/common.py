@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import ctypes
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..staging import cut, discard, shared_dir  # noqa: F401  what the operators write on their way
+
 #: Key that stands for a null id while rows travel; it sorts before every other id.
 NULL_ID = -(2**63)
 
@@ -21,45 +20,6 @@ def n_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. A local session without one (tests) gets a temporary folder.
-
-    On a cluster a machine's own folder would lose rows without an error, so a session without the setting is refused there.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="memlattice-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-#: Folders written by cut() that discard() has not removed yet.
-_written: list[str] = []
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there and a lost executor costs nothing.
-
-    The files stay until discard(), as what is read from them is lazy.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def discard(spark: SparkSession, *paths: str) -> None:
-    """Remove these folders, or without any all that cut() has written so far; call it when what is read from them has been written."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for path in paths or [_written.pop() for _ in range(len(_written))]:
-        at = hadoop(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def keyed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, text, _c0 ..., _d, _r): _d is the id without nulls, _r tells rows of one id apart (ordered by text).
 
