@@ -37,6 +37,8 @@ WHOLE = 256
 SHIFT = U64(16)
 #: Entries that a worker gathers before it sends them.
 HELD_ENTRIES = 1_000_000
+#: Rows of a column that meet each other in one task; more are dealt into sides, which meet two at a time.
+COLUMN_ROWS = 512
 #: Rows, and entries of rows, in a block of a group.
 BLOCK_ROWS, BLOCK_ENTRIES = 1024, 400_000
 
@@ -282,12 +284,12 @@ def _products(k: int, num: int, den: int):
 
 
 def _crossing(num: int, den: int):
-    """All pairs of a column's rows that are in different components and groups and have sizes that allow it."""
+    """All pairs of a column's rows that are in different components and groups and have sizes that allow it; of a column's two sides only pairs between them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, "h"):
             h, doc, n, comp, pivot = (t.column(c).to_numpy() for c in ("h", "doc", "n", "component", "pivot"))
-            role = t.column("first").to_numpy()
+            role, side, apart = (t.column(c).to_numpy() for c in ("first", "side", "apart"))
             n = n.astype(np.int64)
             first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
             ends = np.r_[first[1:], len(h)]
@@ -299,7 +301,7 @@ def _crossing(num: int, den: int):
                 for i in s + np.flatnonzero(role[s : e - 1]):  # rows come by size: i is the smaller one
                     top = s + int(np.searchsorted(n[s:e], n[i] * den // num, "right"))
                     j = slice(i + 1, top)
-                    j = i + 1 + np.flatnonzero((comp[j] != comp[i]) & (pivot[j] != pivot[i]))
+                    j = i + 1 + np.flatnonzero((comp[j] != comp[i]) & (pivot[j] != pivot[i]) & (~apart[j] | (side[j] != side[i])))
                     if len(j):
                         out.append((np.full(len(j), doc[i]), doc[j], np.full(len(j), n[i]), n[j]))
                         held += len(j)
@@ -396,8 +398,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, similarity: tuple[int, int]
     found = components(links).withColumnRenamed("node", "doc")
     labelled = best.join(found, "doc", "left").select("doc", "pivot", F.coalesce("component", "doc").alias("component"))
     marked = columns.join(labelled, "doc")
-    mixed = marked.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("pivot").alias("lo1"), F.max("pivot").alias("hi1")).filter("lo < hi and lo1 < hi1").select("h")
-    marked = marked.join(mixed, "h", "left_semi").select("h", "doc", "n", "first", "component", "pivot").repartition(p, "h").sortWithinPartitions("h", "n", "doc")
+    mixed = marked.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("pivot").alias("lo1"), F.max("pivot").alias("hi1"), F.ceil(F.count(F.lit(1)) / COLUMN_ROWS).cast("int").alias("sides"))
+    mixed = mixed.filter("lo < hi and lo1 < hi1").select("h", "sides")
+    marked = marked.join(mixed, "h").withColumn("side", F.pmod(F.xxhash64(F.lit(3), "doc"), F.col("sides")).cast("int"))
+    marked = marked.select("*", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("other"))
+    # a column's two sides are a column of their own; clashing ones add candidates only
+    two = F.when(F.col("sides") > 1, F.xxhash64("h", F.least("side", "other"), F.greatest("side", "other"))).otherwise(F.col("h"))
+    apart = (F.col("side") != F.col("other")).alias("apart")
+    marked = marked.select(two.alias("h"), "doc", "n", "first", "component", "pivot", "side", apart).repartition(p, "h").sortWithinPartitions("h", "n", "doc")
     rest = _bounded(marked.transform(in_arrow, _crossing(num, den), "a long, b long, na int, nb int, shared long"), num, den)
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))

@@ -72,7 +72,11 @@ def test_components(spark):
     assert got == {x: root(x) for ab in links for x in ab if ab[0] != ab[1] or x in got}
 
 
-def test_jaccard_against_brute_force(spark):
+@pytest.mark.parametrize("rows_of_a_column", [512, 2])
+def test_jaccard_against_brute_force(spark, monkeypatch, rows_of_a_column):
+    from memlattice.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "COLUMN_ROWS", rows_of_a_column)
     rows = near_copies()
     sets = {}
     for i, t in rows:
