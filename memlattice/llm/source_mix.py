@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Weights of the sources in code point order, repeating; what all targets add up to, and the most a source gives, in times of sizes.
 WEIGHTS, TOTAL, MOST = (3, 1, 2), 1.5, 2.0
 #: Tokens of a block; documents of the largest source in a shard; shards of a source at most (beyond, shards grow; they are sorted, not held).
-BLOCK, SHARD_DOCS, MAX_SHARDS = 64, 1024, 1 << 16
+BLOCK, SHARD_DOCS, MAX_SHARDS = 64, 256, 1 << 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
