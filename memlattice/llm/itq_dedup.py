@@ -34,6 +34,8 @@ SUB_LEAST, SUB_MOST = 16, 32
 SAMPLE = 10_000
 #: Rows of a table key or cell that one task compares with each other; larger ones are dealt in pairs of blocks.
 LOT = 4096
+#: Rows of a key up to which keys are compared many at a time, and pairs held then.
+FEW, HELD_PAIRS = 256, 2_000_000
 #: Vectors of a dimension up to which all are compared; beyond, share of a sample that makes a ball, and the balls at most.
 EXACT, CROWD, BALLS = 4096, 0.005, 64
 #: Share of pairs at the least cosine that the codes may leave apart by the drawn pairs.
@@ -249,7 +251,7 @@ def _keys(plans: dict[int, Plan]):
     return run
 
 
-def _meets_here(a: np.ndarray, b: np.ndarray, table: int, sub: int, bits: int) -> np.ndarray:
+def _meets_here(a: np.ndarray, b: np.ndarray, table: int, sub: int | np.ndarray, bits: int) -> np.ndarray:
     """Of all places where two codes meet, one counts: the first table, and there the smallest common key."""
     here = np.ones(a.shape, bool)
     for t in range(table + 1):
@@ -283,6 +285,26 @@ def _meet(radii: dict[int, tuple[int, int]]):
             if len(i):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ra[i], rb[j])), pa.array(np.maximum(ra[i], rb[j]))], names=["a", "b"])
 
+    def small(key: np.ndarray, ends: np.ndarray, rep: np.ndarray, code: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The pairs of keys with few rows each, all at once; ends: for each row where its key's rows end."""
+        after = ends[rows] - 1 - rows
+        lot = np.cumsum(after) // HELD_PAIRS
+        for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(lot)) + 1):
+            n = after[part]
+            a = np.repeat(rows[part], n)
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+            apart = np.bitwise_count(code[a] ^ code[b])
+            for dim in np.unique(key[rows[part]] >> 40).tolist():
+                radius, bits = radii[dim]
+                near = (apart <= radius) & (key[a] >> 40 == dim)
+                for table in range(BITS // bits):
+                    at = np.flatnonzero(near & (((key[a] >> 32) & 3) == table))
+                    x, y = a[at], b[at]
+                    keep = _meets_here(code[x], code[y], table, (key[x] & ((1 << 32) - 1)).astype(np.uint64), bits)
+                    x, y = rep[x[keep]], rep[y[keep]]
+                    if len(x):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
     def group(key: int, i: int, j: int, side: np.ndarray, rep: np.ndarray, code: np.ndarray) -> Iterator[pa.RecordBatch]:
         if i == j:
             yield from compare(key, rep, code, rep, code, True)
@@ -299,8 +321,14 @@ def _meet(radii: dict[int, tuple[int, int]]):
             if not len(cols[0]):
                 continue
             new = np.flatnonzero(np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])])
-            for s, e in zip(new[:-1], new[1:], strict=True):
-                if e - s > 1:
+            if len(new) > 1:
+                few = (np.diff(new) <= FEW) & (cols[1][new[:-1]] == cols[2][new[:-1]])
+                rows = np.flatnonzero(np.repeat(few, np.diff(new)))
+                if len(rows):
+                    yield from small(cols[0], np.repeat(new[1:], np.diff(new)), cols[4], cols[5].view(np.uint64), rows)
+                few = np.r_[few, False]
+            for k, (s, e) in enumerate(zip(new[:-1], new[1:], strict=True)):
+                if e - s > 1 and not few[k]:
                     yield from group(int(cols[0][s]), int(cols[1][s]), int(cols[2][s]), cols[3][s:e], cols[4][s:e], cols[5][s:e].view(np.uint64))
             held = [c[new[-1] :] for c in cols]
         if held is not None and len(held[0]) > 1:
