@@ -73,12 +73,15 @@ def chunks(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES)
         start = stop
 
 
-def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words `[^\\x20\\x09-\\x0D]+`, and per document the index of its first word (n + 1)."""
+def word_spans(buf: np.ndarray, offs: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, and per document the index of its first word (n + 1).
+
+    between marks the bytes that are in no word; unless given, words are `[^\\x20\\x09-\\x0D]+`.
+    """
     n = len(buf)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    word = ~SPACE[buf]
+    word = ~between[buf]
     edge = np.zeros(n + 1, bool)
     edge[offs] = True
     edge[0] = edge[n] = True

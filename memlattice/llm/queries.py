@@ -13,10 +13,13 @@ from .jaccard_join import jaccard_components
 from .lm_score import lm_scores
 from .packing import pack_pow2
 from .quality import quality
+from .resample import resample
 from .source_mix import mix
 from .suffix_dedup import remove_repeats
 from .toxicity import toxicity
+from .tput import search
 from .url_filter import filter_urls
+from .winnowing import as_string, fingerprints
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,13 +87,28 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_tput_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 50)
+
+
+def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprints(_table(spark, sf_dir, "documents"))
+    strings = [as_string(F.col(a)).alias(b) for a, b in (("prints", "fingerprint"), ("edited_prints", "edited_fingerprint"))]
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *strings, "near_edited", "near_next")
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_lm_scores, op3_source_mix, op4_jaccard_join, op5_quality, op6_packing, op7_suffix_dedup, op8_url_filter, op9_nearest, op10_near_vectors, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_lm_scores, op3_source_mix, op4_jaccard_join, op5_quality, op6_packing, op7_suffix_dedup, op8_url_filter, op9_nearest, op10_near_vectors, op11_tput_search, op12_winnowing, op13_resample, pipeline)}
 
 ORACLES: dict[str, str] = {
     "op2_lm_scores": r"""
@@ -187,5 +205,46 @@ reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN bot
 degree AS (SELECT a, count(*) AS n FROM both_ways GROUP BY 1)
 SELECT e.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(m.b, e.vec_id)) AS component_id, e.vec_id <= coalesce(m.b, e.vec_id) AS kept
 FROM embeddings e LEFT JOIN degree d ON d.a = e.vec_id LEFT JOIN (SELECT a, min(b) AS b FROM reach GROUP BY 1) m ON m.a = e.vec_id
+""",
+    "op11_tput_search": r"""
+WITH terms AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+asks AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM benchmark),
+whole AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS l FROM terms WHERE len(w) > 0),
+counts AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM terms) GROUP BY ALL),
+weights AS (SELECT t, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM counts, whole GROUP BY t, n_docs),
+scores AS (
+  SELECT item_id, doc_id, sum(g.w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * len(d.w) * n_docs) // l))))::BIGINT AS score
+  FROM asks JOIN counts USING (t) JOIN weights g USING (t) JOIN terms d USING (doc_id), whole GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 50
+""",
+    "op13_resample": r"""
+WITH table_of AS (
+  SELECT list(c ORDER BY b) AS x FROM (
+    SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM (SELECT unnest(range(256)) AS b))),
+split AS (
+  SELECT 0 AS side, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+  UNION ALL SELECT 1, item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+words AS (SELECT side, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM split),
+every AS (SELECT side, doc_id, unnest(w) AS f FROM words),
+buckets AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295, [('0x' || h)::BIGINT FOR h IN regexp_extract_all(hex(encode(f)), '..')]),
+    lambda c, b: xor(c // 256, x[xor(c % 256, b) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT f FROM every), table_of),
+shares AS (SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM every JOIN buckets USING (f) GROUP BY 1),
+gains AS (
+  SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * ((SELECT sum(s) FROM shares) + 10000)::DOUBLE) / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM shares) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM shares),
+weights AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM every JOIN buckets USING (f) JOIN gains USING (bucket) WHERE side = 0 GROUP BY 1),
+scored AS (
+  SELECT w.doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || w.doc_id), 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM words w LEFT JOIN weights v ON v.doc_id = w.doc_id WHERE side = 0),
+placed AS (SELECT *, n_features >= 20 AS able, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS r FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND r <= (SELECT (10 * count(*)) // 100 FROM scored WHERE n_features >= 20) THEN r END AS rank FROM placed
 """,
 }
