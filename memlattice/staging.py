@@ -5,15 +5,18 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Folders written by cut() that discard() has not removed yet.
-_written: list[str] = []
+#: Folders that cut() writes in the scope that this thread is in; none outside of scopes.
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. A local session without one (tests) gets a temporary folder.
+    """The folder that all executors share. A local session without one (tests) gets a temporary folder, which is set as spark.checkpoint.dir.
 
     On a cluster a machine's own folder would lose rows without an error, so a session without the setting is refused there.
     """
@@ -27,18 +30,34 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back. The files stay until discard(), as what is read from them is lazy."""
+    """Write df to the shared folder and read it back. The files stay, as what is read from them is lazy; those of a scope go with it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    schema = df.schema
+    schema, made = df.schema, _scope.get()
+    if made is not None:
+        made.append(path)
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(schema).parquet(path)
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Write what is made within before the end: what cut() wrote within (in this thread, and not in a scope of its own) is removed then.
+
+    What others cut, before or in other threads, stays; so a result that is still lazy isn't touched by another's scope.
+    """
+    made: list[str] = []
+    token = _scope.set(made)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        discard(spark, *made)
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
-    """Remove these folders, or without any all that cut() has written so far; call it when what is read from them has been written."""
+    """Remove these folders."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for path in paths or [_written.pop() for _ in range(len(_written))]:
+    for path in paths:
         at = hadoop(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
