@@ -15,10 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_arrow, n_parts
+from .kernels import U64, mix
 from .vectors import cosines, matrices, usable
 
 #: Vectors in a block of candidates and of queries.
@@ -28,9 +30,10 @@ _schema = pa.schema([("part", pa.int32()), ("dim", pa.int32()), ("n", pa.int32()
 
 
 def _blocks(rows_in_block: int, parts: int):
-    """Blocks of quantised vectors, each dealt to a part of the grid."""
+    """Blocks of quantised vectors, each dealt to a part of the grid by a hash of its first id and its place, as ids share factors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = TaskContext.get().partitionId() << 32
         for batch in batches:
             ids = batch.column("vec_id").to_numpy()
             for rows, x in matrices(batch.column("v")):
@@ -43,7 +46,9 @@ def _blocks(rows_in_block: int, parts: int):
                 for s in range(0, len(rows), rows_in_block):
                     e = slice(s, s + rows_in_block)
                     blob = [np.ascontiguousarray(a).tobytes() for a in (ids[rows[e]], x[e], code[e], scale[e], error[e])]
-                    row = dict(zip(_schema.names, (int(ids[rows[s]]) % parts, x.shape[1], len(rows[e]), *blob), strict=True))
+                    part = int(mix(mix(np.array([place], np.int64).view(U64)) ^ np.array([ids[rows[s]]], np.int64).view(U64))[0] % U64(parts))
+                    place += 1
+                    row = dict(zip(_schema.names, (part, x.shape[1], len(rows[e]), *blob), strict=True))
                     yield pa.RecordBatch.from_pylist([row], schema=_schema)
 
     return run

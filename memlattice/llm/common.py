@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..staging import cut, discard, shared_dir  # noqa: F401  what the operators write on their way
+from ..staging import cut, discard, scope, shared_dir  # noqa: F401  what the operators write on their way
 
 #: Key that stands for a null id while rows travel; it sorts before every other id.
 NULL_ID = -(2**63)

@@ -301,6 +301,16 @@ def test_nearest_with_repeated_ids(spark):
     assert [(r["query_id"], r["vec_id"]) for r in out] == [(0, 1)] * 3 and round(out[0]["score"], 4) == round(1 / math.sqrt(1.01), 4)
 
 
+@pytest.mark.parametrize(("step", "parts", "rows"), [(1, 16, 2048), (50, 2, 512), (1, 25, 2048)])
+def test_blocks_of_sequential_ids_use_most_parts(spark, step, parts, rows):
+    vectors = spark.range(0, 200_000 * step, step, 4).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("v"))
+    ddl = "part int, dim int, n int, ids binary, data binary, code binary, scale binary, error binary"
+    dealt = {r["part"]: r["n"] for r in common.in_arrow(vectors, ann_join._blocks(rows, parts), ddl).groupBy("part").agg(F.sum("n").alias("n")).collect()}
+    assert sum(dealt.values()) == 200_000
+    assert len(dealt) >= 0.8 * parts
+    assert max(dealt.values()) <= 3 * 200_000 / parts
+
+
 def test_grid_copies_little():
     assert ann_join.grid(16, 10**6, 2 * 10**4) == (16, 1)
     c, q = ann_join.grid(5000, 10**9, 2 * 10**7)
@@ -369,12 +379,36 @@ def test_a_cluster_needs_a_shared_folder():
             common.shared_dir(_Session(master))
 
 
-def test_discard_removes_what_was_cut(spark):
-    df = common.cut(spark.range(5))
-    folder = df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:")
-    assert os.path.isdir(folder)
-    common.discard(spark)
-    assert not os.path.exists(folder)
+def _folder(df):
+    return df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:")
+
+
+def test_a_scope_removes_what_was_cut_in_it(spark):
+    before = common.cut(spark.range(5))
+    with common.scope(spark):
+        inner = _folder(common.cut(spark.range(6)))
+        with common.scope(spark):
+            innermost = _folder(common.cut(spark.range(7)))
+        assert os.path.isdir(inner) and not os.path.exists(innermost)
+    assert not os.path.exists(inner)
+    with pytest.raises(ZeroDivisionError), common.scope(spark):
+        failed = _folder(common.cut(spark.range(6)))
+        raise ZeroDivisionError
+    assert not os.path.exists(failed)
+    assert before.count() == 5
+    common.discard(spark, _folder(before))
+    assert not os.path.exists(_folder(before))
+
+
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="no pipeline here")
+def test_a_lazy_result_outlives_a_pipeline_run(spark):
+    import corpus_pipeline as cp
+
+    from memlattice.llm.queries import QUERIES
+
+    lazy = QUERIES["op4_jaccard_join"](spark, SF)
+    assert cp.run(spark, SF).count() > 0
+    assert lazy.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
 
 
 @pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="no pipeline here")
