@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlattice.llm.common import discard, shared_dir
+from memlattice.llm.common import discard, scope, shared_dir
 from memlattice.llm.jaccard_join import jaccard_components
 from memlattice.llm.packing import pack_pow2
 from memlattice.llm.quality import quality
@@ -88,8 +88,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs, base, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
-        discard(spark)
+        with scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         if before:
             discard(spark, before)
         before = f"{base}/{name}"
