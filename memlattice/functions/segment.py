@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import cut
 from .text import fold
 
 _CHINESE = "[㐀-䶿一-鿿]"
@@ -22,7 +23,7 @@ def is_chinese(c: Column) -> Column:
 
 def pieces(c: Column) -> Column:
     """Runs of letters and digits of any script, folded; Chinese characters make runs of their own."""
-    apart = F.regexp_replace(fold(c), f"({_CHINESE}+)", " $1 ")
+    apart = F.when(c.rlike(_CHINESE), F.regexp_replace(fold(c), f"({_CHINESE}+)", " $1 ")).otherwise(fold(c))
     return F.filter(F.split(apart, r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
@@ -76,21 +77,23 @@ def segment(runs: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 
 def counted_terms(docs: DataFrame, text: Column, by: list[str], dictionary: DataFrame | None = None, with_symbols: bool = False) -> DataFrame:
-    """(*by, term, tf, plain) of all terms of a text; plain is 0 for whole symbols, which stand beside their pieces and add no length.
+    """(*by, term, tf, dl) of all terms of the texts; dl is how many a text has. Whole symbols stand beside their pieces and add no length.
 
     With a dictionary Chinese runs are cut into its words. Counts come before the join, so a run is cut once however often it stands somewhere.
     """
-    each = docs.select(*by, F.explode(pieces(text)).alias("term")).groupBy(*by, "term").agg(F.count(F.lit(1)).alias("tf"))
-    if dictionary is not None:
-        chinese = each.filter(is_chinese(F.col("term")))
-        cut = segment(chinese.select(F.col("term").alias("run")), dictionary)
-        inner = chinese.withColumnRenamed("term", "run").join(cut, "run").select(*by, F.explode("words").alias("term"), "tf")
-        each = each.filter(~is_chinese(F.col("term"))).unionByName(inner.groupBy(*by, "term").agg(F.sum("tf").alias("tf")))
-    each = each.withColumn("plain", F.lit(1))
+    bag = docs.select(*by, text.alias("_text")).withColumn("w", pieces(F.col("_text"))).withColumn("dl", F.size("w"))
     if with_symbols:
-        whole = docs.select(*by, F.explode(symbols(text)).alias("term")).groupBy(*by, "term").agg(F.count(F.lit(1)).alias("tf"))
-        each = each.unionByName(whole.withColumn("plain", F.lit(0)))
-    return each
+        bag = bag.withColumn("w", F.concat("w", symbols(F.col("_text"))))
+    each = bag.select(*by, "dl", F.explode("w").alias("term")).groupBy(*by, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    if dictionary is None:
+        return each.select(*by, "term", "tf", "dl")
+    each = cut(each)
+    chinese = each.filter(is_chinese(F.col("term")))
+    words = segment(chinese.select(F.col("term").alias("run")), dictionary)
+    inner = cut(chinese.withColumnRenamed("term", "run").join(words, "run").select(*by, F.explode("words").alias("term"), "tf").groupBy(*by, "term").agg(F.sum("tf").alias("tf")))
+    longer = inner.groupBy(*by).agg(F.sum("tf").alias("more")).join(chinese.groupBy(*by).agg(F.sum("tf").alias("less")), by)
+    lengths = each.select(*by, "dl").distinct().join(longer, by, "left").select(*by, (F.col("dl") + F.coalesce(F.col("more") - F.col("less"), F.lit(0))).cast("int").alias("dl"))
+    return each.filter(~is_chinese(F.col("term"))).select(*by, "term", "tf").unionByName(inner).join(lengths, by).select(*by, "term", "tf", "dl")
 
 
 def query_terms(queries: DataFrame, by: list[str], dictionary: DataFrame | None = None, with_symbols: bool = True) -> DataFrame:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import segment as S
 from ..functions import temporal as TM
 from ..functions import text as T
-from ..operators import fusion, graph, lifecycle, signals, vector
+from ..operators import fusion, graph, keyword, lifecycle, signals, vector
 from ..sources import adapters as A
-from .hybrid import Params, all_signals, hybrid_search, time_filter
+from ..sources.indexstore import IndexStore
+from ..staging import shared_dir
+from .hybrid import Params, all_signals, hybrid_search, keyword_road, time_filter
 
 NOW = "2024-02-01T00:00:00"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,7 +160,8 @@ def category_signal(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {MEM}, {QRY}, {BM25} SELECT query_id, key, round(score, 6) AS score, rank FROM ({_rank('bm', 'keyword', 50)})")
 def bm25_topk(s: SparkSession, d: str) -> DataFrame:
-    out = signals.ranked(signals.bm25(A.queries(s, d), A.memories(s, d)), "keyword", 50)
+    """Over postings in blocks: what can't be among the 50 best isn't scored."""
+    out = signals.ranked(keyword.best(S.query_terms(A.queries(s, d), ["query_id"]), keyword.index_of(A.memories(s, d)), 50), "keyword", 50)
     return out.select("query_id", "key", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -174,6 +179,54 @@ def keyword_contains(s: SparkSession, d: str) -> DataFrame:
     return signals.keyword_contains(q, docs).select("query_id", "key")
 
 
+UNSPACED = lambda c: CHINESE(f"regexp_replace({c}, ' ', '', 'g')")
+#: Runs of Chinese letters and of others, in SQL.
+RUNS = lambda c: f"list_filter(regexp_split_to_array(regexp_replace(strip_accents({c}), '([㐀-䶿一-鿿]+)', ' \\1 ', 'g'), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
+
+
+@query(f"""WITH RECURSIVE dict AS (SELECT word, count(*)::DOUBLE AS freq FROM (SELECT unnest(regexp_extract_all({CHINESE('text')}, '[一-鿿]+')) AS word FROM documents) GROUP BY 1),
+whole AS (SELECT sum(freq) AS total FROM dict),
+weighted AS (SELECT word, floor(1000000 * ln(freq / total) + 0.5)::BIGINT AS w FROM dict, whole),
+texts AS (SELECT 0 AS side, item_id AS id, {UNSPACED('text')} AS t FROM benchmark UNION ALL SELECT 1, doc_id, {UNSPACED('text')} FROM documents),
+pieces AS (SELECT side, id, unnest({RUNS('t')}) AS run FROM texts),
+runs AS (SELECT DISTINCT run FROM pieces WHERE regexp_full_match(run, '[㐀-䶿一-鿿]+')),
+spots AS (SELECT run, unnest(range(1, length(run) + 1)) AS i FROM runs),
+parts AS (SELECT run, i, n, substr(run, i, n) AS word FROM spots, (SELECT DISTINCT length(word) AS n FROM dict) WHERE i + n - 1 <= length(run)),
+edges AS (SELECT run, i, list({{'w': w, 'n': n::BIGINT}}) AS e FROM parts JOIN weighted USING (word) GROUP BY 1, 2),
+graphs AS (
+  SELECT run, list(coalesce(e, [{{'w': floor(-1000000 * ln(total) + 0.5)::BIGINT, 'n': 1::BIGINT}}]) ORDER BY i DESC) AS g
+  FROM spots LEFT JOIN edges USING (run, i), whole GROUP BY 1),
+paths AS (
+  SELECT run, list_reduce(list_prepend([{{'w': 0::BIGINT, 'n': 0::BIGINT}}], g),
+    lambda best, e: list_prepend(list_sort(list_transform(e, lambda x: {{'w': x.w + best[x.n].w, 'n': x.n}}), 'DESC')[1], best)) AS best FROM graphs),
+walk AS (
+  SELECT run, 1::BIGINT AS pos, best FROM paths
+  UNION ALL SELECT run, pos + best[pos].n, best FROM walk WHERE pos + best[pos].n <= length(run)),
+cut AS (SELECT run, substr(run, pos, best[pos].n) AS term FROM walk),
+terms AS (SELECT side, id, coalesce(term, run) AS term FROM pieces LEFT JOIN cut USING (run)),
+asked AS (SELECT DISTINCT id AS query_id, term FROM terms WHERE side = 0 AND term <> 'pattern' AND NOT regexp_full_match(term, '[㐀-䶿一-鿿]')),
+lens AS (SELECT d.doc_id AS key, count(term) AS dl FROM documents d LEFT JOIN terms ON side = 1 AND id = d.doc_id GROUP BY 1),
+stats AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM lens),
+tf AS (SELECT id AS key, term, count(*) AS tf FROM terms WHERE side = 1 AND term IN (SELECT term FROM asked) GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+bm AS (SELECT query_id, key, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
+  FROM asked JOIN df USING (term) JOIN tf USING (term) JOIN lens USING (key), stats GROUP BY 1, 2),
+needles AS (SELECT id AS query_id, trim(substr(trim(t), 1, 24)) AS needle FROM texts WHERE side = 0),
+lit AS (SELECT query_id, id AS key FROM needles JOIN texts ON side = 1 AND contains(t, needle) WHERE regexp_matches(needle, '[一-鿿]')),
+united AS (SELECT query_id, key, 20.0::DOUBLE AS score, 1 AS l FROM lit UNION ALL SELECT query_id, key, score, 0 FROM bm WHERE (query_id, key) NOT IN (SELECT (query_id, key) FROM lit))
+SELECT query_id, key, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY l DESC, round(score, 6) DESC, key) - 1 AS rank FROM united) WHERE rank < 50""")
+def keyword_chinese(s: SparkSession, d: str) -> DataFrame:
+    """The united keyword channel over texts in Chinese letters without blanks; the dictionary has the words of the documents with their counts."""
+    plain = lambda c: T.words_in_chinese(F.replace(c, F.lit(" "), F.lit("")))
+    docs = A.table(s, d, "documents")
+    word = F.explode(F.regexp_extract_all(T.words_in_chinese(F.col("text")), F.lit("([一-鿿]+)"), 1))
+    dictionary = docs.select(word.alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
+    q = A.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), plain("text").alias("text"))
+    m = docs.select(F.col("doc_id").alias("key"), plain("text").alias("content"))
+    road = keyword_road(q, m, 50, keyword.index_of(m, [], dictionary), dictionary)
+    return road.select("query_id", "key", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(f"WITH {QRY}, {KNN} SELECT query_id, key, round(score, 6) AS score, rank FROM ({_rank('sem', 'semantic', 10)})")
 def knn_exact(s: SparkSession, d: str) -> DataFrame:
     out = signals.ranked(vector.knn(A.queries(s, d).filter("v is not null").select("query_id", "v"), A.vectors(s, d), 10), "semantic", 10)
@@ -266,6 +319,17 @@ def hybrid_search_full(s: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", F.col("rank").cast("long").alias("rank"), "key", F.round("score", 6).alias("score"), F.col("reserved").cast("int").alias("reserved"), "time_status")
 
 
+@query(ORACLES["hybrid_search_full"])
+def hybrid_search_indexed(s: SparkSession, d: str) -> DataFrame:
+    """The whole search, its keyword channel over a stored index that is written in two versions: all but every third document, then the others."""
+    m = A.memories(s, d)
+    store = IndexStore(s, f"{shared_dir(s)}/index-{uuid.uuid4().hex}", ("namespace",))
+    store.build(m.filter("key % 3 <> 0"))
+    store.append(m.filter("key % 3 = 0"))
+    out = hybrid_search(_queries(s, d), m, A.vectors(s, d), Params(NOW), index=store.read())
+    return out.select("query_id", F.col("rank").cast("long").alias("rank"), "key", F.round("score", 6).alias("score"), F.col("reserved").cast("int").alias("reserved"), "time_status")
+
+
 @query(f"""WITH {FUSED} SELECT query_id, key, round(rrf * CASE WHEN superseded_by IS NULL AND {VALID} THEN 1 ELSE 0.5 END, 6) AS rrf,
   CASE WHEN superseded_by IS NULL AND {VALID} THEN 'current' ELSE 'superseded' END AS time_status FROM fused JOIN mem USING (key)""")
 def include_superseded(s: SparkSession, d: str) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import re
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,21 +99,39 @@ def top(scored, k):
     return {(q, key): -s for q, found in by.items() for s, key in sorted(found)[:k]}
 
 
-@pytest.mark.parametrize(("same", "k", "block"), [([], 10, 512), (["namespace"], 5, 16), ([], 1000, 7)])
-def test_best_equals_scoring_all_pairs(spark, monkeypatch, same, k, block):
+@pytest.mark.parametrize(("same", "k", "block", "pairs"), [([], 10, 512, 1 << 17), (["namespace"], 5, 16, 40), ([], 1000, 7, 1 << 17)])
+def test_best_equals_scoring_all_pairs(spark, monkeypatch, same, k, block, pairs):
     monkeypatch.setattr(K, "BLOCK", block)
+    monkeypatch.setattr(K, "PAIRS", pairs)
     rows, asks = made()
     docs = spark.createDataFrame(rows, "key long, content string, namespace string").repartition(3)
     q = spark.createDataFrame(asks, "query_id long, text string, namespace string")
-    told = {}
-    found = K.best(S.query_terms(q, ["query_id", *same]), K.index_of(docs, same), k, told=told)
+    found = K.best(S.query_terms(q, ["query_id", *same]), K.index_of(docs, same), k)
     kept = signals.ranked(found, "keyword", k)
     got = {(r["query_id"], r["key"]): r["score"] for r in kept.collect()}
     want = top(every := scores(rows, asks, bool(same)), k)
     assert got.keys() == want.keys()
     assert all(math.isclose(got[x], want[x], rel_tol=1e-9, abs_tol=2e-6) for x in got)
-    if k == 10:
-        assert told["left"].count() < 0.35 * len(every)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert found.count() <= min(len(every), tasks * k * len(asks))
+
+
+def test_blocks_that_cannot_reach_the_bound_are_passed_over():
+    asked = K._Asked({}, {"rare": 5.0, "often": 0.1}, 10.0, 1, K.K1, K.B)
+    looked = []
+
+    class Counted(dict):
+        def __getitem__(self, term):
+            looked.append(term)
+            return super().__getitem__(term)
+
+    row = lambda keys: (1, 10, np.array(keys), np.ones(len(keys)), np.full(len(keys), 10.0))
+    held = {}
+    asked.search(Counted(rare=row([7]), often=row([7, 8])), [(0, ["often", "rare"])], held)
+    assert held[0][1].tolist() == [7] and looked
+    looked.clear()
+    asked.search(Counted(often=row([1, 2, 3])), [(0, ["often", "rare"])], held)
+    assert not looked and held[0][1].tolist() == [7]
 
 
 def test_best_of_empty_sides(spark):
