@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import records, state, wording  # noqa: F401  their queries join the catalog's
+from .plans import knowledge, records, state, wording  # noqa: F401  their queries join the catalog's
 from .plans.catalog import ORACLES, QUERIES
 
 FLAGSHIP = "hybrid_search_full"
