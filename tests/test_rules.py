@@ -5,7 +5,7 @@ import random
 import pandas as pd
 import pytest
 
-from memlattice.operators import embedding, entities
+from memlattice.operators import embedding, entities, questions
 from memlattice.operators import inference as I
 
 
@@ -98,3 +98,43 @@ def test_embedding_with_a_cache_and_tries(spark, tmp_path):
     assert open(log).read()[:].count("\n") - before == 1  # the new text alone, once
     assert later.cache.count() == 2 and {r["used"] for r in later.cache.collect()} == {"2024-01-02"}
     assert len(list(itertools.chain(got.cache.collect()))) == 3
+
+
+def test_an_interrupted_question_build_ends_as_a_whole_one(spark, tmp_path):
+    log = tmp_path / "asked"
+    stop = tmp_path / "stop"
+    stop.write_text("")
+
+    def asks(texts):
+        with open(log, "a") as f:
+            f.writelines(f"{t}\n" for t in texts)
+        return texts.map(lambda t: [f"{t} a", f" {t} b ", "", f"{t} a"] if t != "mute" else [])
+
+    def vectors(texts):
+        if stop.exists() and any(t.startswith("late") for t in texts):
+            raise SystemExit  # no error of the text: the task dies with it
+        return texts.map(lambda t: [float(len(t)), 1.0] if not t.startswith("odd") else [0.0, 0.0])
+
+    rows = spark.createDataFrame([(1, "one"), (2, "mute"), (3, "late three"), (4, None), (5, "odd five"), (6, "six"), (7, "seven"), (8, "eight")], "key long, content string")
+    path = str(tmp_path / "built")
+    with pytest.raises(Exception):  # noqa: B017, PT011  the job fails as its task does
+        questions.build(rows, path, asks, vectors, 2, lots=4)
+    before = log.read_text().split()
+    stop.unlink()
+    got = {(r["key"], r["question"]) for r in questions.build(rows, path, asks, vectors, 2, lots=4).collect()}
+    whole = {(r["key"], r["question"]) for r in questions.build(rows, str(tmp_path / "anew"), asks, vectors, 2, lots=4).collect()}
+    assert got == whole == {(k, f"{t} {x}") for k, t in ((1, "one"), (3, "late three"), (6, "six"), (7, "seven"), (8, "eight")) for x in "ab"}
+    assert before
+    asked = log.read_text()
+    again = {(r["key"], r["question"]) for r in questions.build(rows, path, asks, vectors, 2, lots=4).collect()}
+    # only the row whose vectors are unsound is asked for again
+    assert again == got and log.read_text()[len(asked) :] == "odd five\n"
+    failed = {r["key"] for r in questions.stored(spark, path).filter("error is not null").collect()}
+    assert failed == {5}
+
+
+def test_roads_with_several_vectors_for_a_key(spark):
+    content = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(6)], "key long, v array<double>")
+    asked = spark.createDataFrame([(9, [1.0, x / 100]) for x in range(8)] + [(1, [1.0, 0.5])], "key long, v array<double>")
+    got = questions.search(spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, v array<double>"), {"content": content, "question": asked}, 3).collect()
+    assert sorted((r["key"], r["source"]) for r in got) == [(0, "content"), (1, "question"), (9, "question")]
