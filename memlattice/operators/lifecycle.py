@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.temporal import closing_time, valid_at
 
+#: Seconds that lie at least between two runs of a phase, and of any other phase.
+COOLDOWN, OTHER_PHASES = {"consolidate": 0, "decay": 60}, 300
 #: Requests of a kind that a namespace has in a window.
 QUOTAS = {"write": 10_000, "search": 600, "profile": 10, "backup": 12}
 
@@ -139,6 +144,55 @@ def cursor_states(runs: DataFrame) -> DataFrame:
     return good.groupBy("phase", "ns").agg(F.max("cursor").alias("cursor"), F.count(F.lit(1)).alias("runs"), F.sum("items").alias("items"))
 
 
+def phase_waits(waits: dict[str, int], phase: str) -> int:
+    """Seconds between two runs of a phase: the caller's, else the fixed ones."""
+    return waits.get(phase, COOLDOWN.get(phase, OTHER_PHASES))
+
+
+def next_phase(state: tuple | None, at: int, cursor: object, items: int | None, wait: int) -> tuple[tuple, str]:
+    """((at, cursor, runs, items) after an update at `at` microseconds, what is told of it). An update that is refused changes nothing."""
+    last, held, runs, done = state or (None, None, 0, 0)
+    if cursor is None or cursor == "":
+        return (last, held, runs, done), "empty"
+    if held is not None and cursor <= held:
+        return (last, held, runs, done), "behind"
+    if last is not None and at - last < wait * 1_000_000:
+        return (last, held, runs, done), "early"
+    return (at, cursor, runs + 1, done + (items or 0)), "ok"
+
+
+def phase_updates(updates: DataFrame, waits: dict[str, int] | None = None) -> DataFrame:
+    """updates(phase, ns, ts, key, cursor, items), in order of ts and key, with what is told of each and cursor, runs and items after it.
+
+    `empty`: no cursor; `behind`: not over the cursor before; `early`: sooner after the last update that counted than the phase allows
+    (waits: seconds by phase, over the fixed ones); `ok`: it counts. Those refused change nothing, so each depends on all before it:
+    the rows of a phase and namespace are read once, in order, and four numbers are carried along, however many they are. Rows without ts have no place in the order and are left out.
+    """
+    waits = waits or {}
+    kind = {c: updates.schema[c].dataType.simpleString() for c in ("phase", "ns", "ts", "key", "cursor")}
+    rows = updates.select("phase", "ns", "ts", "key", "cursor", F.col("items").cast("long").alias("items"), F.unix_micros(F.col("ts").cast("timestamp")).alias("_at")).filter("ts is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, None
+        for batch in batches:
+            phases, spaces = batch.column("phase").to_pylist(), batch.column("ns").to_pylist()
+            told, cursors, runs, items = [], [], [], []
+            for phase, ns, at, cursor, n in zip(phases, spaces, *(batch.column(c).to_pylist() for c in ("_at", "cursor", "items")), strict=True):
+                if (phase, ns) != last:
+                    last, state = (phase, ns), None
+                state, now = next_phase(state, at, cursor, n, phase_waits(waits, phase))
+                told.append(now)
+                cursors.append(state[1])
+                runs.append(state[2])
+                items.append(state[3])
+            out = [batch.column(c) for c in ("phase", "ns", "ts", "key")]
+            out += [pa.array(told, pa.string()), pa.array(cursors, batch.column("cursor").type), pa.array(runs, pa.int64()), pa.array(items, pa.int64())]
+            yield pa.RecordBatch.from_arrays(out, names=["phase", "ns", "ts", "key", "told", "cursor", "runs", "items"])
+
+    schema = f"phase {kind['phase']}, ns {kind['ns']}, ts {kind['ts']}, key {kind['key']}, told string, cursor {kind['cursor']}, runs long, items long"
+    return rows.repartition("phase", "ns").sortWithinPartitions("phase", "ns", "ts", "key").mapInArrow(run, schema)
+
+
 def update(memories: DataFrame, changes: DataFrame) -> DataFrame:
     """memories with the last change of each key: changes(key, at, and any columns to set); a null leaves a column as it is."""
     named = [c for c in changes.columns if c not in ("key", "at")]

@@ -10,11 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .lifecycle import QUOTAS, apply_supersede
+from .lifecycle import COOLDOWN, OTHER_PHASES, QUOTAS, apply_supersede
 from .vector import clean
 
-#: Seconds that lie at least between two runs of a phase, and of any other phase.
-COOLDOWN, OTHER_PHASES = {"consolidate": 0, "decay": 60}, 300
 
 
 def new_rows(batch: DataFrame, now: str) -> DataFrame:
@@ -175,15 +173,29 @@ def phase_gate(runs: DataFrame) -> DataFrame:
 WINDOWS = {"write": "day", "search": "minute", "profile": "minute", "backup": "hour"}
 
 
-def admit(requests: DataFrame, limits: dict[str, int] = QUOTAS) -> DataFrame:
-    """requests(ns, kind, ts, key) with whether each is admitted: a namespace has so many of a kind in its day, minute or hour; kinds without a
-    limit pass, a limit of 0 denies all. Denied requests don't count, as the first ones of a window are those admitted."""
+def quota_start() -> Column:
+    """The beginning of the window of a request (kind, ts); null for kinds without one."""
     start = None
     for kind, unit in WINDOWS.items():
         start = F.when(F.col("kind") == kind, F.date_trunc(unit, "ts")) if start is None else start.when(F.col("kind") == kind, F.date_trunc(unit, "ts"))
+    return start
+
+
+def quota_end() -> Column:
+    """The end of the window of a request (kind, ts)."""
+    end, start = None, quota_start()
+    for kind, unit in WINDOWS.items():
+        after = start + F.expr(f"INTERVAL 1 {unit}")
+        end = F.when(F.col("kind") == kind, after) if end is None else end.when(F.col("kind") == kind, after)
+    return end
+
+
+def admit(requests: DataFrame, limits: dict[str, int] = QUOTAS) -> DataFrame:
+    """requests(ns, kind, ts, key) with whether each is admitted: a namespace has so many of a kind in its day, minute or hour; kinds without a
+    limit pass, a limit of 0 denies all. Denied requests don't count, as the first ones of a window are those admitted."""
     limit = F.try_element_at(F.create_map(*(F.lit(x) for kv in limits.items() for x in kv)), F.col("kind"))
     w = Window.partitionBy("ns", "kind", "_start").orderBy("ts", "key")
-    out = requests.withColumn("_start", start).withColumn("place", F.row_number().over(w))
+    out = requests.withColumn("_start", quota_start()).withColumn("place", F.row_number().over(w))
     return out.withColumn("admitted", F.coalesce(F.col("place") <= limit, F.lit(True))).drop("_start")
 
 

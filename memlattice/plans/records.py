@@ -156,6 +156,20 @@ def cursor_states(s: SparkSession, d: str) -> DataFrame:
     return lifecycle.cursor_states(runs)
 
 
+@query("""WITH RECURSIVE r AS (SELECT event_id AS key, ts, ['consolidate', 'decay', 'dream'][(event_id % 3 + 1)::INT] AS phase, user_id AS ns, CASE WHEN event_id % 11 > 0 THEN floor(epoch(ts) / 43200)::BIGINT + event_id % 2 END AS cursor, event_id % 5 AS items FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY phase, ns ORDER BY ts, key) AS place FROM r),
+f AS (SELECT phase, ns, 0::BIGINT AS place, NULL::BIGINT AS key, NULL::VARCHAR AS told, NULL::TIMESTAMP AS last, NULL::BIGINT AS cursor, 0::BIGINT AS runs, 0::BIGINT AS done FROM n WHERE place = 1
+UNION ALL SELECT phase, ns, place, key, told, CASE told WHEN 'ok' THEN ts ELSE last END, CASE told WHEN 'ok' THEN new ELSE held END, CASE told WHEN 'ok' THEN runs + 1 ELSE runs END, CASE told WHEN 'ok' THEN done + items ELSE done END
+FROM (SELECT n.phase, n.ns, n.place, n.key, n.ts, n.items, n.cursor AS new, f.cursor AS held, f.last, f.runs, f.done, CASE WHEN n.cursor IS NULL THEN 'empty' WHEN n.cursor <= f.cursor THEN 'behind'
+WHEN epoch_us(n.ts) - epoch_us(f.last) < 1000000::BIGINT * (CASE n.phase WHEN 'consolidate' THEN 0 WHEN 'decay' THEN 60 ELSE 90000 END) THEN 'early' ELSE 'ok' END AS told FROM f JOIN n ON n.phase = f.phase AND n.ns = f.ns AND n.place = f.place + 1))
+SELECT key AS event_id, told, cursor, runs, done AS items FROM f WHERE place > 0""")
+def phase_updates(s: SparkSession, d: str) -> DataFrame:
+    phase = F.element_at(F.array(F.lit("consolidate"), F.lit("decay"), F.lit("dream")), (F.col("event_id") % 3 + 1).cast("int"))
+    cursor = F.when(F.col("event_id") % 11 > 0, F.datediff(F.col("ts").cast("date"), F.lit("1970-01-01")).cast("long") * 2 + F.floor(F.hour("ts") / 12) + F.col("event_id") % 2)
+    rows = A.table(s, d, "events").select(phase.alias("phase"), F.col("user_id").alias("ns"), "ts", F.col("event_id").alias("key"), cursor.alias("cursor"), (F.col("event_id") % 5).alias("items"))
+    return lifecycle.phase_updates(rows, {"dream": 90_000}).select(F.col("key").alias("event_id"), "told", "cursor", "runs", "items")
+
+
 @query("""WITH p AS (SELECT event_id, ts, date_trunc('hour', ts) AS h, row_number() OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY ts, event_id) AS place FROM events)
 SELECT event_id, CASE WHEN place > 2 THEN (floor(epoch(h)) + 3600 - floor(epoch(ts)))::BIGINT ELSE 0 END AS retry_after FROM p""")
 def retry_after(s: SparkSession, d: str) -> DataFrame:

@@ -237,38 +237,6 @@ def test_distances(spark):
     assert abs(one(spark, vector.jensen_shannon(p, q)) - 0.46450140402) < 1e-9
 
 
-def test_tailing_session_files(spark, tmp_path):
-    from memlattice.streaming.tail import SessionTail, TailReader
-
-    logs = tmp_path / "logs"
-    logs.mkdir()
-    (logs / "a.jsonl").write_text("old\n")
-    (logs / "x.txt").write_text("not a session\n")
-    reader = TailReader({"dirs": str(logs), "quiet": "0"})
-    start = reader.initialOffset()
-    path = str(logs / "a.jsonl")
-    assert start == {path: 4}  # from the end
-    with open(path, "a") as f:
-        f.write("one\ntwo\nhalf")
-    got, end = reader.read(start)
-    assert [v for _, v in got] == ["one", "two"] and end == {path: 12}
-    assert [v for _, v in reader.readBetweenOffsets(start, end)] == ["one", "two"]
-    (logs / "b.jsonl").write_text("new file\n")
-    (logs / "a.jsonl").write_text("cut\n")  # shorter: from the beginning
-    got, end = reader.read(end)
-    assert sorted(v for _, v in got) == ["cut", "new file"]
-    assert list(TailReader({"dirs": str(logs), "quiet": "1000"}).read({})[0]) == []
-    some, part = TailReader({"dirs": str(logs), "quiet": "0", "bytes": "5"}).read({})
-    rest, whole = TailReader({"dirs": str(logs), "quiet": "0"}).read(part)
-    assert sorted(v for _, v in [*some, *rest]) == ["cut", "new file"] and whole == end
-    spark.dataSource.register(SessionTail)
-    stream = spark.readStream.format("session_tail").option("dirs", str(logs)).option("quiet", "0").option("start", "beginning").load()
-    query = stream.writeStream.format("memory").queryName("tailed").option("checkpointLocation", str(tmp_path / "c")).start()
-    query.processAllAvailable()
-    query.stop()
-    assert rows(spark.table("tailed"), "value") == ["cut", "new file"]
-
-
 def test_audit_stream_is_masked(spark, tmp_path):
     from memlattice.streaming.ingest import start_audit
 
