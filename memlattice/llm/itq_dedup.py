@@ -10,7 +10,7 @@ Codes tell little where many vectors lie close together. So balls are drawn arou
 vector within the link angle of a ball's centre is inside; whatever links with it is within twice that angle. Inside and
 this rim are compared exactly, as tiles of cosines; the codes are learned from, and used for, the vectors outside all balls.
 Pairs at the least cosine are drawn around sampled vectors to find the radius and how many sets of codes (other rotations)
-leave at most MISS of them apart. Where max_sets() don't do, and for few vectors of a dimension, all are compared exactly.
+leave at most MISS of them apart. This holds for any number of vectors. Where max_sets() don't do, or exact is asked for, all are compared exactly.
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ SAMPLE = 10_000
 LOT = 4096
 #: Rows of a key up to which keys are compared many at a time, and pairs held then.
 FEW, HELD_PAIRS = 256, 2_000_000
-#: Vectors of a dimension up to which all are compared; beyond, share of a sample that makes a ball, and the balls at most.
-EXACT, CROWD, BALLS = 4096, 0.005, 64
+#: Share of a sample that makes a ball, and the balls at most.
+CROWD, BALLS = 0.005, 64
 #: Share of pairs at the least cosine that the codes may leave apart by the drawn pairs.
 MISS = 0.002
 #: Sampled vectors outside the balls from which a rotation is learned; with fewer it is random.
@@ -362,11 +362,12 @@ def _dealt(rows: DataFrame, key: str, *carry: str) -> DataFrame:
     return dealt.select(key, "side", *carry, other.alias("o")).select(key, F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", *carry)
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.9, radius: int = 18) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.9, radius: int = 18, exact: bool = False) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of vectors(vec_id, embedding).
 
     Two vectors link if their cosine is at least `least` in double precision; codes bring all but about MISS of the pairs at that
-    cosine together, exact cells all. radius is the smallest Hamming radius that is used. n_links
+    cosine together, exact cells all; with exact all vectors of a dimension are one cell, whose blocks meet two at a time, and no link
+    is missed. radius is the smallest Hamming radius that is used. n_links
     counts the other rows linked directly, equal ones included; component_id is the smallest vec_id reached; kept marks it. Null,
     zero or not finite vectors link with nothing, and so do vectors of different dimensions; a null id keeps a null component
     and is not kept. Of several rows with one id each counts. Other columns are ignored; an empty table gives no rows.
@@ -375,8 +376,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, radius: int = 18) ->
     rows = usable(vectors)
     classes = cut(rows.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")))
     plans = {}
-    for dim, n in classes.groupBy(F.size("v")).count().collect():
-        if n > EXACT:
+    if not exact:
+        for dim, n in classes.groupBy(F.size("v")).count().collect():
             picked = classes.filter(F.size("v") == dim).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").collect()
             plans[dim] = plan(units(np.array([r["v"] for r in picked])), least, radius, width(n))
     cells = cut(classes.transform(in_arrow, _cells(plans, least), "cell long, inside boolean, rep long, v array<double>, n long"))

@@ -329,17 +329,30 @@ def recall(spark, x, **options):
 
 
 @pytest.mark.parametrize("shift", [16, 24, 32])
-def test_near_vectors_with_a_shared_direction(spark, monkeypatch, shift):
-    monkeypatch.setattr(itq_dedup, "EXACT", 1)
+def test_near_vectors_with_a_shared_direction(spark, shift):
     x = np.random.default_rng(6).standard_normal((1000, 64))
     x[:, 0] += shift
     assert recall(spark, x) >= 0.99
 
 
+@pytest.mark.parametrize("shift", [0, 8, 10, 16, 24])
+def test_near_vectors_with_learned_codes(spark, shift):
+    """More vectors than a rotation takes to be learned, whatever is common to them: by codes at 0 and 8, exactly at 10 and 16, nearly all in balls at 24."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((4000, 64))
+    x[:, 0] += shift
+    x = np.concatenate([x, *(_around(rng, v, 0.9001, 1) for v in x[:600])])
+    plan = itq_dedup.plan(itq_dedup.units(x), 0.9, 18)
+    if shift < 24:
+        assert bool(plan.models) == (shift < 10)
+    if shift < 10:
+        assert plan.models[0][0].any()  # learned, about the mean
+    assert recall(spark, x) >= 0.98
+
+
 @pytest.mark.parametrize("bits", [20, 24])
 def test_near_vectors_with_wide_substrings(spark, monkeypatch, bits):
     """As for millions of vectors: fewer and wider substrings, more sets of codes."""
-    monkeypatch.setattr(itq_dedup, "EXACT", 1)
     monkeypatch.setattr(itq_dedup, "width", lambda n: bits)
     rng = np.random.default_rng(7)
     free = rng.standard_normal((1500, 64))
