@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import RELATION_OF
+from . import pdf
 
 
 def to_lines(rows: DataFrame, table: str) -> DataFrame:
@@ -137,60 +138,17 @@ def _xlsx(data: bytes) -> str:
     return "\n".join(out)
 
 
-_PDF_STREAM = re.compile(rb"<<(.*?)>>\s*stream\r?\n(.*?)\r?\nendstream", re.S)
-_PDF_TEXT = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|\[|\]|/[^\s/\[\]()<>]+|[-+.\d]+|[A-Za-z'\"*]+", re.S)
-_PDF_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"\n": b""}
-
-
-def _pdf(data: bytes) -> str:
-    """Text of a PDF's content streams, raw or deflated, with fonts in a Latin encoding; an error where that gives none."""
-    import zlib
-
-    def literal(token: bytes) -> str:
-        if token[:1] == b"<":
-            return bytes.fromhex(token[1:-1].decode().replace(" ", "").replace("\n", "")).decode("cp1252", "replace")
-        plain = re.sub(rb"\\([0-7]{1,3}|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() else _PDF_ESCAPES.get(m[1], m[1]), token[1:-1], flags=re.S)
-        return plain.decode("cp1252", "replace")
-
-    if not data.startswith(b"%PDF"):
-        raise ValueError("not a PDF")
-    out: list[str] = []
-    for told, raw in _PDF_STREAM.findall(data):
-        if b"/FlateDecode" in told:
-            raw = zlib.decompress(raw)
-        elif b"/Filter" in told:
-            continue
-        for block in re.findall(rb"\bBT\b(.*?)\bET\b", raw, re.S):
-            held: list[str] = []
-            for token in _PDF_TEXT.findall(block):
-                if token[:1] in (b"(", b"<"):
-                    held.append(literal(token))
-                elif token in (b"Td", b"TD", b"T*", b"Tm"):
-                    out.append("\n")
-                elif token in (b"Tj", b"TJ"):
-                    out.append("".join(held))
-                elif token in (b"'", b'"'):
-                    out.append("\n" + "".join(held))
-                if token.isalpha() or token in (b"'", b'"', b"T*"):
-                    held = []
-            out.append("\n")
-    text = re.sub(r"\n+", "\n", "".join(out)).strip()
-    if not text:
-        raise ValueError("no text that can be read")
-    return text
-
-
 def extract_files(files: DataFrame) -> DataFrame:
-    """(path, text, error) of files(path, content) as the binaryFile source reads them: docx, xlsx, pdf with simple fonts, and plain text.
+    """(path, text, error) of files(path, content) as the binaryFile source reads them: docx, xlsx, pdf, and plain text.
 
-    xls needs a parser that isn't part of this package: such rows get an error, as do broken files.
+    xls needs a parser that isn't part of this package: such rows get an error, as do broken files and PDFs with hardly any text.
     """
-    readers = {".docx": _docx, ".xlsx": _xlsx, ".pdf": _pdf}
+    readers = {".docx": _docx, ".xlsx": _xlsx, ".pdf": pdf.text_of}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for frame in batches:
             rows = []
-            for path, data in zip(pdf["path"], pdf["content"], strict=True):
+            for path, data in zip(frame["path"], frame["content"], strict=True):
                 low = path.lower()
                 try:
                     if low.endswith(".xls"):
@@ -251,7 +209,7 @@ def triples(texts: DataFrame, vocabularies: tuple[str, ...]) -> DataFrame:
     """(s, p, o) of whole Turtle texts (value)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for frame in batches:
             yield pd.DataFrame([t for text in pdf["value"] for t in parse_turtle(text or "", vocabularies)], columns=["s", "p", "o"])
 
     return texts.select("value").mapInPandas(run, "s string, p string, o string")

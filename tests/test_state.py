@@ -259,13 +259,13 @@ def test_office_and_pdf_files(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
         z.writestr("xl/sharedStrings.xml", f"<sst {m}><si><t>name</t></si></sst>")
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {m}><sheetData><row><c t="s"><v>0</v></c><c><v>4</v></c></row></sheetData></worksheet>')
-    page = zlib.compress(rb"BT /F1 12 Tf 10 20 Td (Hello \(PDF\)) Tj 0 -14 Td [(Wor) -20 (ld)] TJ T* <41 42> Tj ET")
+    page = zlib.compress(rb"BT /F1 12 Tf 10 20 Td (Hello \(PDF\)) Tj 0 -14 Td [(Wor) -20 (ld)] TJ T* <41 42> Tj T* (And as much more text as a page that was not scanned has.) Tj ET")
     (tmp_path / "c.pdf").write_bytes(b"%PDF-1.4\n1 0 obj << /Length " + str(len(page)).encode() + b" /Filter /FlateDecode >>\nstream\n" + page + b"\nendstream endobj")
     (tmp_path / "d.txt").write_text("plain")
     (tmp_path / "e.docx").write_bytes(b"broken")
     (tmp_path / "f.xls").write_bytes(b"x")
     got = {r["path"].rsplit("/", 1)[1]: (r["text"], r["error"] is not None) for r in transfer.extract_files(spark.read.format("binaryFile").load(str(tmp_path))).collect()}
-    assert got == {"a.docx": ("Hello there\n\nEnd", False), "b.xlsx": ("# sheet1\nname\t4", False), "c.pdf": ("Hello (PDF)\nWorld\nAB", False), "d.txt": ("plain", False), "e.docx": (None, True), "f.xls": (None, True)}
+    assert got == {"a.docx": ("Hello there\n\nEnd", False), "b.xlsx": ("# sheet1\nname\t4", False), "c.pdf": ("Hello (PDF)\nWorld\nAB\nAnd as much more text as a page that was not scanned has.", False), "d.txt": ("plain", False), "e.docx": (None, True), "f.xls": (None, True)}
 
 
 def test_occurred_tags_and_aliases(spark):
