@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import RELATION_OF
-from . import pdf
+from . import pdf, xls
 
 
 def to_lines(rows: DataFrame, table: str) -> DataFrame:
@@ -139,11 +139,11 @@ def _xlsx(data: bytes) -> str:
 
 
 def extract_files(files: DataFrame) -> DataFrame:
-    """(path, text, error) of files(path, content) as the binaryFile source reads them: docx, xlsx, pdf, and plain text.
+    """(path, text, error) of files(path, content) as the binaryFile source reads them: docx, xlsx, xls, pdf, and plain text.
 
-    xls needs a parser that isn't part of this package: such rows get an error, as do broken files and PDFs with hardly any text.
+    Broken files get an error, as do PDFs with hardly any text.
     """
-    readers = {".docx": _docx, ".xlsx": _xlsx, ".pdf": pdf.text_of}
+    readers = {".docx": _docx, ".xlsx": _xlsx, ".pdf": pdf.text_of, ".xls": xls.text_of}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
@@ -151,8 +151,6 @@ def extract_files(files: DataFrame) -> DataFrame:
             for path, data in zip(frame["path"], frame["content"], strict=True):
                 low = path.lower()
                 try:
-                    if low.endswith(".xls"):
-                        raise ValueError("no parser for this kind")
                     read = next((f for end, f in readers.items() if low.endswith(end)), lambda b: b.decode("utf-8"))
                     rows.append((path, read(data), None))
                 except Exception as e:  # noqa: BLE001  a broken file is a result
