@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..staging import cut
+from ..staging import cut, numbered
 
 #: Neighbours a frontier node may add of each type, OTHER of any other, and the types it looks at first.
 CAPS, OTHER = {"semantic_related": 6, "same_entity": 4, "updates": 8, "chronological": 2}, 2
@@ -133,7 +133,7 @@ def entity_search(entities: DataFrame, mentions: DataFrame, term: str) -> DataFr
     counts = mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("mentions_count"))
     out = entities.join(hit, "entity", "left").filter(named | F.col("by_context")).join(counts, "entity", "left")
     out = out.select("entity", F.coalesce("mentions_count", F.lit(0)).alias("mentions_count"))
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mentions_count"), "entity")).cast("long"))  # hits of one term
+    return numbered(out, "rank", F.desc("mentions_count"), F.col("entity"))
 
 
 def closure(edges: DataFrame, most: int = 64) -> DataFrame:

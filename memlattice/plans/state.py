@@ -366,14 +366,14 @@ def graph_export_nodes(s: SparkSession, d: str) -> DataFrame:
     return out.select("entity", F.size("mentions").cast("long").alias("mentions"), F.array_join(F.transform("mentions", lambda x: x["memory_id"].cast("string")), ",").alias("ids"))
 
 
-@query(f"""WITH {MEM}, seeds AS (SELECT namespace, key, row_number() OVER (PARTITION BY namespace ORDER BY importance DESC, key) AS n FROM mem QUALIFY n <= 30),
-e AS (SELECT l_orderkey % 997 AS s, l_partkey % 991 AS t, l_returnflag AS relation_type, l_discount * 10 AS w FROM lineitem),
+@query(f"""WITH {MEM}, seeds AS (SELECT namespace, key, row_number() OVER (PARTITION BY namespace ORDER BY importance DESC, key) AS n FROM mem QUALIFY n <= 100),
+e AS (SELECT l_orderkey AS s, l_partkey AS t, l_returnflag AS relation_type, l_discount * 10 AS w FROM lineitem),
 u AS (SELECT a.namespace, least(s, t) AS a, greatest(s, t) AS b, relation_type, round(least(1.0, greatest(0.05, max(w))), 2) AS weight FROM e JOIN seeds a ON a.key = s JOIN seeds b ON b.key = t AND b.namespace = a.namespace WHERE s <> t GROUP BY 1, 2, 3, 4),
 r AS (SELECT *, row_number() OVER (PARTITION BY namespace ORDER BY weight DESC, a, b, relation_type) AS rank FROM u), c AS (SELECT namespace, count(*) AS nodes FROM seeds GROUP BY 1)
 SELECT namespace, a, b, relation_type, weight, rank FROM r JOIN c USING (namespace) WHERE rank <= 3 * nodes""")
 def dashboard_graph(s: SparkSession, d: str) -> DataFrame:
-    nodes = lifecycle.newest(A.memories(s, d), "namespace", 30, F.desc("importance"), F.col("key")).select("namespace", "key", "content")
-    e = A.table(s, d, "lineitem").select((F.col("l_orderkey") % 997).alias("source_id"), (F.col("l_partkey") % 991).alias("target_id"), F.col("l_returnflag").alias("relation_type"), (F.col("l_discount") * 10).alias("weight"))
+    nodes = lifecycle.newest(A.memories(s, d), "namespace", 100, F.desc("importance"), F.col("key")).select("namespace", "key", "content")
+    e = A.table(s, d, "lineitem").select(F.col("l_orderkey").alias("source_id"), F.col("l_partkey").alias("target_id"), F.col("l_returnflag").alias("relation_type"), (F.col("l_discount") * 10).alias("weight"))
     return views.drawn_graph(nodes, e).withColumn("rank", F.col("rank").cast("long"))
 
 

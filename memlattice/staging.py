@@ -9,7 +9,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Folders that cut() writes in the scope that this thread is in; none outside of scopes.
 _scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
@@ -40,6 +41,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """df with a number from 1 in this order, which must leave no ties open: sorted by ranges, numbered within each, ranges' sizes summed before."""
+    placed = cut(df.orderBy(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # a row a range
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return placed.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + own).drop("_range", "_before")
+
+
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
     """Write what is made within before the end: what cut() wrote within (in this thread, and not in a scope of its own) is removed then.
