@@ -208,7 +208,7 @@ def triples(texts: DataFrame, vocabularies: tuple[str, ...]) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            yield pd.DataFrame([t for text in pdf["value"] for t in parse_turtle(text or "", vocabularies)], columns=["s", "p", "o"])
+            yield pd.DataFrame([t for text in frame["value"] for t in parse_turtle(text or "", vocabularies)], columns=["s", "p", "o"])
 
     return texts.select("value").mapInPandas(run, "s string, p string, o string")
 
