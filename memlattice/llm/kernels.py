@@ -16,6 +16,8 @@ BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 2**64)
 #: Bytes of text that are worked on at once; one longer document is a chunk of its own.
 CHUNK_BYTES = 2 << 20
+#: Bytes of spans that are hashed at once.
+SPAN_BYTES = 1 << 18
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -39,7 +41,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2 ** 64; the longest table asked for so far is kept."""
     got = _powers.get(base)
     if got is None or len(got) < n:
-        full = np.full(max(n, CHUNK_BYTES + 1), base, dtype=U64)
+        full = np.full(max(n, SPAN_BYTES + 1), base, dtype=U64)
         full[0] = 1
         got = _powers[base] = np.cumprod(full)
     return got[:n]
@@ -95,12 +97,19 @@ def word_spans(buf: np.ndarray, offs: np.ndarray, between: np.ndarray = SPACE) -
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of bytes."""
-    n = len(buf)
-    pref = np.zeros(n + 1, U64)
-    np.cumsum((buf.astype(U64) + U64(1)) * powers(BASE, n), out=pref[1:])
-    h = (pref[ends] - pref[starts]) * powers(BASE_INV, n + 1)[starts]
-    return mix(h + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+    """64-bit hash of each span of bytes, wherever it stands; spans come in order of their starts and are hashed SPAN_BYTES (or one span) at a time."""
+    out, i = np.empty(len(starts), U64), 0
+    while i < len(starts):
+        base = starts[i]
+        j = max(i + 1, int(np.searchsorted(starts, base + SPAN_BYTES)))
+        s, e = starts[i:j] - base, ends[i:j] - base
+        n = int(e.max())
+        pref = np.zeros(n + 1, U64)
+        np.cumsum((buf[base : base + n].astype(U64) + U64(1)) * powers(BASE, n), out=pref[1:])
+        h = (pref[e] - pref[s]) * powers(BASE_INV, n + 1)[s]
+        out[i:j] = mix(h + (e - s).astype(U64) * U64(0xD6E8FEB86659FD93))
+        i = j
+    return out
 
 
 def word_hashes(col: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
