@@ -34,20 +34,37 @@ def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def _codes(piece: Column) -> Column:
+    """Numbers of hash and position of all grams of a piece that has GRAM characters or more.
+
+    A gram is cut out of the piece's bytes: its place is known, where a string would be read from its start. Where characters take
+    several bytes, the places are those of bytes that begin one.
+    """
+    code = lambda g, i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(g), 32), 23).bitwiseOR(_PLACES - i)
+    n, inner = F.octet_length(piece), [F.lit(bytearray([x])) for x in (0x80, 0xBF)]
+    whole = lambda b: F.transform(F.sequence(F.lit(0), n - GRAM), lambda i: code(F.substring(b, i + 1, F.lit(GRAM)), i))
+    begins = lambda b: F.concat(F.filter(F.sequence(F.lit(1), n), lambda i: ~F.substring(b, i, F.lit(1)).between(*inner)), F.array(n + 1))
+    placed = lambda b: _bind(begins(b), lambda at: F.transform(F.slice(at, 1, F.size(at) - GRAM), lambda s, i: code(F.substring(b, s, at[i + GRAM] - s), i)))
+    return _bind(piece.cast("binary"), lambda b: F.when(n == F.length(piece), whole(b)).otherwise(placed(b)))
+
+
+def _once(x: Column, what: Callable[[Column], Column] = lambda v: v) -> Column:
+    """x without elements that repeat the one before; equal ones follow each other."""
+    return _bind(x, lambda m: F.filter(m, lambda v, i: (i == 0) | (what(v) != what(m[F.greatest(i - 1, F.lit(0))]))))
+
+
 def _chosen(piece: Column) -> Column:
-    """What winnowing chooses of a piece's grams: numbers of hash and position in the piece."""
-    # a look-ahead finds every run; one character is consumed, so that a pair of surrogates stays whole
-    grams = F.regexp_extract_all(piece, F.lit(f"(?s)(?=(.{{{GRAM}}}))."), 1)
-    grams = F.when(F.length(piece) >= GRAM, grams).when(piece != "", F.array(piece)).otherwise(F.array().cast("array<string>"))
-    codes = F.transform(grams, lambda g, i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(g), 32), 23).bitwiseOR(_PLACES - i))
+    """What winnowing chooses of a piece's grams: numbers of hash and position in the piece, by position."""
+    alone = F.array(F.shiftleft(F.shiftrightunsigned(F.xxhash64(piece), 32), 23).bitwiseOR(F.lit(_PLACES).cast("long")))
+    codes = F.when(F.length(piece) >= GRAM, _codes(piece)).when(piece != "", alone).otherwise(F.array().cast("array<bigint>"))
 
     def least_of_four(apart: int) -> Callable[[Column], Column]:
         return lambda x: F.transform(F.slice(x, 1, F.size(x) - 3 * apart), lambda v, i: F.least(v, x[i + apart], x[i + 2 * apart], x[i + 3 * apart]))
 
     def minima(x: Column) -> Column:
-        return F.when(F.size(x) >= WINDOW, _bind(_bind(x, least_of_four(1)), least_of_four(4))).when(F.size(x) > 0, F.array(F.array_min(x))).otherwise(x)
+        return F.when(F.size(x) >= WINDOW, _once(_bind(_bind(x, least_of_four(1)), least_of_four(4)))).when(F.size(x) > 0, F.array(F.array_min(x))).otherwise(x)
 
-    return F.array_distinct(_bind(codes, minima))
+    return _bind(codes, minima)
 
 
 def prints(text: Column, first: Column | int = 0) -> Column:
@@ -56,21 +73,19 @@ def prints(text: Column, first: Column | int = 0) -> Column:
     pieces = F.greatest(F.lit(1), F.ceil((grams - (WINDOW - 1)) / F.lit(PIECE))).cast("int")
     reach = PIECE + WINDOW - 1 + GRAM - 1
 
-    def one(i: Column) -> Column:
-        own = F.when(pieces == 1, text).otherwise(F.substring(text, i * PIECE + 1, F.lit(reach)))
+    def one(own: Column, i: Column) -> Column:
         return F.transform(_chosen(own), lambda c: F.struct(F.shiftrightunsigned(c, 23).alias("hash"), (_PLACES - c.bitwiseAND(F.lit(_PLACES)) + i * PIECE + first).cast("long").alias("pos")))
 
-    # a gram where two pieces meet may be chosen by both
-    return F.when(pieces == 1, one(F.lit(0))).otherwise(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), pieces - 1), one))))
+    # where two pieces meet, the last gram of one may be the first of the next: positions never go back
+    cut_out = F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: F.substring(text, i * PIECE + 1, F.lit(reach)))
+    return F.when(pieces == 1, one(text, F.lit(0))).otherwise(_once(F.flatten(F.transform(cut_out, one)), lambda p: p["pos"]))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of the hashes of two fingerprints that both have, 1 if neither has any."""
-    hashes = lambda x: F.transform(x, lambda p: p["hash"])
-    both = lambda x, y: F.size(F.array_union(x, y))
-    shared = lambda x, y: F.size(F.array_intersect(x, y))
-    share = lambda x, y: F.when(both(x, y) > 0, shared(x, y) / both(x, y)).otherwise(1.0)
-    return _bind(F.struct(hashes(a).alias("a"), hashes(b).alias("b")), lambda h: share(h["a"], h["b"]))
+    hashes = lambda x: F.array_distinct(F.transform(x, lambda p: p["hash"]))
+    share = lambda n, both: F.when(n > 0, both / (n - both)).otherwise(1.0)
+    return _bind(F.struct(hashes(a).alias("a"), hashes(b).alias("b")), lambda h: _bind(F.size(F.array_intersect(h["a"], h["b"])), lambda both: share(F.size(h["a"]) + F.size(h["b"]), both)))
 
 
 def as_string(of: Column) -> Column:
