@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_arrow
+from .common import give_back, in_arrow
 from .kernels import U64, chunks, mix, text_bytes, word_hashes
 
 #: Rated rows that are learned from at most: the first by a hash of their ids. The only rows not taken whole.
@@ -76,16 +76,34 @@ def _counts(column: pa.Array) -> np.ndarray:
     return np.c_[x, REPEAT * _repeats(column)].astype(np.float32)
 
 
+def _rows(column: pa.ChunkedArray) -> np.ndarray:
+    """What _counts() made, from the bytes of its rows."""
+    x, at = np.empty((len(column), BUCKETS + 1), np.float32), 0
+    for part in column.chunks:
+        for row in part:
+            x[at] = np.frombuffer(row.as_buffer(), np.float32)
+            at += 1
+    return x
+
+
 class OrdinalModel:
     """Cumulative-link regression fitted by gradient steps (Adam) with an L2 penalty."""
 
     def fit(self, x: np.ndarray, y: np.ndarray, grades: int, steps: int = 300, rate: float = 0.05, ridge: float = 3e-3) -> OrdinalModel:
-        """x: counts, a row for each text. What is fitted is their excess over the average text of that length."""
+        """x: counts, a row for each text. What is fitted is their excess over the average text of that length.
+
+        Beside x there is one array of its size, as the driver's memory is small; means and spreads are taken some columns at a time.
+        """
         n = x.sum(axis=1, keepdims=True)
-        usual = (x / np.maximum(n, 1)).mean(axis=0)
-        x = (x - n * usual) / (n + PSEUDO)
-        self.spread = x.std(axis=0) + 1e-5
-        x = x / self.spread
+        ends = np.linspace(0, x.shape[1], 9).astype(int)  # no single column, which numpy would add up in another order
+        some = [slice(*c) for c in zip(ends, ends[1:], strict=False) if c[1] > c[0]]
+        usual = np.concatenate([(x[:, c] / np.maximum(n, 1)).mean(axis=0) for c in some])
+        excess = np.multiply(n, usual)
+        np.subtract(x, excess, out=excess)
+        excess /= n + PSEUDO
+        x = excess
+        self.spread = np.concatenate([x[:, c].std(axis=0) for c in some]) + 1e-5
+        x /= self.spread
         w = np.zeros(x.shape[1], np.float32)
         share = np.array([(y >= k).mean() for k in range(1, grades)]).clip(1e-3, 1 - 1e-3)
         # thresholds are the first one and positive gaps
@@ -155,8 +173,11 @@ def quality(docs: DataFrame, ratings: DataFrame, least: float = 0.5, tail: int =
     if got is not None and got.num_rows:
         y = got.column("grade").to_numpy().astype(np.int64)
         if len(np.unique(y)) > 1:
-            x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, BUCKETS + 1)
+            x, got = _rows(got.column("x")), None
             model = OrdinalModel().fit(x, y, max(grades, tail + 1))
+            del x
+    got = None
+    give_back()
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
