@@ -7,6 +7,7 @@ A text's score is then a mean of weights over its trigrams, less that of an aver
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back, in_arrow
+from .common import in_arrow
 from .kernels import U64, chunks, mix, text_bytes, word_hashes
 
 #: Rated rows that are learned from at most: the first by a hash of their ids. The only rows not taken whole.
@@ -35,7 +36,7 @@ def _trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     n = max(0, len(buf) - 2)
     code = buf[:n].astype(U64) | buf[1 : n + 1].astype(U64) << U64(8) | buf[2 : n + 2].astype(U64) << U64(16)
     bucket = np.zeros(len(buf), np.int64)
-    bucket[:n] = _TABLE[code.astype(np.int64)]
+    bucket[:n] = _table()[code.astype(np.int64)]
     inside = np.ones(len(buf) + 1, bool)
     for k in (1, 2):  # trigrams don't cross documents
         at = offs[1:] - k
@@ -53,8 +54,10 @@ def _trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return bucket[inside], np.r_[0, np.cumsum(lens)]
 
 
-#: Bucket of each trigram, made a part at a time to keep the worker small.
-_TABLE = np.concatenate([(mix(np.arange(k, k + (1 << 20), dtype=U64)) % U64(BUCKETS)).astype(np.uint16) for k in range(0, 1 << 24, 1 << 20)])
+@functools.cache
+def _table() -> np.ndarray:
+    """Bucket of each trigram, made a part at a time to keep the worker small; the driver never asks for it."""
+    return np.concatenate([(mix(np.arange(k, k + (1 << 20), dtype=U64)) % U64(BUCKETS)).astype(np.uint16) for k in range(0, 1 << 24, 1 << 20)])
 
 
 def _repeats(column: pa.Array) -> np.ndarray:
@@ -76,11 +79,11 @@ def _counts(column: pa.Array) -> np.ndarray:
     return np.c_[x, REPEAT * _repeats(column)].astype(np.float32)
 
 
-def _rows(column: pa.ChunkedArray) -> np.ndarray:
-    """What _counts() made, from the bytes of its rows."""
-    x, at = np.empty((len(column), BUCKETS + 1), np.float32), 0
-    for part in column.chunks:
-        for row in part:
+def _rows(columns: list[pa.Array]) -> np.ndarray:
+    """What _counts() made, from the bytes of its rows; the columns are given up one by one."""
+    x, at = np.empty((sum(map(len, columns)), BUCKETS + 1), np.float32), 0
+    while columns:
+        for row in columns.pop(0):
             x[at] = np.frombuffer(row.as_buffer(), np.float32)
             at += 1
     return x
@@ -92,7 +95,7 @@ class OrdinalModel:
     def fit(self, x: np.ndarray, y: np.ndarray, grades: int, steps: int = 300, rate: float = 0.05, ridge: float = 3e-3) -> OrdinalModel:
         """x: counts, a row for each text. What is fitted is their excess over the average text of that length.
 
-        Beside x there is one array of its size, as the driver's memory is small; means and spreads are taken some columns at a time.
+        Beside x there is one array of its size, as memory is small; means and spreads are taken some columns at a time.
         """
         n = x.sum(axis=1, keepdims=True)
         ends = np.linspace(0, x.shape[1], 9).astype(int)  # no single column, which numpy would add up in another order
@@ -164,20 +167,27 @@ def quality(docs: DataFrame, ratings: DataFrame, least: float = 0.5, tail: int =
                 x = _counts(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("grade"), pa.array([r.tobytes() for r in x], pa.binary())], names=["grade", "x"])
 
-    got = None
+    grades = 1 + max((r["grade"] for r in rated), default=0)
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The model of all rows, or nothing without two grades; only its weights leave the task."""
+        ys, columns = [], []
+        for batch in batches:
+            ys.append(batch.column("grade").to_numpy())
+            columns.append(batch.column("x"))
+        y = np.concatenate(ys).astype(np.int64) if ys else np.zeros(0, np.int64)
+        if len(np.unique(y)) > 1:
+            m = OrdinalModel().fit(_rows(columns), y, max(grades, tail + 1))
+            yield pa.RecordBatch.from_pydict({"weights": [m.weights], "cuts": [m.cuts], "base": [m.base]})
+
+    model = None
     if rated:
         seen = known.transform(in_arrow, featured, "grade int, x binary")
-        # more rows only where doc_ids repeat; then a hash chooses among them
-        got = seen.orderBy(F.xxhash64("grade", "x"), "grade").limit(sample).toArrow()
-    model, grades = None, 1 + max((r["grade"] for r in rated), default=0)
-    if got is not None and got.num_rows:
-        y = got.column("grade").to_numpy().astype(np.int64)
-        if len(np.unique(y)) > 1:
-            x, got = _rows(got.column("x")), None
-            model = OrdinalModel().fit(x, y, max(grades, tail + 1))
-            del x
-    got = None
-    give_back()
+        # more rows only where doc_ids repeat; then a hash chooses among them. They are one task's, in this order: the driver sees the weights alone
+        chosen = seen.orderBy(F.xxhash64("grade", "x"), "grade").limit(sample)
+        for r in chosen.transform(in_arrow, fitted, "weights array<double>, cuts array<double>, base double").collect():  # one row at most
+            model = OrdinalModel()
+            model.weights, model.cuts, model.base = np.array(r["weights"]), np.array(r["cuts"]), r["base"]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
