@@ -3,7 +3,8 @@
 Every run of GRAM characters of the whole text is hashed; of every WINDOW neighbouring hashes the least is chosen, of equal ones the
 rightmost, and kept with its position. So two texts that share GRAM + WINDOW - 1 characters in a row share a fingerprint
 there, and the positions say where. A hash and its position are one number while the minima are taken (the position counted down, so that the least number is the
-rightmost of equal hashes). Windows of four minima, four apart, make windows of sixteen, so a character costs two steps.
+rightmost of equal hashes). Two windows of minima, as far apart as they are wide, make one of twice the width; both lists are walked side by side, which costs less
+than looking neighbours up by their place.
 Very long texts are worked on in pieces that overlap by what a window needs, which changes no choice and bounds memory.
 
 A text's neighbour in the order of ids is found without sorting texts: the ids are ranked, every so many ranks a bound is
@@ -40,9 +41,10 @@ def _codes(piece: Column) -> Column:
     A gram is cut out of the piece's bytes: its place is known, where a string would be read from its start. Where characters take
     several bytes, the places are those of bytes that begin one.
     """
-    code = lambda g, i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(g), 32), 23).bitwiseOR(_PLACES - i)
+    # the upper half of the hash over the place counted down: the bits below it are set before the place is taken off
+    code = lambda g, i: F.shiftrightunsigned(F.xxhash64(g), 9).bitwiseOR(F.lit(_PLACES)) - i
     n, inner = F.octet_length(piece), [F.lit(bytearray([x])) for x in (0x80, 0xBF)]
-    whole = lambda b: F.transform(F.sequence(F.lit(0), n - GRAM), lambda i: code(F.substring(b, i + 1, F.lit(GRAM)), i))
+    whole = lambda b: F.transform(F.sequence(F.lit(1), n - GRAM + 1), lambda s, i: code(F.substring(b, s, F.lit(GRAM)), i))
     begins = lambda b: F.concat(F.filter(F.sequence(F.lit(1), n), lambda i: ~F.substring(b, i, F.lit(1)).between(*inner)), F.array(n + 1))
     placed = lambda b: _bind(begins(b), lambda at: F.transform(F.slice(at, 1, F.size(at) - GRAM), lambda s, i: code(F.substring(b, s, at[i + GRAM] - s), i)))
     return _bind(piece.cast("binary"), lambda b: F.when(n == F.length(piece), whole(b)).otherwise(placed(b)))
@@ -58,11 +60,16 @@ def _chosen(piece: Column) -> Column:
     alone = F.array(F.shiftleft(F.shiftrightunsigned(F.xxhash64(piece), 32), 23).bitwiseOR(F.lit(_PLACES).cast("long")))
     codes = F.when(F.length(piece) >= GRAM, _codes(piece)).when(piece != "", alone).otherwise(F.array().cast("array<bigint>"))
 
-    def least_of_four(apart: int) -> Callable[[Column], Column]:
-        return lambda x: F.transform(F.slice(x, 1, F.size(x) - 3 * apart), lambda v, i: F.least(v, x[i + apart], x[i + 2 * apart], x[i + 3 * apart]))
+    def least_of_twice(width: int) -> Callable[[Column], Column]:
+        # the last ones have no neighbour, a null, which least() passes over
+        return lambda x: F.zip_with(x, F.slice(x, width + 1, F.size(x)), lambda a, b: F.least(a, b))
 
     def minima(x: Column) -> Column:
-        return F.when(F.size(x) >= WINDOW, _once(_bind(_bind(x, least_of_four(1)), least_of_four(4)))).when(F.size(x) > 0, F.array(F.array_min(x))).otherwise(x)
+        full = x
+        for width in (1, 2, 4, 8):  # up to WINDOW
+            full = _bind(full, least_of_twice(width))
+        full = F.slice(full, F.lit(1), F.size(x) - (WINDOW - 1))
+        return F.when(F.size(x) >= WINDOW, _once(full)).when(F.size(x) > 0, F.array(F.array_min(x))).otherwise(x)
 
     return _bind(codes, minima)
 
