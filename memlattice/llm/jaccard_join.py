@@ -98,30 +98,35 @@ def _entries(k: int, blocks: int):
     """First product's entries, as blobs for each column block; equal rows of a chunk give theirs once."""
 
     def blobs(got: list[tuple]) -> pa.RecordBatch:
-        h, ids, n = (np.concatenate([g[i] for g in got]) for i in range(3))
-        return _blobs((mix(h) % U64(blocks)).astype(np.int64), h.view(np.int64), ids, n)
+        columns = _joined(got)
+        block = (mix(columns[0]) % U64(blocks)).astype(np.int32)
+        columns[0] = columns[0].view(np.int64)
+        return _blobs(block, columns)
+
+    def entries(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids = part.column("doc_id")
+        known = ids.is_valid().to_numpy(zero_copy_only=False)
+        ids = ids.fill_null(0).to_numpy()
+        sets, offs = shingle_sets(*word_hashes(part.column("text")), k)
+        s1, s2 = _signature(sets, offs)
+        n = np.diff(offs)
+        order = np.lexsort((ids, s2, s1, ~known))
+        new = np.ones(len(order), bool)
+        new[1:] = (s1[order][1:] != s1[order][:-1]) | (s2[order][1:] != s2[order][:-1])
+        use = np.zeros(len(order), bool)
+        use[order[new]] = True
+        use &= known & (n > 0)
+        take = np.where(use, reach(n), 0)
+        doc = np.repeat(np.arange(len(n)), take)
+        at = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take) + offs[:-1][doc]
+        return sets[at] >> SHIFT, ids[doc], n[doc].astype(np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got, held = [], 0
         for batch in batches:
             for part in chunks(batch):
-                ids = part.column("doc_id")
-                known = ids.is_valid().to_numpy(zero_copy_only=False)
-                ids = ids.fill_null(0).to_numpy()
-                sets, offs = shingle_sets(*word_hashes(part.column("text")), k)
-                s1, s2 = _signature(sets, offs)
-                n = np.diff(offs)
-                order = np.lexsort((ids, s2, s1, ~known))
-                new = np.ones(len(order), bool)
-                new[1:] = (s1[order][1:] != s1[order][:-1]) | (s2[order][1:] != s2[order][:-1])
-                use = np.zeros(len(order), bool)
-                use[order[new]] = True
-                use &= known & (n > 0)
-                take = np.where(use, reach(n), 0)
-                doc = np.repeat(np.arange(len(n)), take)
-                at = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take) + offs[:-1][doc]
-                got.append((sets[at] >> SHIFT, ids[doc], n[doc].astype(np.int32)))
-                held += len(at)
+                got.append(entries(part))
+                held += len(got[-1][0])
                 if held >= HELD_ENTRIES:
                     yield blobs(got)
                     got, held = [], 0
@@ -131,19 +136,38 @@ def _entries(k: int, blocks: int):
     return run
 
 
-def _blobs(block: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-    """A packed blob for each block, its rows sorted by the first column."""
+def _joined(got: list) -> list[np.ndarray]:
+    """Columns out of their pieces; got is emptied, and one column at most is held twice."""
+    pieces, out = [list(x) for x in zip(*got, strict=True)], []
+    got.clear()
+    while pieces:
+        out.append(np.concatenate(pieces[0]))
+        del pieces[0]
+    return out
+
+
+def _take(columns: list[np.ndarray], at: np.ndarray) -> list[np.ndarray]:
+    """These rows of the columns, put in their place: one column at most is held twice."""
+    for i in range(len(columns)):
+        columns[i] = columns[i][at]
+    return columns
+
+
+def _blobs(block: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
+    """A packed blob for each block, its rows sorted by the first column; the list's columns are replaced on the way."""
     order = np.lexsort((columns[0], block))
-    block, columns = block[order], [c[order] for c in columns]
+    block = block[order]
+    _take(columns, order)
+    del order
     cutat = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, np.int64)
     ends = np.r_[cutat[1:], len(block)] if len(block) else cutat
     data = [pack(*(c[a:b] for c in columns)) for a, b in zip(cutat, ends, strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(block[cutat]), pa.array(data, pa.binary())], names=["block", "blob"])
+    return pa.RecordBatch.from_arrays([pa.array(block[cutat].astype(np.int64)), pa.array(data, pa.binary())], names=["block", "blob"])
 
 
 def _gather(batches: Iterator[pa.RecordBatch], columns: int) -> list[np.ndarray] | None:
-    got = [unpack(b, columns) for batch in batches for b in batch.column("blob").to_pylist()]
-    return [np.concatenate(x) for x in zip(*got, strict=True)] if got else None
+    got = [unpack(b.as_buffer(), columns) for batch in batches for b in batch.column("blob")]
+    return _joined(got) if got else None
 
 
 def _counts(blocks: int):
@@ -153,16 +177,13 @@ def _counts(blocks: int):
         got = _gather(batches, 3)
         if got is None:
             return
-        h, ids, n = got
-        order = np.argsort(h, kind="stable")
-        h, ids, n = h[order], ids[order], n[order]
-        start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        count = np.diff(np.r_[start, len(h)])
-        df = np.repeat(count, count)
-        keep = df > 1
-        h, ids, n, df = h[keep], ids[keep], n[keep], df[keep].astype(np.int32)
-        if len(h):
-            yield _blobs((mix(ids.astype(U64)) % U64(blocks)).astype(np.int64), h, ids, n, df)
+        _take(got, np.argsort(got[0], kind="stable"))
+        start = np.flatnonzero(np.r_[True, got[0][1:] != got[0][:-1]])
+        count = np.diff(np.r_[start, len(got[0])]).astype(np.int32)
+        got.append(np.repeat(count, count))
+        _take(got, got[3] > 1)
+        if len(got[0]):
+            yield _blobs((mix(got[1].astype(U64)) % U64(blocks)).astype(np.int32), got)
 
     return run
 
@@ -174,12 +195,10 @@ def _rarest(num: int, den: int):
         got = _gather(batches, 4)
         if got is None:
             return
-        h, ids, n, df = got
-        order = np.lexsort((h, df, n, ids))
-        h, ids, n = h[order], ids[order], n[order].astype(np.int64)
+        h, ids, n = _take(got, np.lexsort((got[0], got[3], got[2], got[1])))[:3]
         start = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (n[1:] != n[:-1])])
         count = np.diff(np.r_[start, len(ids)])
-        size = n[start]
+        size = n[start].astype(np.int64)
         room = least_shared(size, num, den) - (reach(size) - count)  # entries alone in their column come first
         large = np.clip(reach(size) - least_bound(size, num, den, False) + room, 0, count)
         small = np.clip(reach(size) - least_bound(size, num, den, True) + room, 0, count)

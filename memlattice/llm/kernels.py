@@ -47,6 +47,11 @@ def powers(base: int, n: int) -> np.ndarray:
     return got[:n]
 
 
+def forget() -> None:
+    """Give up the tables of powers; within a task they are kept."""
+    _powers.clear()
+
+
 def text_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null is an empty text."""
     if isinstance(col, pa.ChunkedArray):

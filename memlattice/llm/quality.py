@@ -7,7 +7,6 @@ A text's score is then a mean of weights over its trigrams, less that of an aver
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_arrow
-from .kernels import U64, chunks, mix, text_bytes, word_hashes
+from .common import in_arrow, local_rows
+from .kernels import SPAN_BYTES, U64, chunks, mix, text_bytes, word_hashes
 
 #: Rated rows that are learned from at most: the first by a hash of their ids. The only rows not taken whole.
 SAMPLE = 6000
@@ -30,13 +29,25 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+class _Buckets:
+    """Bucket of each trigram by its code. It is reckoned: a table of all would be 32 MB, which each worker would keep."""
+
+    def __getitem__(self, code: np.ndarray | int) -> np.ndarray:
+        code = np.asarray(code, U64)
+        return (mix(code.reshape(-1)) % U64(BUCKETS)).reshape(code.shape)
+
+
+_TABLE = _Buckets()
+
+
 def _trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of the trigram that begins at each byte, and the documents' offsets among them."""
     buf, offs = text_bytes(column)
     n = max(0, len(buf) - 2)
-    code = buf[:n].astype(U64) | buf[1 : n + 1].astype(U64) << U64(8) | buf[2 : n + 2].astype(U64) << U64(16)
-    bucket = np.zeros(len(buf), np.int64)
-    bucket[:n] = _table()[code.astype(np.int64)]
+    bucket = np.zeros(len(buf), np.uint16)
+    for s in range(0, n, SPAN_BYTES):
+        a, b, c = (buf[s + k : min(n, s + SPAN_BYTES) + k].astype(U64) for k in range(3))
+        bucket[s : s + len(a)] = _TABLE[a | b << U64(8) | c << U64(16)]
     inside = np.ones(len(buf) + 1, bool)
     for k in (1, 2):  # trigrams don't cross documents
         at = offs[1:] - k
@@ -54,12 +65,6 @@ def _trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return bucket[inside], np.r_[0, np.cumsum(lens)]
 
 
-@functools.cache
-def _table() -> np.ndarray:
-    """Bucket of each trigram, made a part at a time to keep the worker small; the driver never asks for it."""
-    return np.concatenate([(mix(np.arange(k, k + (1 << 20), dtype=U64)) % U64(BUCKETS)).astype(np.uint16) for k in range(0, 1 << 24, 1 << 20)])
-
-
 def _repeats(column: pa.Array) -> np.ndarray:
     """Words equal to the word before, for each text."""
     words, first = word_hashes(column)
@@ -157,7 +162,7 @@ def quality(docs: DataFrame, ratings: DataFrame, least: float = 0.5, tail: int =
     rows = docs.drop("expected_grade", "tail_probability", "keep").withColumn("text", F.col("text").cast("string"))
     rated = ratings.select(F.col("doc_id").cast("long").alias("id"), F.col("grade").cast("int").alias("grade")).filter("id is not null and grade >= 0")
     rated = rated.orderBy(F.xxhash64("id"), "id", "grade").limit(sample).collect()
-    bounded = spark.createDataFrame([(r["id"], r["grade"]) for r in rated], "id long, grade int")
+    bounded = local_rows(spark, id=pa.array([r["id"] for r in rated], pa.int64()), grade=pa.array([r["grade"] for r in rated], pa.int32()))
     # at most `sample` rows of two numbers are broadcast
     known = rows.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(bounded), F.col("_id") == F.col("id")).select("grade", "text")
 

@@ -11,9 +11,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import local_rows
+
 #: Weights of the sources in code point order, repeating; what all targets add up to, and the most a source gives, in times of sizes.
 WEIGHTS, TOTAL, MOST = (3, 1, 2), 1.5, 2.0
 #: Tokens of a block; documents of the largest source in a shard; shards of a source at most (beyond, shards grow; they are sorted, not held).
@@ -102,7 +105,13 @@ def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     many = np.array([blocks.get(r["_source"], 0) for r in stats], np.int64)
     share = np.array([t / r["s"] * n if r["s"] else 0.0 for t, r, n in zip(goal, stats, many, strict=True)])
     quotas = apportion(round(share.sum()), share, int(MOST) * many) if stats else []
-    told = docs.sparkSession.createDataFrame([(r["_source"], int(q), int(r["s"]), float(t)) for r, q, t in zip(stats, quotas, goal, strict=True)], "_source string, _quota long, source_size long, target double")
+    told = local_rows(
+        docs.sparkSession,
+        _source=pa.array([r["_source"] for r in stats], pa.string()),
+        _quota=pa.array([int(q) for q in quotas], pa.int64()),
+        source_size=pa.array([int(r["s"]) for r in stats], pa.int64()),
+        target=pa.array([float(t) for t in goal], pa.float64()),
+    )
     plan = cells.join(told.select("_source", "_quota"), "_source").groupBy("_source").applyInPandas(_quotas(seed), "_source string, _shard int, _total long, _n long, _q long, _step long, _from long")
     by = Window.partitionBy("_source", "_shard").orderBy("_order", F.col("doc_id").asc_nulls_first(), "size")
     rows = rows.withColumn("_at", F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
